@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gristmill.llm import line_dedup, quality_rules
+from gristmill.llm import line_dedup, minhash_dedup, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
