@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from gristmill.llm import line_dedup, minhash_dedup, quality_rules
+from gristmill.llm import decontamination, line_dedup, minhash_dedup, packing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op4_decontamination": decontamination.op4_decontamination,
+    "op5_packing": packing.op5_packing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
 }
