@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from gristmill.llm import decontamination, line_dedup, minhash_dedup, packing, quality_rules
+from gristmill.llm import chat_format, decontamination, license_scan, line_dedup, minhash_dedup, packing, pii, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_license_scan": license_scan.op2_license_scan,
+    "op3_pii": pii.op3_pii,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_packing": packing.op5_packing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op8_chat_format": chat_format.op8_chat_format,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_chat_format": chat_format.ORACLE_SQL,
 }
