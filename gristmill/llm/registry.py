@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.llm import chat_format, decontamination, license_scan, line_dedup, minhash_dedup, packing, pii, quality_rules, toxicity
+from gristmill.llm import chat_format, decontamination, html_extract, license_scan, line_dedup, minhash_dedup, packing, pii, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_packing": packing.op5_packing,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_html_extract": html_extract.op7_html_extract,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
