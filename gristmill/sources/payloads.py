@@ -159,7 +159,7 @@ def finish(found: DataFrame, source: str, now: Column, require_description: bool
     rows = found.where("title <> ''")
     if require_description:
         rows = rows.where("description <> ''")
-    rows = rows.withColumn("_at", F.struct("path", "pos")).withColumn("_key", F.when(F.col("source_job_id") <> "", F.col("source_job_id")).otherwise(F.col("url")))
+    rows = rows.withColumn("_at", F.struct("path", "pos")).withColumn("_key", F.when(F.col("source_job_id") != "", F.col("source_job_id")).otherwise(F.col("url")))
     rows = first_per_key(rows, "_key", "_at")
     age = F.coalesce("given_age", dates.elapsed_days(F.col("posted"), now))
     return rows.select(
