@@ -139,7 +139,11 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[Step]:
         while todo:
             gap = min((g for g in open_ if g >= size), default=None)
             if gap is None:
-                open_.setdefault(limit - size, []).append([(size,), todo])
+                each = limit // size
+                full, rest = divmod(todo, each)
+                for copies, times in ((each, full), (rest, 1)):
+                    if copies and times:
+                        open_.setdefault(limit - copies * size, []).append([(size,) * copies, times])
                 break
             lengths, times = open_[gap].pop()
             if not open_[gap]:
