@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", "unlabelled")
         .collect()
     )
-    sample.sort(key=lambda r: (r["doc_id"], r["text"]))
+    sample.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"]))
     positive = [r["text"] for r in sample if r["toxic"] == 1]
     unlabelled = [r["text"] for r in sample if r["unlabelled"]]
     labelled = [(r["text"], r["toxic"]) for r in sample if r["unlabelled"] and r["toxic"] is not None]
