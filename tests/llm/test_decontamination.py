@@ -1,0 +1,62 @@
+import random
+
+import pytest
+
+from gristmill.llm import decontamination as D
+
+
+def edit_infix(item, text):
+    """Least edit distance of item to any part of text, by dynamic programming."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        last, row = row, [i] + [0] * len(text)
+        for j, d in enumerate(text, 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != d))
+    return min(row)
+
+
+@pytest.fixture(scope="module")
+def planted():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    items = [(i, " ".join(word() for _ in range(25)).capitalize() + ".") for i in range(8)] + [(50, None), (51, " .. "), (52, "tiny")]
+    rows = []
+    for d in range(40):
+        body = [word() for _ in range(rng.randint(0, 60))]
+        text = list(items[d % 8][1])
+        for _ in range((0, 3, 8, 11, 16, 40)[d % 6]):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = rng.choice(["", "z", "zz"])
+        rows.append((d, " ".join(body[:20]) + ", " + "".join(text).upper() + " ! " + " ".join(body[20:])))
+    return items, [*rows, (90, None), (91, ""), (92, "tiny"), (93, items[0][1] * 2)]
+
+
+def test_matches_brute_force(spark, planted):
+    items, rows = planted
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in D.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = {}
+    for d, t in rows:
+        for i, item in items:
+            plain = D.normal(item)
+            if plain and (n := edit_infix(plain, D.normal(t))) <= D.budget(plain):
+                want[d, i] = n
+    assert got == want and len(want) > 15
+
+
+def test_blocks_and_keep(spark, planted, monkeypatch, docs, empty):
+    items, rows = planted
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS item_id", "'x' AS distance")
+    whole = {tuple(r) for r in D.leaks(frame, bench).collect()}
+    monkeypatch.setattr(D, "BLOCK_CHARS", 200)
+    assert {tuple(r) for r in D.leaks(frame, bench).collect()} == whole
+    kept = D.keep(frame, bench)
+    assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - {r[0] for r in whole}
+    assert D.keep(docs, bench).count() == docs.count()
+    assert D.leaks(empty, bench).count() == 0 and D.leaks(docs, bench.where("false")).count() == 0
+
+
+def test_pieces_cover_the_item():
+    for n in (1, 5, 30, 333):
+        item = "".join(chr(97 + i % 26) for i in range(n))
+        assert "".join(p for _, p in D.pieces(item)) == item and len(D.pieces(item)) == D.budget(item) + 1

@@ -1,0 +1,60 @@
+import random
+import zlib
+
+import numpy as np
+
+from gristmill.llm import toxicity as T
+
+
+def corpus(n=900):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    bad = ["blarg", "fnord", "grumb", *(f"skrux{x}" for x in "abcdefgh")]
+    rows, labels = [], []
+    for d in range(n):
+        text, toxic = rng.choices(words, k=rng.randint(5, 80)), d % 8 == 0
+        if toxic:
+            text += rng.choices(bad, k=rng.randint(2, 5))
+            rng.shuffle(text)
+        rows.append((d, " ".join(text)))
+        if d % 3 != 2:
+            labels.append((d, 1, int(toxic)))
+    return rows, labels
+
+
+def test_held_out_accuracy_and_split(spark):
+    rows, labels = corpus()
+    extra = [(5000, None), (5001, ""), (None, "blarg fnord")]
+    docs = spark.createDataFrame([(d, t, "en", 0.5) for d, t in rows + extra], "doc_id bigint, text string, lang string, score double")
+    marks = spark.createDataFrame([*labels, (1, None, None), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
+    got = {r["doc_id"]: r for r in T.score(docs, marks).collect()}
+    assert len(got) == len(rows) + 3
+    for d, r in got.items():
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7)
+        assert r["held_out"] == (d is not None and zlib.crc32(str(d).encode()) % 3 == 1)
+    held = [(r["predicted"], d % 8 == 0) for d, r in got.items() if d is not None and d < 900 and r["held_out"]]
+    assert np.mean([p == y for p, y in held]) > 0.96
+
+
+def test_held_out_labels_change_nothing(spark):
+    rows, labels = corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    flipped = [(d, q, 1 - t if zlib.crc32(str(d).encode()) % 3 == 1 else t) for d, q, t in labels]
+    a, b = ({r["doc_id"]: r["score"] for r in T.score(docs, spark.createDataFrame(x, "doc_id bigint, quality int, toxic int")).collect()} for x in (labels, flipped))
+    assert a == b
+
+
+def test_without_positives_or_rows(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert {r["score"] for r in T.score(docs, none).collect()} == {0.0}
+    assert T.score(empty, none).count() == 0
+
+
+def test_risk_does_not_run_away():
+    rng = np.random.default_rng(1)
+    xu = rng.normal(size=(600, 3)).astype(np.float32)
+    xu[:60, 0] += 4
+    xp = rng.normal(size=(80, 3)).astype(np.float32)
+    xp[:, 0] += 4
+    w = T.fit_nnpu(xp, xu, 0.1)
+    assert ((xu @ w[:3] + w[3] > 0)[:60]).mean() > 0.8 and ((xu @ w[:3] + w[3] > 0)[60:]).mean() < 0.1
