@@ -96,7 +96,16 @@ class Step:
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[Step]:
-    """Steps that place every piece of ``counts`` (pieces by length)."""
+    """Steps that place every piece of ``counts`` (pieces by length) in the fewest sequences that any depth reaches.
+
+    Combinations use up the small pieces that best fit needs when pieces are few, so the plan is made with combinations
+    of up to three, two, one and no pieces; the plans cost little, and with many pieces the deepest one wins.
+    """
+    plans = [_plan(counts, limit, depth) for depth in (3, 2, 1, 0)]
+    return min(plans, key=lambda steps: sum(s.times for s in steps))
+
+
+def _plan(counts: dict[int, int], limit: int, depth: int) -> list[Step]:
     left = np.zeros(limit + 1, dtype=np.int64)
     for size, n in counts.items():
         left[size] = n
@@ -113,12 +122,12 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[Step]:
 
     def combinations(gap: int, largest: int) -> Iterator[tuple[int, ...]]:
         """Available combinations of one, two, then three lengths up to ``largest`` that fill ``gap`` exactly."""
-        if gap <= largest and left[gap]:
+        if depth > 0 and gap <= largest and left[gap]:
             yield (gap,)
-        for a in range(min(gap - 1, largest), (gap - 1) // 2, -1):
+        for a in range(min(gap - 1, largest), (gap - 1) // 2, -1) if depth > 1 else ():
             if left[a] and left[gap - a]:
                 yield (a, gap - a)
-        for a in range(min(gap - 2, largest), (gap - 1) // 3, -1):
+        for a in range(min(gap - 2, largest), (gap - 1) // 3, -1) if depth > 2 else ():
             if left[a]:
                 rest = gap - a
                 low = np.arange(max(1, rest - a), rest // 2 + 1)
