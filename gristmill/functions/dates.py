@@ -13,8 +13,8 @@ MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agost
 
 def elapsed_days(then: Column, now: Column) -> Column:
     """Full periods of 24 hours, not calendar days; never negative, and the sentinel where the time is unknown."""
-    seconds = F.unix_timestamp(now) - F.unix_timestamp(then)
-    return F.coalesce(F.greatest(F.floor(seconds / 86400), F.lit(0)), F.lit(UNKNOWN_AGE)).cast("int")
+    days = F.floor((F.unix_timestamp(now) - F.unix_timestamp(then)) / 86400)
+    return F.when(days.isNull(), UNKNOWN_AGE).when(days < 0, 0).otherwise(days).cast("int")  # greatest() would skip the null
 
 
 def parse_time(text: Column) -> Column:
@@ -31,14 +31,13 @@ def relative_age(text: Column, now: Column) -> Column:
     """A Spanish relative date to days. The order of the cases matters, and all digits of the text make one number."""
     t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
     digits = F.regexp_replace(t, r"[^0-9]", "")
-    number = F.try_cast(digits, "int") if hasattr(F, "try_cast") else digits.try_cast("int")
+    number = digits.try_cast("int")
     parts = F.split(t, " de ")
     day = F.trim(F.get(parts, F.lit(0))).try_cast("int")
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.trim(F.get(parts, F.lit(1)))).cast("int")
     posted = F.try_to_timestamp(
         F.concat_ws("-", F.year(now).cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")), F.lit("yyyy-MM-dd")
     )
-    this_year = F.greatest(F.floor((F.unix_timestamp(now) - F.unix_timestamp(posted)) / 86400), F.lit(0)).cast("int")
     has = lambda *words: F.greatest(*[F.contains(t, F.lit(w)) for w in words], F.lit(False))
     return (
         F.when(t == "", UNKNOWN_AGE)
@@ -48,6 +47,6 @@ def relative_age(text: Column, now: Column) -> Column:
         .when(has("semana"), F.coalesce(number, F.lit(1)) * 7)
         .when(has("mes"), F.coalesce(number, F.lit(1)) * 30)
         .when(has("día", "dia"), F.coalesce(number, F.lit(0)))
-        .otherwise(F.coalesce(this_year, F.lit(UNKNOWN_AGE)))
+        .otherwise(elapsed_days(posted, now))
         .cast("int")
     )

@@ -1,0 +1,129 @@
+import random
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gristmill.operators import fuzzy, gate
+from gristmill.operators import rules as R
+
+RULES = R.default_rules()
+TODAY = "2024-06-30"
+
+
+def verdicts(spark, texts, of):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", of(F.lower("t"), RULES).alias("v"))
+    return [(r["v"]["status"], r["v"]["evidence"]) for r in sorted(rows.collect())]
+
+
+def test_remote_precedence_and_tolerance(spark):
+    cases = [
+        ("Trabajo remoto", ("remote", ["remoto"])), ("remoto, modelo híbrido", ("hybrid", ["híbrido"])), ("remoto 2 días por semana", ("hybrid", ["2 días por semana"])),
+        ("remote, 3 days per month", ("hybrid", ["3 days per month"])), ("remoto, 1 día al mes en sitio", ("remote", ["1 día al mes", "remoto"])), ("presencial remoto", ("onsite", ["presencial"])),
+        ("0 days a week, remote", ("remote", ["remote"])), ("nada", ("unknown", [])), ("", ("unknown", [])), ("1 day per month", ("unknown", ["1 day per month"])),
+    ]
+    assert verdicts(spark, [t for t, _ in cases], R.remote) == [v for _, v in cases]
+
+
+def test_english_tiers_and_evidence_order(spark):
+    cases = [
+        ("bilingual and native english", ("reject", ["native english"])), ("nivel C1, english required", ("reject", ["c1"])), ("english required", ("indeterminate", ["english required"])),
+        ("advanced english c2", ("reject", ["advanced english", "c2"])), ("abc1 xc2", ("compatible", [])), ("B2 english", ("compatible", [])),
+    ]
+    assert verdicts(spark, [t for t, _ in cases], R.english) == [v for _, v in cases]
+
+
+def test_title_rules(spark):
+    rows = [("Sales Manager", "x"), ("HR  lead", "x"), ("Hr lead", "x"), ("Manager", "x"), ("Data Manager", "x"), ("Engineer manager", "Evil Corp "), (None, None)]
+    rules = R.RuleSet(excluded_companies=("evil",), excluded_title_keywords=RULES.excluded_title_keywords, title_caution_words=RULES.title_caution_words)
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, c string").select(
+        "i", R.title_rejected(F.col("t"), F.col("c"), rules).alias("bad"), R.caution_flags(F.col("t"), rules).alias("flags")
+    )
+    assert [(r["bad"], r["flags"]) for r in sorted(got.collect())] == [
+        (True, ["manager"]), (True, []), (True, []), (False, ["manager"]), (False, []), (True, ["manager", "engineer"]), (False, [])
+    ]
+
+
+def postings(spark, rows):
+    return spark.createDataFrame(rows, "ord bigint, source string, title string, company string, description string, days_old int")
+
+
+def test_first_failing_rule_gives_the_reason(spark):
+    rows = [
+        (1, "s", "Sales manager", "a", "remote c1", 1), (2, "s", "Analyst", "a", "remote, C1", 1), (3, "s", "Analyst", "a", "presencial", 99), (4, "s", "Analyst", "a", "remote", 16),
+        (5, "s", "Analyst", "a", "remote", 15), (6, "s", "Manager", "a", "remote english required", None), (7, "s", "Manager", "a", "remote english required", 0),
+    ]
+    got = {r["ord"]: r for r in gate.classify(postings(spark, rows), RULES).collect()}
+    assert [got[i]["reject_reason"] for i in range(1, 8)] == ["excluded_title_or_company", "advanced_english_required", "not_remote:onsite", "stale", None, "stale", None]
+    assert got[1]["english_requirement"] == "compatible" and got[2]["remote_status"] == "unknown" and got[3]["remote_status"] == "onsite"
+    assert got[7]["english_requirement"] == "indeterminate" and got[7]["title_caution_flags"] == ["manager"] and got[6]["title_caution_flags"] == []
+
+
+LONG = "remote work with dashboards and reports for many teams over many years and places " * 6
+
+
+def test_gate_order_of_reasons(spark):
+    rows = [
+        (1, "a", "One", "Acme", LONG, 1), (2, "b", "Other title", "ACME", LONG + " more", 1), (3, "a", "Two", "Beta", LONG, 1), (4, "a", "Three", "Gamma", "remote gamma " * 30, 1),
+        (5, "a", "Four", "Delta", "remote delta " * 30, 1), (6, "a", "Five", "Eps", "remote eps " * 30, 1),
+    ]
+    jobs = gate.with_identity(postings(spark, rows))
+    key = {r["ord"]: r["signature"] for r in jobs.collect()}
+    cache = spark.createDataFrame([(key[3], "2024-06-01"), (key[4], "2024-05-31"), (key[6], "2024-06-29")], "signature string, d string").select("signature", F.to_date("d").alias("last_seen"))
+    dismissed = spark.createDataFrame([(key[5],), (key[6],)], "signature string")
+    got = {r["ord"]: r["reject_reason"] for r in gate.gate(jobs, RULES, today=F.lit(TODAY).cast("date"), cache=cache, dismissed=dismissed).collect()}
+    assert got == {1: None, 2: "duplicate_within_run", 3: "cached_recently", 4: None, 5: "dismissed_by_user", 6: "cached_recently"}
+    assert gate.gate(postings(spark, rows).where("false"), RULES, today=F.lit(TODAY).cast("date")).count() == 0
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc ", max_size=60), st.text("abc ", max_size=60), st.integers(0, 62))
+def test_bit_parallel_lcs(a, b, need):
+    assert fuzzy.lcs_at_least(a, b, need) == (lcs(a, b) >= need)
+
+
+def test_bit_parallel_lcs_on_long_texts():
+    rng = random.Random(1)
+    a = "".join(rng.choices("abcdefg ", k=700))
+    b = "".join(c for c in a if rng.random() > 0.07)
+    n = lcs(a, b)
+    assert fuzzy.lcs_at_least(a, b, n) and not fuzzy.lcs_at_least(a, b, n + 1)
+    assert not fuzzy.lcs_at_least(a, "".join(rng.choices("abcdefg ", k=700)), 630)
+    assert fuzzy.needed(10, 10) == 9 and fuzzy.needed(11, 10) == 10
+
+
+def greedy(rows):
+    from test_text import normal
+
+    kept, gone = {}, set()
+    for order, company, text in sorted(rows):
+        group, t = kept.setdefault(normal(company), []), normal(text)
+        same = any(t and k and min(len(t), len(k)) / max(len(t), len(k)) >= 0.7 and 200 * lcs(t, k) / (len(t) + len(k)) >= 90 for k in group)
+        gone.add(order) if same else group.append(t)
+    return gone
+
+
+@pytest.mark.parametrize("parts", [1, 4, 17])
+def test_greedy_dedup_whatever_the_partitions(spark, parts):
+    rng = random.Random(2)
+    base = ["".join(rng.choices("abcdefghij  ", k=120)) for _ in range(4)]
+    rows = [(100, "Á co", ""), (101, "a co", ""), (102, "a co", None)]
+    for order in range(60):
+        text = list(rng.choice(base))
+        for _ in range(rng.randint(0, 16)):
+            text[rng.randrange(len(text))] = rng.choice("xyz")
+        rows.append((order, rng.choice(["A co", "Á CO", "b"]), "".join(text)))
+    frame = spark.createDataFrame(rows, "ord bigint, company string, description string").repartition(parts)
+    got = [r["ord"] for r in fuzzy.duplicates(frame).collect()]
+    assert Counter(got) == Counter(greedy(rows)) and got
