@@ -3,7 +3,7 @@
 from pyspark.sql import types as T
 
 _S, _I, _B, _D, _TS = T.StringType(), T.IntegerType(), T.BooleanType(), T.DateType(), T.TimestampType()
-_LIST = T.ArrayType(T.StringType(), False)
+_LIST = T.ArrayType(T.StringType())
 
 #: Age of a posting whose date is unknown.
 UNKNOWN_AGE = 999
