@@ -301,9 +301,17 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     work = Workspace(spark, "html")
     source = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"), F.col("page_id").cast("bigint").alias("page_id"), F.col("url"))
-    first = source.groupBy("host").agg(F.min("page_id").alias("page_id"))
+    first = work.put(source.groupBy("host").agg(F.min("page_id").alias("page_id")).where("page_id IS NOT NULL"), "first")
+    # one key, so that a join of many hosts deals pages by page and not by the host they were grouped by
+    key = F.concat_ws("\n", F.col("host"), F.col("page_id").cast("string")).alias("key")
+    first = first.select(key)
+    few = (first.agg(F.sum(F.length("key") + 64)).first()[0] or 0) <= BROADCAST_BYTES
     references = work.put(
-        source.select("host", "page_id", "html").join(first, ["host", "page_id"], "left_semi").select("host", "html").mapInArrow(_reference_batches, _REFERENCE).dropDuplicates(["host"]),
+        source.select("host", "html", key)
+        .join(F.broadcast(first) if few else first, "key", "left_semi")
+        .select("host", "html")
+        .mapInArrow(_reference_batches, _REFERENCE)
+        .dropDuplicates(["host"]),
         "references",
     )
     bytes_ = references.agg(F.sum(F.size("tags") * 24 + 64)).first()[0] or 0
