@@ -92,7 +92,7 @@ class Run:
 
 
 def stores_reset(run: Run) -> None:
-    for name in ("manifest", "gated", "prefiltered", "evaluated", "ranked"):
+    for name in ("manifest", "gated", "scored", "prefiltered", "evaluated", "ranked"):
         p, fs = run._fs(run.path(name))
         fs.delete(p, True)
 
@@ -141,7 +141,7 @@ def run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str]) ->
         lambda: G.gate(jobs, run.rules, today=today, cache=cache, dismissed=stores.dismissed(run.log("tracking")), max_days_old=run.max_days_old),
     )
     kept = G.kept(gated)
-    split = run.stage("prefiltered", lambda: scoring.prefilter(kept, run.rules))
+    split = run.stage("prefiltered", lambda: scoring.prefilter(kept, run.rules, run.put))
     selected = split.where("disposition = 'selected'")
     results_ = run.stage("evaluated", lambda: scoring.evaluate(selected, evaluator))
     checked = scoring.validate(scoring.assemble(scoring.with_batches(selected), results_), run.rules)

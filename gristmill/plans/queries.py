@@ -14,6 +14,7 @@ from gristmill.operators import fuzzy, gate, scoring, stores
 from gristmill.operators import rules as R
 from gristmill.plans import sql as S
 from gristmill.plans.demo import JOBS_SQL, NOW, RULES, TODAY, TRACK_SQL, ZONE, jobs, read, tracking
+from gristmill.plans.stage import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,13 +176,20 @@ def cache_merge(spark, sf):
 
 @query(f"WITH {_SCORED} SELECT ord, score AS prefilter_score FROM scored")
 def prefilter_score(spark, sf):
-    return scoring.prefilter(_all_classified(spark, sf), RULES).select("ord", "prefilter_score")
+    return _all_scored(spark, sf).select("ord", "prefilter_score")
 
 
-def _all_classified(spark, sf):
-    """Postings with their remote status, whatever the gate says of them."""
+def _all_scored(spark, sf):
+    """Postings with their score, whatever the gate says of them."""
     j = jobs(spark, sf)
-    return j.withColumn("remote_status", R.remote(R.lowered(F.col("title"), F.col("description")), RULES)["status"])
+    j = j.withColumn("remote_status", R.remote(R.lowered(F.col("title"), F.col("description")), RULES)["status"])
+    return j.withColumn("prefilter_score", R.prefilter_score(F.col("title"), F.col("description"), F.col("remote_status"), F.col("days_old"), RULES))
+
+
+def _split(spark, sf):
+    """Scored postings with their disposition; the scores are a stage table without texts."""
+    scored = _all_scored(spark, sf).select("ord", "source", "prefilter_score")
+    return scoring.cap(stage(spark)(scored, "scored"), RULES)
 
 
 @query(
@@ -190,7 +198,7 @@ SELECT s.ord, s.score AS prefilter_score, CASE WHEN s.score < {RULES.reject_floo
 FROM scored s LEFT JOIN r ON s.ord = r.ord"""
 )
 def prefilter_cap(spark, sf):
-    return scoring.prefilter(_all_classified(spark, sf), RULES).select("ord", "prefilter_score", "disposition")
+    return _split(spark, sf).select("ord", "prefilter_score", "disposition")
 
 
 @query(f"SELECT event_id, ({S.recency('floor(value)', RULES)})::INT AS bonus FROM events")
@@ -244,7 +252,7 @@ def validate_demote(spark, sf):
 SELECT ord, score AS final_score, {S.grade('score')} AS grade, (k <= {RULES.cap}) AS in_cap FROM r"""
 )
 def rank_jobs(spark, sf):
-    p = scoring.prefilter(_all_classified(spark, sf).withColumn("english_requirement", F.lit("compatible")), RULES)
+    p = _split(spark, sf).withColumn("english_requirement", F.lit("compatible"))
     ranked = scoring.rank(scoring.defer(p.where("disposition = 'selected'")), scoring.defer(p.where("disposition = 'deferred'")))
     return ranked.select("ord", "final_score", "grade", (F.col("part") == 0).alias("in_cap"))
 
@@ -319,13 +327,13 @@ def source_facets(spark, sf):
 
 @query(f"WITH {_SCORED} SELECT CASE WHEN score >= 90 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B' ELSE 'C/D' END AS tier, count(*)::BIGINT AS n FROM scored GROUP BY ALL")
 def grade_counts(spark, sf):
-    p = scoring.prefilter(_all_classified(spark, sf), RULES)
+    p = _all_scored(spark, sf)
     return stores.grade_counts(p.select(R.grade(F.col("prefilter_score")).alias("grade")))
 
 
 @query(f"WITH {_SCORED} SELECT source, count(*)::BIGINT AS total, round(avg(score), 6) AS avg_score, {', '.join(f'''(count(*) FILTER (WHERE {S.grade('score')} = '{g}'))::BIGINT AS grade_{n}''' for g, n in (('A+', 'a_plus'), ('A', 'a'), ('B', 'b'), ('C', 'c'), ('D', 'd')))} FROM scored GROUP BY source")
 def source_pivot(spark, sf):
-    p = scoring.prefilter(_all_classified(spark, sf), RULES).select("source", "prefilter_score", R.grade(F.col("prefilter_score")).alias("grade"))
+    p = _all_scored(spark, sf).select("source", "prefilter_score", R.grade(F.col("prefilter_score")).alias("grade"))
     counts = [F.count_if(F.col("grade") == g).alias(f"grade_{n}") for g, n in (("A+", "a_plus"), ("A", "a"), ("B", "b"), ("C", "c"), ("D", "d"))]
     return p.groupBy("source").agg(F.count("*").alias("total"), F.round(F.avg("prefilter_score"), 6).alias("avg_score"), *counts)
 
@@ -369,6 +377,6 @@ def parse_model_output(spark, sf):
 def flagship(spark, sf):
     """Gate, prefilter, cap and rank of all postings, with the best first."""
     kept = gate.kept(gate.classify(gate.with_identity(jobs(spark, sf)), RULES))
-    p = scoring.prefilter(kept, RULES)
+    p = scoring.prefilter(kept.drop("url"), RULES, stage(spark))
     ranked = scoring.rank(scoring.defer(p.where("disposition = 'selected'")), scoring.defer(p.where("disposition = 'deferred'")))
     return ranked.select("ord", "source", "signature", "final_score", "grade", "fit", (F.col("part") == 0).alias("in_cap"))
