@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\f\r"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +41,17 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def put(self, df: DataFrame, what: str = "t") -> DataFrame:
+    def put(self, df: DataFrame, what: str = "t", batch_rows: int | None = None) -> DataFrame:
+        """``batch_rows``: rows that Python gets at once while this table is made, for rows that are large."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{what}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(_BATCH)
+        try:
+            if batch_rows:
+                self.spark.conf.set(_BATCH, str(batch_rows))
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out

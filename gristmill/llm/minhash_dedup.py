@@ -42,7 +42,9 @@ PER_CENT = 85
 #: Shingles that a block of the exact comparison holds, about.
 BLOCK = 250_000
 #: Texts that are hashed together, and the shingles after which a group is closed early.
-_GROUP, _GROUP_SHINGLES = 512, 1 << 20
+_GROUP, _GROUP_SHINGLES = 512, 1 << 18
+#: Rows of texts or sets that Python gets at once.
+_ROWS = 1000
 
 _U = np.uint64
 _EMPTY = np.iinfo(np.uint64).max
@@ -213,7 +215,7 @@ def components(docs: DataFrame, work: Workspace) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = work.put(
-        source.mapInArrow(_sketch_batches, "doc_id bigint, n bigint, ca bigint, cb bigint, bands array<bigint>"), "sketches"
+        source.mapInArrow(_sketch_batches, "doc_id bigint, n bigint, ca bigint, cb bigint, bands array<bigint>"), "sketches", _ROWS
     )
     classes = work.put(
         sketched.where("ca IS NOT NULL")
@@ -231,6 +233,7 @@ def components(docs: DataFrame, work: Workspace) -> DataFrame:
         .join(involved.hint("shuffle_hash"), "rep", "left_semi")
         .mapInArrow(_set_batches, "rep bigint, items array<bigint>"),
         "sets",
+        _ROWS,
     )
     close = F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * PER_CENT
     pairs = buckets.where((F.col("rep") != F.col("first.rep")) & close).select(F.col("rep").alias("u"), F.col("first.rep").alias("v")).distinct()
@@ -240,6 +243,7 @@ def components(docs: DataFrame, work: Workspace) -> DataFrame:
         .select("u", "v", "a", "b")
         .mapInArrow(_verify, "u bigint, v bigint"),
         "links",
+        _ROWS,
     )
     first = work.put(connected(links, work), "components")
     members = work.put(
@@ -248,7 +252,7 @@ def components(docs: DataFrame, work: Workspace) -> DataFrame:
         "members",
     )
     still_open = members.join(_open_buckets(members).select("bucket"), "bucket", "left_semi")
-    more = work.put(_residual_links(still_open, sets, work), "more-links")
+    more = work.put(_residual_links(still_open, sets, work), "more-links", _ROWS)
     final = work.put(connected(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), work), "final")
     named = classes.select("ca", "cb", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("ca", "cb", F.coalesce("component", "rep").alias("component_id"))

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 SIZE = 5
-_CACHE_WORDS = 1 << 20
+_CACHE_WORDS = 1 << 16
 _MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(b"word", k) | 1 for k in range(SIZE)], dtype=np.uint64)
 _U = np.uint64
 
