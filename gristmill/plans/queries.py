@@ -13,6 +13,7 @@ from gristmill.functions import text as X
 from gristmill.operators import fuzzy, gate, scoring, stores
 from gristmill.operators import rules as R
 from gristmill.plans import sql as S
+from gristmill.plans import views
 from gristmill.plans.demo import JOBS_SQL, NOW, RULES, TODAY, TRACK_SQL, ZONE, jobs, read, tracking
 from gristmill.plans.stage import stage
 
@@ -374,6 +375,73 @@ def parse_model_output(spark, sf):
     return answers.select("batch", F.explode(M.parsed_answer("answer")).alias("r")).select("batch", "r.signature", "r.ai_score", F.size("r.pros").alias("n_pros"))
 
 
+@query("SELECT event_id, CASE WHEN floor(value) >= 999 THEN 'unknown' WHEN floor(value) <= 0 THEN 'today' WHEN floor(value) = 1 THEN 'yesterday' ELSE floor(value)::INT || ' days ago' END AS label FROM events")
+def age_label(spark, sf):
+    return read(spark, sf, "events").select("event_id", views.age_label(F.floor("value").cast("int")).alias("label"))
+
+
+@query(f"WITH {_OPEN.removeprefix('WITH ')}, prior AS (SELECT signature, min(tracked_at) AS t FROM track WHERE seq % 5 = 0 GROUP BY signature) SELECT l.signature, coalesce(prior.t, TIMESTAMP '{NOW}') AS first_seen_at FROM last l LEFT JOIN prior ON prior.signature = l.signature")
+def first_seen_carry(spark, sf):
+    t = tracking(spark, sf)
+    entries = stores.latest(t.where("seq % 2 = 0").select("seq", "signature")).select("signature")
+    prior = t.where("seq % 5 = 0").select("signature", F.col("tracked_at").alias("first_seen_at"))
+    return stores.with_first_seen(entries, prior, F.lit(NOW).cast("timestamp")).select("signature", "first_seen_at")
+
+
+@query(f"WITH {TRACK_SQL} SELECT seq, signature FROM track WHERE seq % 3 = 0 AND signature NOT IN (SELECT signature FROM track WHERE value > 330)")
+def resume_pending(spark, sf):
+    t = tracking(spark, sf)
+    return views.pending(t.where("seq % 3 = 0"), t.where("value > 330")).select("seq", "signature")
+
+
+_STATE = "CASE event_type WHEN 'click' THEN 'draft_ready' WHEN 'purchase' THEN 'submitted' ELSE 'failed' END"
+
+
+@query(f"WITH {TRACK_SQL}, app AS (SELECT signature, arg_max({_STATE}, seq) AS status FROM track GROUP BY signature), box AS (SELECT DISTINCT signature FROM track WHERE value > 150) SELECT app.signature, box.signature IS NULL AS missing FROM app LEFT JOIN box ON app.signature = box.signature WHERE status = 'draft_ready'")
+def ready_drafts(spark, sf):
+    t = tracking(spark, sf)
+    applications = t.select("seq", "signature", F.expr(_STATE).alias("status"))
+    return views.drafts(applications, t.where("value > 150").select("seq", "signature", F.lit(1).alias("scored"))).select("signature", "missing")
+
+
+@query(f"WITH {TRACK_SQL}, a AS (SELECT signature, arg_max(action, seq) AS action FROM track GROUP BY signature), l AS (SELECT signature, arg_max(label, seq) AS label FROM (SELECT seq, signature, CASE WHEN value > 50 THEN 'good' ELSE 'bad' END AS label FROM track WHERE seq % 40 = 1) GROUP BY signature), p AS (SELECT signature, arg_max({_STATE}, seq) AS application_status FROM track WHERE seq % 50 = 2 GROUP BY signature) SELECT e.signature, action, label, application_status FROM (SELECT DISTINCT signature FROM track) e LEFT JOIN a ON e.signature = a.signature LEFT JOIN l ON e.signature = l.signature LEFT JOIN p ON e.signature = p.signature")
+def entry_overlay(spark, sf):
+    t = tracking(spark, sf)
+    marks = t.where("seq % 40 = 1").select("seq", "signature", F.when(F.col("value") > 50, "good").otherwise("bad").alias("label"))
+    states = t.where("seq % 50 = 2").select("seq", "signature", F.expr(_STATE).alias("status"))
+    return stores.overlay(t.select("signature").distinct(), t.select("seq", "signature", "action"), marks, states)
+
+
+@query("SELECT page_id, string_split(rtrim(url, '/'), '/')[-1] AS segment, translate(string_split(rtrim(url, '/'), '/')[-1], '-_', '  ') AS words FROM pages")
+def url_helpers(spark, sf):
+    p = read(spark, sf, "pages").select("page_id", X.last_segment(F.col("url")).alias("segment"))
+    return p.select("page_id", "segment", X.slug_words(F.col("segment")).alias("words"))
+
+
+@query(
+    """WITH h AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_orderpriority || ': ' || o_orderstatus || ': x' END AS head FROM orders)
+SELECT o_orderkey, CASE WHEN contains(head, ': ') THEN trim(string_split(head, ': ')[1]) ELSE 'Unknown' END AS company,
+  CASE WHEN contains(head, ': ') THEN trim(substr(head, instr(head, ': ') + 2)) ELSE trim(head) END AS title FROM h"""
+)
+def heading_split(spark, sf):
+    head = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).otherwise(F.concat("o_orderpriority", F.lit(": "), "o_orderstatus", F.lit(": x")))
+    h = read(spark, sf, "orders").select("o_orderkey", X.company_and_title(head).alias("h"))
+    return h.select("o_orderkey", F.col("h.company").alias("company"), F.col("h.title").alias("title"))
+
+
+@query(f"WITH {_SCORED} SELECT ord, {S.grade('score')} AS grade FROM scored WHERE score >= 55 AND source = 'en' AND contains(lower(concat_ws(' ', title, company)), 'src1')")
+def list_view(spark, sf):
+    scored = _all_scored(spark, sf).select("ord", "source", "title", "company", R.grade(F.col("prefilter_score")).alias("grade"))
+    return stores.view(scored, source="en", search="SRC1").select("ord", "grade")
+
+
+@query("SELECT l_returnflag AS source, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL")
+def union_of_sources(spark, sf):
+    li = read(spark, sf, "lineitem")
+    parts = [li.where(F.col("l_returnflag") == f).select(F.lit(f).alias("source"), "l_orderkey") for f in ("A", "N", "R")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source").agg(F.count("*").alias("n"))
+
+
 def flagship(spark, sf):
     """Gate, prefilter, cap and rank of all postings, with the best first."""
     kept = gate.kept(gate.classify(gate.with_identity(jobs(spark, sf)), RULES))
