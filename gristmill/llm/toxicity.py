@@ -37,7 +37,7 @@ THRESHOLD = 0.7
 BEGINNINGS = (4, 5, 6, 7)
 
 _WORD = re.compile(r"\w+")
-_CACHE_WORDS = 1 << 19
+_CACHE_WORDS = 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -64,46 +64,64 @@ class Features:
                 self._known[word] = found
         return found
 
-    def sparse(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, values) of a text."""
-        words = _WORD.findall(text.lower())
+    def sparse(self, bag: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, values) of a text's bag of words."""
         met: Counter[int] = Counter()
-        hits = 0
-        for word, n in Counter(words).items():
+        hits, total = 0, bag.total()
+        for word, n in bag.items():
             found = self._of(word)
             if found:
                 met.update(found)
                 hits += n
         at = np.array([*met, *range(self.size - 3, self.size)], dtype=np.int64)
-        summary = [np.log1p(hits), np.sqrt(hits / max(1, len(words))), np.log1p(len(words)) / 10]
+        summary = [np.log1p(hits), np.sqrt(hits / max(1, total)), np.log1p(total) / 10]
         return at, np.array([*np.log2(1.0 + np.array([*met.values()])), *summary], dtype=np.float32)
 
-    def matrix(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.size), dtype=np.float32)
-        for row, text in zip(out, texts, strict=True):
-            at, value = self.sparse(text)
-            row[at] = value
-        return out
+    def rows(self, bags: list[Counter[str]]) -> Rows:
+        return Rows([self.sparse(b) for b in bags], self.size)
 
 
-def choose_features(positive: list[str], unlabelled: list[str], most: int = MAX_FEATURES) -> list[str]:
-    """Words and beginnings with the largest log-odds of documents, weighted by their support among the positives."""
+class Rows:
+    """A sparse matrix by rows, with a column of ones at the end; no row is empty."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], size: int):
+        self.columns = size + 1
+        self.count = len(rows)
+        self.at = np.concatenate([np.append(at, size) for at, _ in rows])
+        self.value = np.concatenate([np.append(value, 1.0) for _, value in rows]).astype(np.float64)
+        length = np.array([len(at) + 1 for at, _ in rows])
+        self.starts = np.concatenate(([0], np.cumsum(length)[:-1]))
+        self.row = np.repeat(np.arange(self.count), length)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.value * w[self.at], self.starts)
+
+    def weighted(self, s: np.ndarray) -> np.ndarray:
+        """Sum of the rows, each times its ``s``."""
+        return np.bincount(self.at, self.value * s[self.row], self.columns)
+
 
-    def documents(texts: list[str]) -> Counter[str]:
-        count: Counter[str] = Counter()
-        for text in texts:
-            count.update({p for w in set(_WORD.findall(text.lower())) for p in _parts(w)})
-        return count
+def bag_of(text: str) -> Counter[str]:
+    return Counter(_WORD.findall(text.lower()))
+
+
+def choose_features(positive: list[Counter[str]], unlabelled: list[Counter[str]], most: int = MAX_FEATURES) -> list[str]:
+    """Words and beginnings with the largest log-odds of documents, weighted by their support among the positives."""
 
-    p, u = documents(positive), documents(unlabelled)
     n, m = len(positive) + 1, len(unlabelled) + 1
     least = max(2, -(-len(positive) // 50))
+    p: Counter[str] = Counter()
+    for bag in positive:
+        p.update({part for word in bag for part in _parts(word)})
+    p = Counter({name: k for name, k in p.items() if k >= least})
+    u: Counter[str] = Counter()
+    for bag in unlabelled:  # only what may be chosen is counted
+        u.update({part for word in bag for part in _parts(word) if part in p})
     rated = []
     for name, k in p.items():
-        if k >= least:
-            odds = np.log((k + 0.5) / n) - np.log((u[name] + 0.5) / m)
-            if odds > 0.8:
-                rated.append((-odds * np.sqrt(k), name))
+        odds = np.log((k + 0.5) / n) - np.log((u[name] + 0.5) / m)
+        if odds > 0.8:
+            rated.append((-odds * np.sqrt(k), name))
     return [name for _, name in sorted(rated)[:most]]
 
 
@@ -111,19 +129,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def fit_nnpu(xp: Rows, xu: Rows, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights (bias last) that minimise the non-negative risk under the logistic loss, by Adam."""
-    xp = np.hstack([xp, np.ones((len(xp), 1), xp.dtype)])
-    xu = np.hstack([xu, np.ones((len(xu), 1), xu.dtype)])
-    w = np.zeros(xp.shape[1], dtype=np.float64)
+    w = np.zeros(xp.columns)
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        narrow = w.astype(np.float32)
-        sp, su = _sigmoid(xp @ narrow), _sigmoid(xu @ narrow)
+        sp, su = _sigmoid(xp.times(w)), _sigmoid(xu.times(w))
         loss_u = -np.log(np.maximum(1 - su, 1e-12)).mean()
         loss_p = -np.log(np.maximum(1 - sp, 1e-12)).mean()
-        positive = -prior * ((1 - sp) @ xp) / len(xp)
-        negative = (su @ xu) / len(xu) - prior * (sp @ xp) / len(xp)
+        positive = -prior * xp.weighted(1 - sp) / xp.count
+        negative = xu.weighted(su) / xu.count - prior * xp.weighted(sp) / xp.count
         gradient = positive + negative if loss_u - prior * loss_p >= 0 else -negative
         gradient = gradient + decay * np.append(w[:-1], 0.0)
         first = 0.9 * first + 0.1 * gradient
@@ -133,16 +148,21 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, rounds: int = 400, ra
 
 
 def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """(slope, shift) of a logistic fit of labels on margins, with smoothed targets."""
+    """(slope, shift) of a logistic fit of labels on margins, with smoothed targets.
+
+    Positives, which are rare, weigh the square root of how much rarer they are: half way, in log-odds, between a score
+    that is the plain probability and one under even classes.
+    """
     positives, negatives = label.sum(), len(label) - label.sum()
     target = np.where(label > 0, (positives + 1) / (positives + 2), 1 / (negatives + 2))
+    weight = np.where(label > 0, np.sqrt(negatives / positives), 1.0)
     scale = margin.std() + 1e-9
     x = np.stack([margin / scale, np.ones(len(margin))], axis=1)
     w = np.array([1.0, 0.0])
     for _ in range(50):
         p = _sigmoid(x @ w)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        w = w - np.linalg.solve(hessian, x.T @ (p - target) + 1e-6 * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        w = w - np.linalg.solve(hessian, x.T @ (weight * (p - target)) + 1e-6 * w)
     return max(float(w[0] / scale), 1e-6), float(w[1])
 
 
@@ -153,12 +173,12 @@ class Model:
     slope: float
     shift: float
 
-    def margin(self, text: str) -> float:
-        at, value = self.features.sparse(text)
+    def margin(self, bag: Counter[str]) -> float:
+        at, value = self.features.sparse(bag)
         return float(self.weights[at] @ value + self.weights[-1])
 
     def score(self, text: str) -> float:
-        return float(_sigmoid(np.array(self.slope * self.margin(text) + self.shift)))
+        return float(_sigmoid(np.array(self.slope * self.margin(bag_of(text)) + self.shift)))
 
 
 def fit(positive: list[str], unlabelled: list[str], labelled: list[tuple[str, int]], prior: float) -> Model:
@@ -167,20 +187,21 @@ def fit(positive: list[str], unlabelled: list[str], labelled: list[tuple[str, in
     Equal texts fall into the same half.
     """
 
-    def bare(p: list[str], u: list[str]) -> Model:
+    def bare(p: list[Counter[str]], u: list[Counter[str]]) -> Model:
         features = Features(choose_features(p, u))
-        return Model(features, fit_nnpu(features.matrix(p), features.matrix(u), prior), 1.0, 0.0)
+        return Model(features, fit_nnpu(features.rows(p), features.rows(u), prior), 1.0, 0.0)
 
-    def half(text: str) -> int:
-        return zlib.crc32(text.encode("utf-8", "surrogatepass")) & 1
+    def halved(texts: list[str]) -> list[tuple[int, Counter[str]]]:
+        return [(zlib.crc32(t.encode("utf-8", "surrogatepass")) & 1, bag_of(t)) for t in texts]
 
-    model = bare(positive, unlabelled)
+    positives, others, told = halved(positive), halved(unlabelled), halved([t for t, _ in labelled])
+    model = bare([b for _, b in positives], [b for _, b in others])
     unseen = []
     for side in (0, 1):
-        p, u = [t for t in positive if half(t) != side], [t for t in unlabelled if half(t) != side]
+        p, u = [b for h, b in positives if h != side], [b for h, b in others if h != side]
         if p and u:
             other = bare(p, u)
-            unseen += [(other.margin(t), y) for t, y in labelled if half(t) == side]
+            unseen += [(other.margin(b), y) for (h, b), (_, y) in zip(told, labelled, strict=True) if h == side]
     if unseen and 0 < sum(y for _, y in unseen) < len(unseen):
         margin, marks = (np.array(c, dtype=float) for c in zip(*unseen, strict=True))
         model.slope, model.shift = calibrate(margin, marks)

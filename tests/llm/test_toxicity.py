@@ -52,9 +52,12 @@ def test_without_positives_or_rows(spark, docs, empty):
 
 def test_risk_does_not_run_away():
     rng = np.random.default_rng(1)
-    xu = rng.normal(size=(600, 3)).astype(np.float32)
+    xu = rng.normal(size=(600, 3))
     xu[:60, 0] += 4
-    xp = rng.normal(size=(80, 3)).astype(np.float32)
+    xp = rng.normal(size=(80, 3))
     xp[:, 0] += 4
-    w = T.fit_nnpu(xp, xu, 0.1)
-    assert ((xu @ w[:3] + w[3] > 0)[:60]).mean() > 0.8 and ((xu @ w[:3] + w[3] > 0)[60:]).mean() < 0.1
+    rows = lambda x: T.Rows([(np.arange(3), r) for r in x], 3)
+    w = T.fit_nnpu(rows(xp), rows(xu), 0.1)
+    assert np.allclose(rows(xu).times(w), xu @ w[:3] + w[3]) and np.allclose(rows(xu).weighted(xu[:, 0])[:3], xu[:, 0] @ xu)
+    right = xu @ w[:3] + w[3] > 0
+    assert right[:60].mean() > 0.8 and right[60:].mean() < 0.1
