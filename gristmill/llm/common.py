@@ -40,6 +40,14 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        # results may be read as long as the driver lives; the folder goes with it
+        path, fs = self._place(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _place(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def put(self, df: DataFrame, what: str = "t", batch_rows: int | None = None) -> DataFrame:
         """``batch_rows``: rows that Python gets at once while this table is made, for rows that are large."""
@@ -57,10 +65,9 @@ class Workspace:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._workspace_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = self._place(df._workspace_path)
+            fs.delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
