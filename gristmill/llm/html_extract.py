@@ -43,12 +43,14 @@ _OFF_TAGS = frozenset("nav footer aside form button dialog menu head search fiel
 _OFF_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog status menu menubar form toolbar".split())
 #: Words in a class or id that say what an element is, fixed values.
 _OFF_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements adbox adslot sponsor sponsored sponsors promo promos promotion banner "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments commentlist respond reply replies disqus discussion sidebar side rail widget widgets related recommended recommendations "
+    "ad ads adv advert adverts advertisement advertisements adbox adslot adsbygoogle sponsor sponsored sponsors promo promos promotion banner "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall disclaimer "
+    "comment comments commentlist respond reply replies disqus discussion sidebar aside widget widgets related recommended recommendations "
     "share sharing social menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer toolbar topbar masthead skip".split()
 )
-_OFF_UNLESS_ARTICLE = frozenset({"header", "side", "notice", "alert", "banner", "rail"})
+_OFF_UNLESS_ARTICLE = frozenset({"header", "notice", "alert", "banner"})
+#: Words that speak of the layout around an element and not of the element.
+_LAYOUT_WORDS = frozenset("has with no without".split())
 _ARTICLE_WORDS = frozenset("article entry post story content main body text".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _NONE_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -76,7 +78,7 @@ def _off(node: Node, inside: bool) -> bool:
     if "style" in lowered and _NONE_SHOWN.search(node.attribute("style") or ""):
         return True
     words = _class_words(node)
-    hit = words & _OFF_WORDS
+    hit = set() if words & _LAYOUT_WORDS else words & _OFF_WORDS
     if "header" in words and not inside:
         hit = hit | {"header"}
     if hit and words & _ARTICLE_WORDS:

@@ -27,6 +27,16 @@ def test_broken_and_empty_pages():
     assert H.Page("<body><form><article><p>in a form</p></article></form></body>").main() == "in a form"
 
 
+def test_what_elements_say_of_themselves():
+    kept = ['<div class="has-sidebar">t</div>', '<div class="entry-header">t</div>', '<div class="post-content">t</div>', "<header><main>t</main></header>", '<div class="headline">t</div>', '<p id="admiral">t</p>']
+    gone = [
+        '<div class="comment-list">t</div>', '<div id="disqus_thread">t</div>', '<div class="adsbygoogle">t</div>', '<div class="siteHeader">t</div>', '<div role="banner">t</div>', '<div class="relatedPosts">t</div>',
+        '<span class="ad">t</span>', '<ul class="breadcrumb"><li>t</ul>', "<div aria-hidden=true>t</div>", "<p hidden>t</p>", "<select><option>t</select>", "<textarea>t</textarea>", '<div class="newsletter-signup"><p>t</p></div>', "<dialog>t</dialog>",
+    ]
+    assert [H.Page(x).main() for x in kept] == ["t"] * len(kept)
+    assert [H.Page(x).main() for x in gone] == [""] * len(gone)
+
+
 def site(n, copies=0):
     rng = random.Random(n)
     rows = []
