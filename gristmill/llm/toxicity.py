@@ -54,6 +54,7 @@ class Features:
     def __init__(self, names: list[str]):
         self.index = {n: i for i, n in enumerate(names)}
         self.size = len(names) + 3
+        self.heads = frozenset(n[: min(BEGINNINGS)] for n in names)  # no other word can hold a feature
         self._known: dict[str, tuple[int, ...]] = {}
 
     def _of(self, word: str) -> tuple[int, ...]:
@@ -68,9 +69,9 @@ class Features:
         """(positions, values) of a text's bag of words."""
         met: Counter[int] = Counter()
         hits, total = 0, bag.total()
+        heads, head = self.heads, min(BEGINNINGS)
         for word, n in bag.items():
-            found = self._of(word)
-            if found:
+            if word[:head] in heads and (found := self._of(word)):
                 met.update(found)
                 hits += n
         at = np.array([*met, *range(self.size - 3, self.size)], dtype=np.int64)
@@ -209,7 +210,7 @@ def fit(positive: list[str], unlabelled: list[str], labelled: list[tuple[str, in
 
 
 def _below(share: float) -> Column:
-    return F.lit(True) if share >= 1 else F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    return F.lit(True) if share >= 1 else F.pmod(F.xxhash64("doc_id"), F.lit(1 << 50)) < int(share * (1 << 50))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
