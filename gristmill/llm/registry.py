@@ -20,4 +20,5 @@ ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
+    "op10_minhash_dedup": minhash_dedup.ORACLE_SQL,
 }
