@@ -366,7 +366,7 @@ def html_to_text(spark, sf):
     return p.select("page_id", F.sha1("text").alias("text_sha1"), F.char_length("text").cast("bigint").alias("n_chars"))
 
 
-@query()
+@query("SELECT event_id % 500 AS batch, 'u' || user_id AS signature, CASE WHEN event_id % 3 = 0 THEN 7 ELSE greatest(0, least(100, trunc(round(value, 2)))) END::INT AS ai_score, 1::INT AS n_pros FROM events")
 def parse_model_output(spark, sf):
     """Answers made from the events, with fences, prose and odd types, read back."""
     e = read(spark, sf, "events")
