@@ -11,7 +11,7 @@ bounds what is broadcast; more items make more blocks.
 Texts are compared in lower case, with ASCII punctuation and white space as single spaces.
 
 Defined results: null and empty texts contain nothing; null and empty items are contained nowhere; a repeated row or
-item is reported again; other columns are passed on untouched by ``keep``.
+item is reported again; rows without doc_id are reported without it; other columns are passed on untouched by ``keep``.
 """
 
 from __future__ import annotations
@@ -159,10 +159,21 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, found)
 
 
+def _clean_rows(shared, column: int):
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(shared.value)
+        for batch in rows:
+            yield batch.filter(pa.array([not finder.find(t.as_py()) for t in batch.column(column)], pa.bool_()))
+
+    return batches
+
+
 def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no test item, with all their columns."""
-    bad = leaks(docs, items).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    """The documents that hold no test item, with all their columns. Rows are judged where they are read."""
+    spark = docs.sparkSession
+    for block in _blocks(items):
+        docs = docs.mapInArrow(_clean_rows(spark.sparkContext.broadcast(block), docs.columns.index("text")), docs.schema)
+    return docs
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
