@@ -32,8 +32,8 @@ from gristmill.llm.common import Workspace, table
 LIMIT = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces of one length that are ranked by one task, about.
-RANKED = 1000
+#: Pieces of one length that are ranked together, about, while that takes no more than BUCKETS groups for the length.
+RANKED, BUCKETS = 400, 20_000
 
 #: The pre-tokenisation of the vocabulary, written without backtracking; it splits alike.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -209,7 +209,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, with
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.sparkContext.broadcast(slots(plan(counts, limit), limit))
     # a length gets as many buckets as its pieces need; the list is as long as a sequence
-    buckets = F.array(*[F.lit(1 + counts.get(n, 0) // RANKED).cast("bigint") for n in range(1, limit + 1)])
+    buckets = F.array(*[F.lit(min(1 + counts.get(n, 0) // RANKED, BUCKETS)).cast("bigint") for n in range(1, limit + 1)])
     told = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.get(buckets, F.col("length").cast("int") - 1)))
     sizes = told.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
