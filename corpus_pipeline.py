@@ -16,8 +16,12 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.keep(docs)
 
 
+#: Near copies from this similarity on, in per cent, leave the corpus; op10 has a threshold of its own.
+NEAR_PER_CENT = 80
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_dedup.keep(docs)
+    return minhash_dedup.keep(docs, NEAR_PER_CENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@
    Jaccard similarity.
 2. Texts with the same set are one class, named by its smallest doc_id; only class representatives go on.
 3. ``BANDS`` bands of ``ROWS`` slots put a representative into buckets. At a similarity of 0.85 a pair misses all
-   buckets with a chance of (1 - 0.85 ** 4) ** 32, about 5e-11.
+   buckets with a chance of (1 - 0.85 ** 4) ** 32, about 5e-11, at one of 0.8 of (1 - 0.8 ** 4) ** 32, about 5e-8.
 4. Each bucket links its members to its smallest one, verified on full sets. That joins true groups in linear work.
 5. Buckets that still hold several components are searched exactly. Two sets that are similar enough share one of their
    rarest shingles (prefix filter, any fixed order is exact), so texts that merely share a passage part here. What still
@@ -37,7 +37,7 @@ from gristmill.llm.shingles import common, mix, shingle_set
 
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
-#: Link while PER_CENT * union <= 100 * intersection.
+#: Link while per_cent * union <= 100 * intersection; this is the threshold of op10, other callers give their own.
 PER_CENT = 85
 #: Shingles that a block of the exact comparison holds, about.
 BLOCK = 250_000
@@ -132,14 +132,17 @@ def similar(a: np.ndarray, b: np.ndarray, per_cent: int = PER_CENT) -> bool:
     return 100 * both >= per_cent * (len(a) + len(b) - both)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs = zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)
-        ok = pa.array([similar(a, b) for a, b in pairs], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
+def _verify(per_cent: int):
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            pairs = zip(_lists(batch.column(2)), _lists(batch.column(3)), strict=True)
+            ok = pa.array([similar(a, b, per_cent) for a, b in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
+
+    return batches
 
 
-def _compare_blocks(group: pa.Table) -> pa.Table:
+def _compare_blocks(group: pa.Table, per_cent: int) -> pa.Table:
     """Links between the components of two blocks (or inside one): enough to connect what is similar."""
     reps = group.column("rep").to_numpy()
     sets = _lists(group.column("items"))
@@ -166,7 +169,7 @@ def _compare_blocks(group: pa.Table) -> pa.Table:
         width = hi - lo
         at = np.repeat(lo - np.concatenate(([0], np.cumsum(width)[:-1])), width) + np.arange(width.sum())
         both = np.bincount(owners[at], minlength=len(right))
-        for j in np.flatnonzero(100 * both >= PER_CENT * (sizes[i] + sizes[right] - both)):
+        for j in np.flatnonzero(100 * both >= per_cent * (sizes[i] + sizes[right] - both)):
             x, y = find(comp[i]), find(comp[right[j]])
             if x != y:
                 root[max(x, y)] = min(x, y)
@@ -189,7 +192,7 @@ def _open_buckets(members: DataFrame) -> DataFrame:
     )
 
 
-def _residual_links(open_members: DataFrame, sets: DataFrame, work: Workspace) -> DataFrame:
+def _residual_links(open_members: DataFrame, sets: DataFrame, work: Workspace, per_cent: int) -> DataFrame:
     """Exact search among the members of open buckets: links (u, v) between different components."""
     reps = work.put(open_members.select("rep", "comp", "n").distinct(), "residual")
     items = sets.join(reps.select("rep"), "rep", "left_semi").select("rep", F.explode("items").alias("item"))
@@ -199,7 +202,7 @@ def _residual_links(open_members: DataFrame, sets: DataFrame, work: Workspace) -
     # the rarest shingles come first; those of one set only need no bucket but take up room in the prefix
     by_rarity = Window.partitionBy("rep").orderBy("f", "item")
     held = held.withColumn("k", F.row_number().over(by_rarity)).withColumn("m", F.count("*").over(Window.partitionBy("rep")))
-    room = F.col("n") - F.ceil(F.col("n") * PER_CENT / 100) + 1 - (F.col("n") - F.col("m"))
+    room = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1 - (F.col("n") - F.col("m"))
     prefix = work.put(held.where(F.col("k") <= room).select("rep", "comp", "n", F.col("item").alias("bucket")), "prefix")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("items") / BLOCK)).cast("int")
     rows = (
@@ -208,10 +211,10 @@ def _residual_links(open_members: DataFrame, sets: DataFrame, work: Workspace) -
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "rep", "comp", F.col("block").alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    return rows.join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(_compare_blocks, "u bigint, v bigint")
+    return rows.join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(lambda group: _compare_blocks(group, per_cent), "u bigint, v bigint")
 
 
-def components(docs: DataFrame, work: Workspace) -> DataFrame:
+def components(docs: DataFrame, work: Workspace, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = work.put(
@@ -235,13 +238,13 @@ def components(docs: DataFrame, work: Workspace) -> DataFrame:
         "sets",
         _ROWS,
     )
-    close = F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * PER_CENT
+    close = F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * per_cent
     pairs = buckets.where((F.col("rep") != F.col("first.rep")) & close).select(F.col("rep").alias("u"), F.col("first.rep").alias("v")).distinct()
     links = work.put(
         pairs.join(sets.select(F.col("rep").alias("u"), F.col("items").alias("a")), "u")
         .join(sets.select(F.col("rep").alias("v"), F.col("items").alias("b")), "v")
         .select("u", "v", "a", "b")
-        .mapInArrow(_verify, "u bigint, v bigint"),
+        .mapInArrow(_verify(per_cent), "u bigint, v bigint"),
         "links",
         _ROWS,
     )
@@ -252,7 +255,7 @@ def components(docs: DataFrame, work: Workspace) -> DataFrame:
         "members",
     )
     still_open = members.join(_open_buckets(members).select("bucket"), "bucket", "left_semi")
-    more = work.put(_residual_links(still_open, sets, work), "more-links", _ROWS)
+    more = work.put(_residual_links(still_open, sets, work, per_cent), "more-links", _ROWS)
     final = work.put(connected(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), work), "final")
     named = classes.select("ca", "cb", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("ca", "cb", F.coalesce("component", "rep").alias("component_id"))
@@ -263,15 +266,15 @@ def components(docs: DataFrame, work: Workspace) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
+def dedup(docs: DataFrame, work: Workspace | None = None, per_cent: int = PER_CENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    out = components(docs, work or Workspace(docs.sparkSession, "near-dedup"))
+    out = components(docs, work or Workspace(docs.sparkSession, "near-dedup"), per_cent)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep(docs: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, per_cent: int = PER_CENT) -> DataFrame:
     """The documents without those that a smaller doc_id stands for; all columns are kept."""
-    gone = dedup(docs).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = dedup(docs, per_cent=per_cent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 

@@ -62,3 +62,19 @@ def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "u bigint, v bigint")
     got = {r["node"]: r["component"] for r in connected(links, Workspace(spark, "t")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_pipeline_stage_removes_near_copies_from_four_fifths_on(spark):
+    """1000 shingles each: the other copies share 0.85, 0.82, 0.80 and 0.79 with the first."""
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(1004)]
+    rows = [(1, " ".join(words))]
+    for d, changed in ((2, 81), (3, 98), (4, 111), (5, 118)):
+        rows.append((d, " ".join(words[: 1004 - changed] + [f"c{d}x{k}" for k in range(changed)])))
+    sets = {d: shingle_set(t) for d, t in rows}
+    share = [common(sets[1], sets[d]) / (2000 - common(sets[1], sets[d])) for d in (2, 3, 4, 5)]
+    assert share[0] > 0.85 > share[1] > 0.81 > share[2] >= 0.8 > share[3] > 0.78
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, frame, "").collect()} == {1, 5}
+    assert {r["doc_id"] for r in N.keep(frame).collect()} == {1, 3, 4, 5}
