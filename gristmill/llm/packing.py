@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from gristmill.llm.common import Workspace, table
 LIMIT = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Of each vocabulary, the JSON file with the tokens that are added to it.
+ADDED = {VOCABULARY: "byte_bpe_50k.json"}
 #: Pieces of one length that are ranked together, about, while that takes no more than BUCKETS groups for the length.
 RANKED, BUCKETS = 400, 20_000
 
@@ -39,8 +42,23 @@ RANKED, BUCKETS = 400, 20_000
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
+@cache
+def added_tokens(vocabulary: str = VOCABULARY) -> dict[str, int]:
+    """Ids of the strings that are one token wherever they stand in a text."""
+    import json
+    from pathlib import Path
+
+    import public_tokenizers
+
+    tokens = json.loads(Path(public_tokenizers.path(ADDED[vocabulary])).read_bytes())["added_tokens"]
+    plain = not any(t[k] for t in tokens for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not plain:
+        raise ValueError(f"{vocabulary}: an added token that takes more than its own characters")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 def encoder(vocabulary: str = VOCABULARY):
-    """The public byte-level BPE; it gives the ids of the JSON file of the same vocabulary."""
+    """The public byte-level BPE; it gives the ids of the JSON file of the same vocabulary, added tokens included."""
     import base64
     from pathlib import Path
 
@@ -49,7 +67,7 @@ def encoder(vocabulary: str = VOCABULARY):
 
     lines = Path(public_tokenizers.path(vocabulary)).read_bytes().splitlines()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(vocabulary))
 
 
 def pieces_of(ids: np.ndarray, limit: int = LIMIT) -> list[tuple[int, np.ndarray]]:
@@ -64,12 +82,12 @@ SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 def _tokenize(vocabulary: str, limit: int, with_ids: bool):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)._core_bpe.encode_to_tiktoken_buffer
+        encode, added = encoder(vocabulary)._core_bpe.encode_to_tiktoken_buffer, {*added_tokens(vocabulary)}
         end = np.array([END_ID], dtype=np.uint32)
         for batch in rows:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encode(text.as_py() or "", set()), dtype=np.uint32)
+                ids = np.frombuffer(encode(text.as_py() or "", added), dtype=np.uint32)
                 for k, (start, part) in enumerate(pieces_of(np.concatenate((ids, end)), limit)):
                     raw = part.astype("<u4", copy=False).tobytes()
                     out.append((doc, k, start, len(part), zlib.crc32(raw), *([part.tolist()] if with_ids else ())))

@@ -50,6 +50,14 @@ def test_odd_white_space_and_controls(spark):
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == expected(texts)
 
 
+def test_added_tokens_in_a_text(spark):
+    assert P.added_tokens() == {"<|endoftext|>": 50256}
+    mark = "<|endoftext|>"
+    texts = [(1, f"a {mark} b"), (2, mark), (3, f"{mark}{mark}\n\n{mark} x"), (4, f"a  {mark}  b \n {mark}"), (5, f"<{mark}> <|endoftext|"), (6, f"w {mark}" * 900)]
+    rows = P.pack(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == expected(texts)
+
+
 def test_plan_places_everything_once():
     rng = random.Random(1)
     for trial in range(30):
