@@ -1,8 +1,10 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. One page per host is its reference; every page is aligned with it by simple tree
-matching, and for each reference node it is counted on how many different pages its text comes back. Nodes that stay
-constant on most pages are template, varying slots are content. Slots that name themselves as something else (menus,
+Pages of one host share a template, or a few. Some pages per host, drawn by a hash from those that hold text, are its
+references; every page is aligned with each of them by simple tree matching, and for each reference node it is counted
+on how many different pages its text comes back. Nodes that stay constant on most pages of the host are template. So are
+two nodes or more that stay constant on most pages of a layout, which are the pages that keep most of what often comes
+back of a reference. Varying slots are content. Slots that name themselves as something else (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments; by element, role, class or id) are no content
 however much they vary, and where a page marks its article, the content slots are those inside it.
 
@@ -20,7 +22,7 @@ are extracted again; other columns are not looked at.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -33,6 +35,11 @@ from gristmill.llm.dom import BLOCKS, Node, Shape, parse, simple_tree_match
 #: Different pages a host needs, and the share of them on which a constant node keeps its text.
 LEAST_PAGES = 5
 CONSTANT = 0.8
+#: References of a host, at most.
+REFERENCES = 6
+#: Share of a host's pages on which a node comes back often, the share of such nodes that a page of the layout keeps, and
+#: the constant nodes that a layout needs.
+OFTEN, OF_LAYOUT, LAYOUT_NODES = 0.3, 0.75, 2
 #: Bytes of reference trees that may be broadcast.
 BROADCAST_BYTES = 16 << 20
 #: Tasks over which the pages of a host are dealt when they are joined.
@@ -164,11 +171,13 @@ class Page:
                 inline.append((frame, iter(child.children), frame[3]))
                 frame[3] = off
 
-    def main(self, constant: dict[int, int] | None = None, reference: Shape | None = None) -> str:
-        """The blocks that are content. ``constant``: reference nodes with the text digest they keep."""
-        template = set()
-        if constant and reference is not None:
-            template = {y.number for x, y in simple_tree_match(reference, self.shape) if constant.get(x.number) == y.text}
+    def main(self, layouts: Iterable[tuple[dict[int, int], Shape]] = ()) -> str:
+        """The blocks that are content. ``layouts``: reference nodes with the text digest they keep, and the reference."""
+        template: set[int] = set()
+        for constant, reference in layouts:
+            left = {s.text for s in nodes_of(self.shape) if s.number not in template}
+            if not left.isdisjoint(constant.values()):
+                template |= {y.number for x, y in simple_tree_match(reference, self.shape) if constant.get(x.number) == y.text}
         good = [i for i in range(len(self.texts)) if not self.off[i] and self.owner[i] not in template]
         chosen = self._chosen(good)
         return "\n\n".join(self.texts[i] for i in good if chosen is None or chosen & {*self.region[i]})
@@ -192,6 +201,14 @@ def digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 if text else 0
 
 
+def nodes_of(shape: Shape) -> Iterator[Shape]:
+    todo = [shape]
+    while todo:
+        s = todo.pop()
+        yield s
+        todo += s.children
+
+
 def pack_shape(shape: Shape) -> list:
     """A reference tree as plain lists, in page order: tag, text digest, number of children."""
     out, todo = [], [shape]
@@ -217,37 +234,44 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-_REFERENCE = "host string, tags array<string>, digests array<bigint>, children array<int>"
+_REFERENCE = "host string, ref bigint, tags array<string>, digests array<bigint>, children array<int>"
+_ALIGNED = "host string, ref bigint, page bigint, nodes array<int>"
 
 
 def _reference_batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """References that hold text."""
     for batch in rows:
-        packed = [pack_shape(Page(h.as_py()).shape) for h in batch.column(1)]
-        columns = [[[r[k] for r in p] for p in packed] for k in range(3)]
+        packed = [pack_shape(Page(h.as_py()).shape) for h in batch.column(2)]
+        full = [k for k, p in enumerate(packed) if any(r[1] for r in p)]
+        columns = [[[r[k] for r in packed[i]] for i in full] for k in range(3)]
         kinds = (pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["host", "tags", "digests", "children"])
+        taken = pa.array(full, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(taken), batch.column(1).take(taken), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["host", "ref", "tags", "digests", "children"]
+        )
 
 
 class _Shapes(dict):
-    """Reference trees by host, built when they are first needed."""
+    """Reference trees by host and number, built when they are first needed."""
 
     def __init__(self, packed: dict):
         super().__init__()
         self.packed = packed
 
-    def __missing__(self, host: str) -> Shape | None:
-        rows = self.packed.get(host)
-        shape = self[host] = unpack_shape(list(zip(*rows, strict=True))) if rows else None
-        return shape
+    def __missing__(self, host: str) -> dict[int, Shape]:
+        shapes = self[host] = {ref: unpack_shape(list(zip(*rows, strict=True))) for ref, rows in self.packed.get(host, {}).items()}
+        return shapes
 
 
-def _kept_nodes(page: Page, reference: Shape) -> list[int]:
-    """Reference nodes whose text comes back on the page."""
+def _kept_nodes(page: Page, texts: set[int], reference: Shape) -> list[int]:
+    """Reference nodes whose text comes back on the page, which holds ``texts``."""
+    if not any(x.text in texts for x in nodes_of(reference) if x.text):
+        return []
     return [x.number for x, y in simple_tree_match(reference, page.shape) if x.text and x.text == y.text]
 
 
 def _align(shared):
-    """(host, page digest, nodes that keep the reference's text) of each page."""
+    """(host, reference, page digest, nodes that keep the reference's text) of each page."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = _Shapes(shared.value) if shared else None
@@ -255,87 +279,122 @@ def _align(shared):
             out = []
             for k in range(len(batch)):
                 host, source = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                reference = shapes[host] if shapes is not None else _joined(batch, k)
-                if reference is not None:
+                references = shapes[host] if shapes is not None else _joined(batch, k)
+                if references:
                     page = Page(source)
-                    out.append((host, digest("\n".join(page.texts)), _kept_nodes(page, reference)))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["host", "page", "nodes"])
+                    number, texts = digest("\n".join(page.texts)), {s.text for s in nodes_of(page.shape)}
+                    out += [(host, ref, number, _kept_nodes(page, texts, shape)) for ref, shape in references.items()]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "ref", "page", "nodes"])
 
     return batches
 
 
-def _joined(batch: pa.RecordBatch, k: int) -> Shape | None:
-    names = batch.schema.names
-    values = [batch.column(names.index(n))[k].as_py() for n in ("tags", "digests", "children")]
-    return unpack_shape(list(zip(*values, strict=True))) if values[0] else None
+def _joined(batch: pa.RecordBatch, k: int) -> dict[int, Shape]:
+    rows = batch.column(batch.schema.names.index("refs"))[k].as_py() or []
+    return {r["ref"]: unpack_shape(list(zip(r["tags"], r["digests"], r["children"], strict=True))) for r in rows}
 
 
 def _extract(shared):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         constants, shapes = (shared.value[0], _Shapes(shared.value[1])) if shared else (None, None)
+        known: dict[str, list[tuple[dict[int, int], Shape]]] = {}
         for batch in rows:
             names = batch.schema.names
             out = []
             for k in range(len(batch)):
                 host, source = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
                 if shared:
-                    numbers = constants.get(host)
-                    reference = shapes[host] if numbers else None
+                    if host not in known:
+                        known[host] = _layouts(constants.get(host), shapes[host])
+                    layouts = known[host]
                 else:
-                    numbers = batch.column(names.index("nodes"))[k].as_py()
-                    reference = _joined(batch, k) if numbers else None
-                constant = {n: _text_of(reference, n) for n in numbers} if reference is not None else None
-                out.append(Page(source).main(constant, reference))
+                    numbers = {r["ref"]: r["nodes"] for r in batch.column(names.index("constants"))[k].as_py() or []}
+                    layouts = _layouts(numbers, _joined(batch, k) if numbers else {})
+                out.append(Page(source).main(layouts))
             yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return batches
 
 
+def _layouts(numbers: dict[int, list[int]] | None, shapes: dict[int, Shape]) -> list[tuple[dict[int, int], Shape]]:
+    return [({n: _text_of(shapes[ref], n) for n in nodes}, shapes[ref]) for ref, nodes in sorted((numbers or {}).items())]
+
+
 def _text_of(shape: Shape, number: int) -> int:
     while shape.number != number:
         shape = next(c for c in reversed(shape.children) if c.number <= number)
     return shape.text
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text: one row per page."""
-    spark = pages.sparkSession
-    work = Workspace(spark, "html")
-    source = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"), F.col("page_id").cast("bigint").alias("page_id"), F.col("url"))
-    first = work.put(source.groupBy("host").agg(F.min("page_id").alias("page_id")).where("page_id IS NOT NULL"), "first")
+def _references(source: DataFrame, work: Workspace) -> DataFrame:
+    """Up to REFERENCES different trees per host, drawn by a hash."""
+    written = source.where(F.col("page_id").isNotNull() & (F.length(F.trim(F.coalesce("html", F.lit("")))) > 0))
+    slot = F.pmod(F.xxhash64("page_id"), F.lit(REFERENCES)).alias("slot")
+    drawn = written.groupBy("host", slot).agg(F.min(F.struct(F.xxhash64("page_id", F.lit("reference")).alias("h"), "page_id")).alias("first"))
+    first = work.put(drawn.select("host", F.col("first.page_id").alias("page_id")), "first")
     # one key, so that a join of many hosts deals pages by page and not by the host they were grouped by
     key = F.concat_ws("\n", F.col("host"), F.col("page_id").cast("string")).alias("key")
     first = first.select(key)
     few = (first.agg(F.sum(F.length("key") + 64)).first()[0] or 0) <= BROADCAST_BYTES
-    references = work.put(
-        source.select("host", "html", key)
+    return work.put(
+        written.select("host", "page_id", "html", key)
         .join(F.broadcast(first) if few else first, "key", "left_semi")
-        .select("host", "html")
+        .select("host", "page_id", "html")
         .mapInArrow(_reference_batches, _REFERENCE)
-        .dropDuplicates(["host"]),
+        .dropDuplicates(["host", "tags", "digests", "children"])
+        .dropDuplicates(["host", "ref"]),
         "references",
     )
+
+
+def _constants(aligned: DataFrame, small: bool, work: Workspace) -> DataFrame:
+    """host, ref, nodes: the nodes of each reference that are template."""
+    near = F.broadcast if small else lambda df: df
+    different = aligned.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    kept = aligned.select("host", "ref", "page", F.explode("nodes").alias("node")).distinct().groupBy("host", "ref", "node").agg(F.count("*").alias("kept"))
+    kept = work.put(kept.join(different, "host"), "kept")
+    often = kept.where((F.col("kept") >= LEAST_PAGES) & (F.col("kept") >= OFTEN * F.col("pages"))).groupBy("host", "ref").agg(F.collect_list("node").alias("often"))
+    members = (
+        aligned.join(near(work.put(often, "often")), ["host", "ref"])
+        .select("host", "ref", "page", F.array_intersect("nodes", "often").alias("nodes"), F.size("often").alias("n"))
+        .where(F.size("nodes") >= OF_LAYOUT * F.col("n"))
+    )
+    members = work.put(members.select("host", "ref", "page", "nodes"), "members")
+    sizes = members.select("host", "ref", "page").distinct().groupBy("host", "ref").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    inside = members.select("host", "ref", "page", F.explode("nodes").alias("node")).distinct().groupBy("host", "ref", "node").agg(F.count("*").alias("kept"))
+    of_layout = inside.join(sizes, ["host", "ref"]).where(F.col("kept") >= CONSTANT * F.col("pages")).groupBy("host", "ref").agg(F.collect_list("node").alias("nodes"))
+    of_layout = of_layout.where(F.size("nodes") >= LAYOUT_NODES).select("host", "ref", F.explode("nodes").alias("node"))
+    of_host = kept.where(F.col("kept") >= CONSTANT * F.col("pages")).select("host", "ref", "node")
+    return work.put(of_host.unionByName(of_layout).groupBy("host", "ref").agg(F.sort_array(F.collect_set("node")).alias("nodes")), "constants")
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text: one row per page."""
+    spark = pages.sparkSession
+    work = Workspace(spark, "html")
+    source = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"), F.col("page_id").cast("bigint").alias("page_id"), F.col("url"))
+    references = _references(source, work)
     bytes_ = references.agg(F.sum(F.size("tags") * 24 + 64)).first()[0] or 0
     small = bytes_ <= BROADCAST_BYTES
+    per_host = references.groupBy("host").agg(F.collect_list(F.struct("ref", "tags", "digests", "children")).alias("refs"))
     if small:
-        packed = {r["host"]: (r["tags"], r["digests"], r["children"]) for r in references.toLocalIterator()}
-        aligned = source.select("host", "html").mapInArrow(_align(spark.sparkContext.broadcast(packed)), "host string, page bigint, nodes array<int>")
+        packed: dict = {}
+        for r in references.toLocalIterator():
+            packed.setdefault(r["host"], {})[r["ref"]] = (r["tags"], r["digests"], r["children"])
+        aligned = source.select("host", "html").mapInArrow(_align(spark.sparkContext.broadcast(packed)), _ALIGNED)
     else:
-        aligned = _meet(source, references).mapInArrow(_align(None), "host string, page bigint, nodes array<int>")
-    aligned = work.put(aligned, "aligned")
-    different = aligned.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    kept = aligned.select("host", "page", F.explode("nodes").alias("node")).distinct().groupBy("host", "node").agg(F.count("*").alias("kept"))
-    constants = work.put(
-        kept.join(different, "host").where(F.col("kept") >= CONSTANT * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("nodes")),
-        "constants",
-    )
+        aligned = _meet(source, per_host).mapInArrow(_align(None), _ALIGNED)
+    constants = _constants(work.put(aligned, "aligned"), small, work)
     if small:
-        numbers = {r["host"]: r["nodes"] for r in constants.toLocalIterator()}
-        needed = {h: packed[h] for h in numbers}
+        numbers: dict = {}
+        for r in constants.toLocalIterator():
+            numbers.setdefault(r["host"], {})[r["ref"]] = r["nodes"]
+        needed = {h: {ref: packed[h][ref] for ref in refs} for h, refs in numbers.items()}
         return source.mapInArrow(_extract(spark.sparkContext.broadcast((numbers, needed))), "page_id bigint, url string, text string")
-    both = references.join(constants, "host", "left")
-    return _meet(source, both).mapInArrow(_extract(None), "page_id bigint, url string, text string")
+    found = constants.groupBy("host").agg(F.collect_list(F.struct("ref", "nodes")).alias("constants"))
+    return _meet(source, per_host.join(found, "host", "left")).mapInArrow(_extract(None), "page_id bigint, url string, text string")
 
 
 def _meet(source: DataFrame, per_host: DataFrame) -> DataFrame:

@@ -62,6 +62,33 @@ def test_constant_nodes_of_a_host_are_template_but_copies_are_not(spark, monkeyp
     assert H.extract(frame.where("false")).count() == 0
 
 
+def test_an_empty_first_page_and_two_layouts(spark, monkeypatch):
+    """What one reference page cannot show: it may hold nothing, lack a template node, or be of the other layout."""
+    rng = random.Random(8)
+
+    def body(k):
+        return "".join(f"<p>{' '.join(rng.choices('abcdefgh', k=12))} {k}</p>" for _ in range(rng.randint(1, 4)))
+
+    rows, want = [], {}
+    for k, html in enumerate((None, " ", "<p>", "<body><h1>502 Bad gateway</h1></body>")):
+        rows += [(k, "http://first.example.com/", html), (50 + k, "http://two.example.com/", html)]
+        want |= {k: "", 50 + k: ""} if k < 3 else {k: "502 Bad gateway", 50 + k: "502 Bad gateway"}
+    for k in range(100, 140):
+        text = body(k)
+        rows.append((k, "http://first.example.com/", f"<body><div><span>All our texts are free</span></div><div><h2>T{k}</h2>{text}</div><div>Write to us</div></body>"))
+        want[k] = f"T{k}{text}".replace("<p>", "\n\n").replace("</p>", "")
+    for k in range(200, 260):
+        text = body(k)
+        one = f"<body><div>Shop of things</div><div>{text}</div><div>Pay as you like</div><div>Back to the shop</div></body>"
+        two = f"<body><table><tr><td>Our magazine</td><td>Every month</td></tr></table><section>{text}</section><div>All issues</div></body>"
+        rows.append((k, "http://two.example.com/", two if k % 2 else one))
+        want[k] = text.replace("</p><p>", "\n\n").replace("<p>", "").replace("</p>", "")
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in H.extract(frame).collect()} == want
+    monkeypatch.setattr(H, "BROADCAST_BYTES", -1)
+    assert {r["page_id"]: r["text"] for r in H.extract(frame).collect()} == want
+
+
 def brute_match(a, b):
     """Size of a largest matching, by plain recursion."""
     if a.tag != b.tag:
