@@ -1,10 +1,12 @@
 """Licence scans with a generalised suffix automaton of licence tokens.
 
 The templates are short public notices. Their token sequences build one automaton; a text streams through it once and
-gives, at every token, the length of the longest suffix that is part of a template (matching statistics) and where that
-part stands in which templates. Long matches are chained in order on both sides; a chain that covers enough of its
-template labels the span. Tokens whose neighbours never meet in a template reset the automaton, so they are skipped
-ahead of it by a table of template bigrams, which changes no match of three tokens or more.
+gives, at every token, the length of the longest suffix that is part of a template (matching statistics). Its suffix links
+lead to the shorter suffixes and with them to every place of every template that a match ends at, so no template hides
+another. Long matches are chained in order on both sides; a chain that covers enough of its template labels the span;
+where templates of a family share their words, the one that covers most of them does. Tokens whose neighbours never meet
+in a template reset the automaton, so they are skipped ahead of it by a table of template bigrams, which changes no
+match of three tokens or more.
 
 Documents are read once, stay where they are, and are scanned whole.
 
@@ -59,6 +61,7 @@ GAP = 8
 #: Share of a template that its chain must cover.
 COVER = 0.8
 
+_STRETCH = 64
 _PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -80,6 +83,7 @@ class SuffixAutomaton:
 
     def __init__(self, sequences: list[list[int]]):
         self.states = [State(0, -1, {})]
+        self.sequences = sequences
         for number, sequence in enumerate(sequences):
             last = 0
             for position, token in enumerate(sequence):
@@ -115,22 +119,29 @@ class SuffixAutomaton:
             states[new].link = q if states[q].length == states[p].length + 1 else self._clone(p, q, token)
         return new
 
-    def matches(self, tokens: list[int]) -> Iterator[tuple[int, int, int]]:
-        """(end, length, state) of each match that cannot be extended to the right."""
+    def matches(self, tokens: list[int], least: int) -> Iterator[tuple[int, int, int, int]]:
+        """(end, length, template, end in the template) of the matches of ``least`` tokens or more that neither side extends."""
         states, s, length = self.states, 0, 0
         for i, token in enumerate(tokens):
-            if length and token not in states[s].next:
-                yield i, length, s
-                while s and token not in states[s].next:
-                    s = states[s].link
-                    length = states[s].length
-            if token in states[s].next:
-                s = states[s].next[token]
-                length += 1
-            else:
-                s, length = 0, 0
-        if length:
-            yield len(tokens), length, s
+            while s and token not in states[s].next:
+                s = states[s].link
+                length = states[s].length
+            if token not in states[s].next:
+                continue
+            s = states[s].next[token]
+            length += 1
+            after = tokens[i + 1] if i + 1 < len(tokens) else None
+            at, suffix, seen = s, length, set()
+            while suffix >= least:
+                # a place that a longer suffix has ended at is no match of its own
+                for place in states[at].ends - seen:
+                    template, position = place
+                    sequence = self.sequences[template]
+                    if position + 1 == len(sequence) or sequence[position + 1] != after:
+                        yield i + 1, suffix, template, position + 1
+                seen = states[at].ends
+                at = states[at].link
+                suffix = states[at].length if at > 0 else 0
 
 
 class Scanner:
@@ -184,16 +195,25 @@ class Scanner:
         edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            for end, length, state in self.automaton.matches(ids[start:stop].tolist()):
-                if length >= LEAST:
-                    for template, position in self.automaton.states[state].ends:
-                        by_template.setdefault(template, []).append((start + end - length, position + 1 - length, length))
+            for end, length, template, position in self.automaton.matches(ids[start:stop].tolist(), LEAST):
+                by_template.setdefault(template, []).append((start + end - length, position - length, length))
         found = []
         for template, matches in by_template.items():
             found += self._chains(template, sorted(matches))
-        return sorted(found, key=lambda x: (x[1], x[2], x[0]))
-
-    def _chains(self, template: int, matches: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int, float]]:
+        return sorted(self._apart(found), key=lambda x: (x[1], x[2], x[0]))
+
+    @staticmethod
+    def _apart(found: list[tuple[str, int, int, float, int]]) -> Iterator[tuple[str, int, int, float]]:
+        """Of the templates that share words (those of one family do), the one that covers the most words of a span stays."""
+        taken: dict[int, list[tuple[int, int]]] = {}  # by stretch of the text, so that a span meets only its neighbours
+        for label, a, b, share, _ in sorted(found, key=lambda x: (-x[4], -x[3], x[1], x[0])):
+            stretches = range(a // _STRETCH, (b - 1) // _STRETCH + 1)
+            if all(2 * (min(b, d) - max(a, c)) <= min(b - a, d - c) for k in stretches for c, d in taken.get(k, ())):
+                for k in stretches:
+                    taken.setdefault(k, []).append((a, b))
+                yield label, a, b, share
+
+    def _chains(self, template: int, matches: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int, float, int]]:
         """Best chains of matches in order on both sides; each match ends one, and the best of a region counts."""
         best: list[tuple[int, int, int]] = []  # covered, start, end
         for i, (at, on, length) in enumerate(matches):
@@ -202,8 +222,10 @@ class Scanner:
                 a, o, n = matches[j]
                 if at - best[j][2] > GAP + self.lengths[template]:
                     break
-                if a + n <= at <= a + n + GAP and o + n <= on <= o + n + GAP and best[j][0] + length > top[0]:
-                    top = (best[j][0] + length, best[j][1], at + length)
+                # what two matches share on either side counts once
+                fresh = length - max(0, a + n - at, o + n - on)
+                if a < at and o < on and fresh > 0 and at <= a + n + GAP and on <= o + n + GAP and best[j][0] + fresh > top[0]:
+                    top = (best[j][0] + fresh, best[j][1], at + length)
             best.append(top)
         starts: list[int] = []
         ends: list[int] = []
@@ -215,7 +237,7 @@ class Scanner:
             if not k or ends[k - 1] <= start:
                 starts.insert(k, start)
                 ends.insert(k, end)
-                yield self.labels[template], start, end, min(1.0, share)
+                yield self.labels[template], start, end, min(1.0, share), covered
 
 
 SCHEMA = (

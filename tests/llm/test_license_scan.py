@@ -29,26 +29,81 @@ def test_base_matches_brute_force(spark, docs, texts, odd, empty):
     assert L.scan(odd).count() == 4 and L.scan(empty).count() == 0
 
 
-def test_matching_statistics_match_brute_force():
+def maximal(text, sequence, least):
+    """(start, start in the sequence, length) of the common parts that neither side extends."""
+    out = set()
+    for i in range(len(text)):
+        for j in range(len(sequence)):
+            if text[i] == sequence[j] and (not i or not j or text[i - 1] != sequence[j - 1]):
+                n = 0
+                while i + n < len(text) and j + n < len(sequence) and text[i + n] == sequence[j + n]:
+                    n += 1
+                if n >= least:
+                    out.add((i, j, n))
+    return out
+
+
+def test_matches_are_all_those_of_brute_force():
     rng = random.Random(8)
-    sequences = [[rng.randint(0, 4) for _ in range(rng.randint(1, 12))] for _ in range(5)]
-    automaton = L.SuffixAutomaton(sequences)
-    factors = {}
-    for n, s in enumerate(sequences):
-        for i in range(len(s)):
-            for j in range(i + 1, len(s) + 1):
-                factors.setdefault(tuple(s[i:j]), set()).add((n, j - 1))
-    for _ in range(200):
-        text = [rng.randint(0, 5) for _ in range(20)]
-        want = set()
-        for end in range(1, 21):
-            longest = max((k for k in range(1, end + 1) if tuple(text[end - k : end]) in factors), default=0)
-            if longest and (end == 20 or tuple(text[end - longest : end + 1]) not in factors):
-                want.add((end, longest))
-        got = {(e, n): automaton.states[s].ends for e, n, s in automaton.matches(text)}
-        assert set(got) == want
-        for (e, n), ends in got.items():
-            assert ends == factors[tuple(text[e - n : e])]
+    for trial in range(60):
+        sequences = [[rng.randint(0, 3) for _ in range(rng.randint(1, 12))] for _ in range(5)]
+        automaton = L.SuffixAutomaton(sequences)
+        for least in (1, 3):
+            text = [rng.randint(0, 4) for _ in range(25)]
+            got = list(automaton.matches(text, least))
+            want = {(i + n, n, t, j + n) for t, s in enumerate(sequences) for i, j, n in maximal(text, s, least)}
+            assert len(got) == len({*got}) and {*got} == want
+
+
+def brute_spans(words):
+    """Chains of brute-force matches, templates one by one."""
+    out = []
+    for label, template in L.TEMPLATES:
+        sequence = L.words_of(template)
+        matches = sorted(maximal(words, sequence, L.LEAST))
+        best = []
+        for i, (at, on, n) in enumerate(matches):
+            tops = [(n, at, at + n)]
+            for j in range(i - 1, -1, -1):
+                a, o, m = matches[j]
+                fresh = n - max(0, a + m - at, o + m - on)
+                if a < at and o < on and fresh > 0 and at - a - m <= L.GAP and on - o - m <= L.GAP:
+                    tops.append((best[j][0] + fresh, best[j][1], at + n))
+            best.append(max(tops, key=lambda x: x[0]))
+        taken = []
+        for covered, start, end in sorted(best, key=lambda x: (-x[0], x[1])):
+            if covered / len(sequence) >= L.COVER and all(end <= a or b <= start for a, b in taken):
+                taken.append((start, end))
+                out.append((-covered, -covered / len(sequence), start, label, end))
+    stay = []
+    for *_, a, label, b in sorted(out):
+        if all(2 * (min(b, d) - max(a, c)) <= min(b - a, d - c) for _, c, d in stay):
+            stay.append((label, a, b))
+    return sorted(stay, key=lambda x: (x[1], x[2], x[0]))
+
+
+def test_spans_and_labels_match_brute_force(spark):
+    rng = random.Random(3)
+    foreign = sorted({w.decode() for _, t in L.TEMPLATES for w in L.words_of(t)})
+    rows = []
+    for i in range(400):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            own = rng.choice(L.TEMPLATES)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                own.insert(rng.randint(0, len(own)), rng.choice(foreign))
+            words += rng.choices(["lorem", "ipsum", *foreign[:5]], k=rng.randint(0, 6)) + own
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["labels"], r["spans"]) for r in L.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for d, t in rows:
+        spans = brute_spans(L.words_of(t))
+        base = {x for x in brute_base(t)[4].split(",") if x}
+        assert got[d] == (",".join(sorted(base | {x[0] for x in spans})), ",".join(f"{n}:{a}:{b}" for n, a, b in spans)), t
+
+
+def test_a_template_does_not_hide_another():
+    text = "this work is licensed under the apache a creative commons attribution sharealike 4 0 international license"
+    assert L.scan_text(L.Scanner(), text)[5] == "cc-by-sa"
 
 
 def test_templates_are_found_with_small_changes(spark):
