@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """SQL settings that hold while the block plans and runs its jobs."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -49,17 +63,16 @@ class Workspace:
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def path(self, name: str) -> str:
+        """A place of the workspace for something that is not written by ``put``."""
+        return f"{self.root}/{name}"
+
     def put(self, df: DataFrame, what: str = "t", batch_rows: int | None = None) -> DataFrame:
         """``batch_rows``: rows that Python gets at once while this table is made, for rows that are large."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{what}"
-        before = self.spark.conf.get(_BATCH)
-        try:
-            if batch_rows:
-                self.spark.conf.set(_BATCH, str(batch_rows))
+        with settings(self.spark, {_BATCH: str(batch_rows)} if batch_rows else {}):
             df.write.mode("overwrite").parquet(path)
-        finally:
-            self.spark.conf.set(_BATCH, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out

@@ -1,35 +1,40 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A *run* is a table sorted by line hash with one row per hash: the number of documents that hold the line and the
-largest doc_id among them. Batches of documents come in descending order of doc_id. A new batch merge-joins the runs:
+A *run* is a table bucketed and sorted by line hash with one row per hash: the number of documents that hold the line and
+the largest doc_id among them. Batches of documents come in descending order of doc_id. A new batch merge-joins the runs:
 hashes that no run holds (the anti-join) are added with their keeper, known ones add only to the count, so a keeper is
 written once. Every ``FANOUT`` runs of a level are compacted into one run of the next level, so a batch meets a number
-of runs that is logarithmic in the number of batches.
+of runs that is logarithmic in the number of batches. All runs have the same buckets, each one sorted file, so anti-joins
+and compactions of two neither shuffle nor sort them; a batch is shuffled once, after a partial aggregation.
 
-A line that is common enough loses all copies but those in its keeper. Only (hash, doc_id) rows are shuffled, first
-partially aggregated, so a line that stands in a third of all documents costs one row per task. Texts move once, to
-meet the hashes that their document drops.
+A line that is common enough loses all copies but those in its keeper. Only hashes, doc_ids and places are shuffled, and
+a line that stands in a third of all documents costs one row per task. Texts move once, to meet the places of the lines
+that they lose; they are cut at these places without looking at their lines again.
 
 A hash is 128 bits: two 64-bit hashes of the key under different seeds. Everything is native.
 
-Defined results: null and empty texts have one empty line, which is never dropped; a row is a document, repeated rows
-of a doc_id count as several and share its keeper; the keeper of rows that all lack a doc_id is each of them; other
-columns are passed on untouched, whatever their names.
+Defined results: null and empty texts have one empty line, which is never dropped. A document is a doc_id: rows that repeat
+a doc_id count once, whatever their texts, and share their keeper. Rows without doc_id are no documents that could be
+counted or kept, and are left as they are. Other columns are passed on untouched, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import SPACE, Workspace, let, table
+from gristmill.llm.common import SPACE, Workspace, let, settings, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
-FANOUT = 4
+FANOUT = 2
+#: Rows of a bucket of the runs, about, and the least and the most buckets.
+BUCKET_ROWS, BUCKETS_LEAST, BUCKETS_MOST = 500_000, 4, 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,88 +54,151 @@ def hash_of(key: Column) -> Column:
     )
 
 
-def hashes_of(text: Column) -> Column:
-    """The hash of each line of a text; null where the line is too short."""
-    return F.transform(lines_of(text), lambda x: let(key_of(x), hash_of))
+def places_of(text: Column) -> Column:
+    """(a, b, i, first) of the lines that are long enough: hash, place from 0, whether no earlier line has this hash."""
+    hashes = F.transform(lines_of(text), lambda x, i: F.struct(let(key_of(x), hash_of).alias("h"), i.alias("i")))
+    long = F.sort_array(F.transform(F.filter(hashes, lambda x: x["h"].isNotNull()), lambda x: F.struct(x["h"]["a"].alias("a"), x["h"]["b"].alias("b"), x["i"].alias("i"))))
+
+    def told(rows: Column) -> Column:
+        def row(x: Column, k: Column) -> Column:
+            before = F.get(rows, k - 1)
+            first = before.isNull() | (before["a"] != x["a"]) | (before["b"] != x["b"])
+            return F.struct(x["a"].alias("a"), x["b"].alias("b"), x["i"].alias("i"), first.alias("first"))
+
+        return F.transform(rows, row)
+
+    return let(long, told)
 
 
 class LineRuns:
     """The levelled runs. ``add`` takes batches in descending order of doc_id."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.work = Workspace(spark, "line-runs")
-        self.fanout = fanout
-        self.levels: list[list[DataFrame]] = []
+    def __init__(self, spark: SparkSession, work: Workspace, buckets: int, fanout: int = FANOUT):
+        self.spark, self.work, self.buckets, self.fanout = spark, work, buckets, fanout
+        self.levels: list[list[str]] = []
+        self._n = 0
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [self.spark.table(run) for level in self.levels for run in level]
+
+    def _write(self, rows: DataFrame) -> str:
+        """A table of ``buckets`` sorted files. An exchange inside ``rows`` deals them alike, so a task writes whole buckets."""
+        self._n += 1
+        name = f"line_run_{uuid.uuid4().hex}"
+        place = self.work.path(f"run-{self._n:03d}")
+        rows.write.format("parquet").option("path", place).bucketBy(self.buckets, "a", "b").sortBy("a", "b").saveAsTable(name)
+        return name
+
+    def _settings(self):
+        return settings(
+            self.spark,
+            {
+                "spark.sql.shuffle.partitions": str(self.buckets),
+                "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+                "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+                "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.sources.bucketing.maxBuckets": str(BUCKETS_MOST),
+            },
+        )
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
-        rows = reduce(DataFrame.unionByName, runs)
-        return rows.groupBy("a", "b").agg(F.sum("n_docs").alias("n_docs"), F.max("keep_id").alias("keep_id"))
+        """One sorted run of several, by merge joins of whole buckets."""
+
+        def both(x: DataFrame, y: DataFrame) -> DataFrame:
+            y = y.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("n_docs").alias("n2"), F.col("keep_id").alias("keep2"))
+            return x.join(y, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "full").select(
+                F.coalesce("a", "a2").alias("a"),
+                F.coalesce("b", "b2").alias("b"),
+                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n2", F.lit(0))).cast("bigint").alias("n_docs"),
+                F.greatest("keep_id", "keep2").alias("keep_id"),
+            )
+
+        return reduce(both, runs)
 
     def novel(self, batch: DataFrame) -> DataFrame:
         """Rows of ``batch`` (a, b, ...) whose line no run holds."""
-        for run in self.runs():
-            batch = batch.join(run.select("a", "b"), ["a", "b"], "left_anti")
-        return batch
+        return reduce(lambda rows, run: rows.join(run.select("a", "b"), ["a", "b"], "left_anti"), self.runs(), batch)
 
     def add(self, batch: DataFrame) -> None:
         """``batch``: one row (a, b, doc_id) per document and distinct line."""
-        counted = batch.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_id"))
-        if self.runs():
-            counted = self.work.put(counted, "batch")
-            novel = self.novel(counted)
-            known = counted.join(novel.select("a", "b"), ["a", "b"], "left_anti")
-            counted = novel.unionByName(known.withColumn("keep_id", F.lit(None).cast("bigint")))
-        self._put(counted, 0)
-
-    def _put(self, run: DataFrame, level: int) -> None:
+        with self._settings():
+            counted = batch.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_id"))
+            if self.runs():
+                whole = self._write(counted)
+                counted = self.spark.table(whole)
+                novel = self.novel(counted)
+                known = counted.select("a", "b", "n_docs").join(novel.select("a", "b"), ["a", "b"], "left_anti")
+                known = known.withColumn("keep_id", F.lit(None).cast("bigint"))
+                # novel and known part the batch, so their merge is the batch with the keepers of novel lines only
+                self._put(self._write(self._merge([novel, known])), 0)
+                self.drop(whole)
+            else:
+                self._put(self._write(counted), 0)
+
+    def _put(self, run: str, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(self.work.put(run.sortWithinPartitions("a", "b"), f"run{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(self._merge(full), level + 1)
-            self.work.drop(*full)
+            self._put(self._write(self._merge([*map(self.spark.table, full)])), level + 1)
+            self.drop(*full)
+
+    def drop(self, *runs: str) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
-        """(a, b, keep_id) of the lines in at least ``min_docs`` documents."""
-        runs = self.runs()
-        if not runs:
-            return None
-        merged = runs[0] if len(runs) == 1 else self._merge(runs)
-        return merged.where(F.col("n_docs") >= min_docs).select("a", "b", "keep_id")
+        """(a, b, keep_id) of the lines in at least ``min_docs`` documents, written; the runs go."""
+        with self._settings():
+            merged = self._merge(self.runs())
+            out = self.work.put(merged.where(F.col("n_docs") >= min_docs).select("a", "b", "keep_id"), "repeated")
+        self.drop(*(run for level in self.levels for run in level))
+        self.levels = []
+        return out
+
+
+def _buckets(spark: SparkSession, rows: int) -> int:
+    """As many buckets as the rows need; as many as the session deals to where it does not want them joined."""
+    if spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") != "true":
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(BUCKETS_MOST, max(BUCKETS_LEAST, math.ceil(rows / BUCKET_ROWS)))
+
+
+def _row_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _dropped_by_document(docs: DataFrame, batches: int) -> DataFrame:
-    """(drop_id, hashes) for each doc_id that loses lines."""
+    """(drop_id, drop_text, at) for each document row that loses lines: doc_id, hash of the text, ordered places."""
     spark = docs.sparkSession
-    held = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.explode(F.array_distinct(F.filter(hashes_of(F.col("text")), lambda h: h.isNotNull()))).alias("h"),
-    ).select("doc_id", "h.a", "h.b")
-    runs = LineRuns(spark)
-    held = runs.work.put(held, "held")
-    cuts = sorted(set(held.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    below = [*map(int, cuts)]
-    edges = [None, *below, None]
+    work = Workspace(spark, "line-dedup")
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
+    held = work.put(
+        source.select("doc_id", _row_key(F.col("text")).alias("t"), F.explode(places_of(F.col("text"))).alias("p")).select("doc_id", "t", "p.a", "p.b", "p.i", "p.first"),
+        "held",
+    )
+    once = held.where("first").select("doc_id", "a", "b")
+    again = work.put(source.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    if not again.isEmpty():  # only rows that repeat a doc_id can hold a line of it twice
+        once = once.join(again, "doc_id", "left_anti").unionByName(once.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "a", "b"]))
+    runs = LineRuns(spark, work, _buckets(spark, held.count()))
+    cuts = sorted({int(x) for x in held.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
+    edges = [None, *cuts, None]
     for low, high in reversed(list(zip(edges[:-1], edges[1:], strict=True))):
         inside = F.lit(True)
         if low is not None:
             inside = inside & (F.col("doc_id") >= low)
         if high is not None:
             inside = inside & (F.col("doc_id") < high)
-        if low is None:
-            inside = inside | F.col("doc_id").isNull()
-        runs.add(held.where(inside))
-    hot = runs.work.put(runs.repeated(), "repeated")
+        runs.add(once.where(inside))
+    hot = runs.repeated()
     return (
         held.join(hot, ["a", "b"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .groupBy(F.col("doc_id").alias("drop_id"))
-        .agg(F.collect_set(F.struct("a", "b")).alias("drop_hashes"))
+        .where(F.col("doc_id") != F.col("keep_id"))
+        .groupBy(F.col("doc_id").alias("drop_id"), F.col("t").alias("drop_text"))
+        .agg(F.sort_array(F.collect_set("i")).alias("at"))
     )
 
 
@@ -138,29 +206,29 @@ def _with_decision(docs: DataFrame, batches: int) -> DataFrame:
     """(d: the whole row, r: struct n_lines, n_dropped, text)."""
     dropped = _dropped_by_document(docs, batches)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
-    joined = whole.join(dropped.hint("shuffle_hash"), F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("drop_id")), "left")
+    text, doc_id = F.col("d.text").cast("string"), F.col("d.doc_id").cast("bigint")
+    # the hash of the text deals rows without doc_id, and those that share one, over all tasks
+    joined = whole.join(dropped, (doc_id == F.col("drop_id")) & (_row_key(text) == F.col("drop_text")), "left")
 
     def cut(parts: Column) -> Column:
-        left = F.filter(
-            parts,
-            lambda x: ~F.coalesce(let(key_of(x), lambda k: F.array_contains(F.col("drop_hashes"), hash_of(k))), F.lit(False)),
-        )
-        return let(
-            left,
-            lambda stay: F.struct(
-                F.size(parts).cast("bigint").alias("n_lines"),
-                (F.size(parts) - F.size(stay)).cast("bigint").alias("n_dropped"),
-                F.array_join(stay, "\n").alias("text"),
-            ),
+        """What stands between the places, each stretch taken whole."""
+
+        def stretch(k: Column) -> Column:
+            start = F.coalesce(F.get(F.col("at"), k - 1) + 1, F.lit(0))
+            return F.slice(parts, start + 1, F.coalesce(F.get(F.col("at"), k), F.size(parts)) - start)
+
+        return F.struct(
+            F.size(parts).cast("bigint").alias("n_lines"),
+            F.size("at").cast("bigint").alias("n_dropped"),
+            F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at")), stretch)), "\n").alias("text"),
         )
 
-    text = F.col("d.text")
     untouched = F.struct(
         F.size(lines_of(text)).cast("bigint").alias("n_lines"),
         F.lit(0).cast("bigint").alias("n_dropped"),
         F.coalesce(text, F.lit("")).alias("text"),
     )
-    return joined.select("d", F.when(F.col("drop_hashes").isNull(), untouched).otherwise(let(lines_of(text), cut)).alias("r"))
+    return joined.select("d", F.when(F.col("at").isNull(), untouched).otherwise(let(lines_of(text), cut)).alias("r"))
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:

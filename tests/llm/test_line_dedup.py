@@ -4,6 +4,7 @@ from collections import defaultdict
 import pytest
 
 from gristmill.llm import line_dedup as L
+from gristmill.llm.common import Workspace
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -36,15 +37,30 @@ def test_matches_brute_force(docs, texts, batches):
 
 
 def test_runs_are_compacted_and_keep_the_largest_id(spark):
-    runs = L.LineRuns(spark, fanout=2)
+    runs = L.LineRuns(spark, Workspace(spark, "runs"), 4, fanout=2)
     for part in ([(9, 1), (8, 1)], [(7, 1), (6, 2)], [(5, 1)], [(4, 2)]):
         runs.add(spark.createDataFrame([(h, h, d) for d, h in part], "a bigint, b bigint, doc_id bigint"))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
-    got = {(r["a"], r["keep_id"]) for r in runs.repeated(1).collect()}
-    assert got == {(1, 9), (2, 6)}
-    assert {(r["a"], r["keep_id"]) for r in runs.repeated(3).collect()} == {(1, 9)}
     new = spark.createDataFrame([(1, 1), (3, 3)], "a bigint, b bigint")
     assert [r["a"] for r in runs.novel(new).collect()] == [3]
+    (run,) = runs.runs()
+    assert {(r["a"], r["n_docs"], r["keep_id"]) for r in run.collect()} == {(1, 4, 9), (2, 2, 6)}
+    assert {(r["a"], r["keep_id"]) for r in runs.repeated(3).collect()} == {(1, 9)}
+    assert not runs.runs()
+
+
+def test_runs_meet_without_a_shuffle(spark):
+    runs = L.LineRuns(spark, Workspace(spark, "runs"), 4, fanout=9)
+    for first in (30, 20, 10):
+        runs.add(spark.createDataFrame([(i, i, i) for i in range(first, first + 15)], "a bigint, b bigint, doc_id bigint"))
+    with runs._settings():
+        met = runs.novel(runs.runs()[0])
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort " not in plan and met.count() == 0
+        merged = runs._merge(runs.runs()[:2])
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort " not in plan and merged.count() == 25
+        assert runs._merge(runs.runs()).count() == 35
 
 
 def test_keep_has_all_columns_and_follows_the_text(docs, texts):
@@ -62,11 +78,19 @@ def test_odd_rows(odd, empty):
     assert L.dedup(empty).count() == 0 and L.keep(empty).count() == 0
 
 
-def test_repeated_rows_share_their_keeper(spark):
-    line = "x" * 45
-    rows = spark.createDataFrame([(1, line)] * 3 + [(2, line)] * 2 + [(None, line)], "doc_id bigint, text string")
-    got = sorted((r["doc_id"] or 0, r["n_dropped"]) for r in L.dedup(rows).collect())
-    assert got == [(0, 1), (1, 1), (1, 1), (1, 1), (2, 0), (2, 0)]
+def test_rows_that_repeat_a_doc_id_are_one_document(spark):
+    line, other = "x" * 45, "y" * 45
+    rows = [(1, line)] * 3 + [(2, line)] * 2 + [(None, line)] + [(i, f"{other}\nz{i}") for i in range(3, 8)] + [(7, f"w\n{other}")] * 2 + [(3, f"{other}\n{other}"), (None, other)]
+    got = sorted((r["doc_id"] or 0, r["n_dropped"], r["text"]) for r in L.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    stay = [(0, 0, line), (0, 0, other), *[(1, 0, line)] * 3, *[(2, 0, line)] * 2, (7, 0, f"{other}\nz7"), *[(7, 0, f"w\n{other}")] * 2]
+    assert got == sorted([*stay, (3, 2, ""), *[(i, 1, f"z{i}") for i in range(3, 7)]])
+
+
+def test_many_lines_of_one_text(spark):
+    lines = [f"{i:05d}" + "q" * 40 for i in range(4000)]
+    rows = [(i, "\n".join(["keep", *lines, "end"])) for i in range(5)]
+    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in L.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[4] == (0, rows[4][1]) and all(got[i] == (4000, "keep\nend") for i in range(4))
 
 
 def test_digest_of_the_kept_text(spark):
