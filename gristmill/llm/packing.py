@@ -2,14 +2,15 @@
 
 A document is its token ids and an end mark; one longer than a sequence is cut into full sequences, and the first piece
 takes the rest. What the plan needs is how many pieces there are of each length, at most ``LIMIT`` numbers whatever the
-size of the corpus. On them the plan is made: for the longest piece that is left, a hash of single, pair and triple
-sums tells which shorter lengths exactly fill its gap; a combination is used as often as all its lengths are available.
-What has no exact complement is placed by best fit. Each step places a whole number of equal sequences, so the plan has
-a few thousand steps and its cost does not depend on the number of pieces.
+size of the corpus. On them the plan is made: a hash of single, pair and triple sums tells which lengths exactly fill the
+gap that a piece leaves; a combination is used as often as all its lengths are available. What has no exact complement
+is placed by best fit. Each step places a whole number of equal sequences, so the plan has a few thousand steps and its
+cost does not depend on the number of pieces.
 
 Pieces then get their places without meeting each other: a piece knows its rank among the pieces of its length (a count
 per length and bucket plus a row number inside the bucket, so a length that a third of all pieces share is ranked in
-many tasks), and the plan tells which rank goes into which sequence at which offset.
+many tasks, and rows that repeat a doc_id or have none are dealt by their place), and the plan tells which rank goes
+into which sequence at which offset.
 
 Defined results: a null text is an empty one, which is the end mark alone; repeated rows are packed again; other columns
 are not looked at.
@@ -84,15 +85,17 @@ def _tokenize(vocabulary: str, limit: int, with_ids: bool):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, added = encoder(vocabulary)._core_bpe.encode_to_tiktoken_buffer, {*added_tokens(vocabulary)}
         end = np.array([END_ID], dtype=np.uint32)
+        done = 0
         for batch in rows:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.frombuffer(encode(text.as_py() or "", added), dtype=np.uint32)
                 for k, (start, part) in enumerate(pieces_of(np.concatenate((ids, end)), limit)):
                     raw = part.astype("<u4", copy=False).tobytes()
-                    out.append((doc, k, start, len(part), zlib.crc32(raw), *([part.tolist()] if with_ids else ())))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                    out.append((doc, k, start, len(part), zlib.crc32(raw), done + len(out), *([part.tolist()] if with_ids else ())))
+            done += len(out)
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "place", *(["ids"] if with_ids else [])]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
             columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names)
 
@@ -100,9 +103,9 @@ def _tokenize(vocabulary: str, limit: int, with_ids: bool):
 
 
 def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, with_ids: bool = False) -> DataFrame:
-    """One row per piece; ``with_ids`` adds the ids themselves."""
+    """One row per piece; ``with_ids`` adds the ids themselves. ``place`` counts the pieces of a task."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_tokenize(vocabulary, limit, with_ids), SCHEMA + ", ids array<bigint>" * with_ids)
+    return source.mapInArrow(_tokenize(vocabulary, limit, with_ids), SCHEMA + ", place bigint" + ", ids array<bigint>" * with_ids)
 
 
 @dataclass(frozen=True)
@@ -113,56 +116,96 @@ class Step:
     times: int
 
 
-def plan(counts: dict[int, int], limit: int = LIMIT) -> list[Step]:
-    """Steps that place every piece of ``counts`` (pieces by length) in the fewest sequences that any depth reaches.
+class Sums:
+    """A hash of sums: for a gap, the combinations of ``parts`` given lengths that fill it exactly, longest part first."""
 
-    Combinations use up the small pieces that best fit needs when pieces are few, so the plan is made with combinations
-    of up to three, two, one and no pieces; the plans cost little, and with many pieces the deepest one wins.
-    """
-    plans = [_plan(counts, limit, depth) for depth in (3, 2, 1, 0)]
-    return min(plans, key=lambda steps: sum(s.times for s in steps))
+    def __init__(self, lengths: np.ndarray, parts: int, most: int):
+        rows = np.sort(lengths)[::-1].reshape(-1, 1)
+        for _ in range(parts - 1):
+            shorter = np.sort(lengths)[::-1]
+            longer, with_ = np.repeat(np.arange(len(rows)), len(shorter)), np.tile(shorter, len(rows))
+            fits = (with_ <= rows[longer, -1]) & (rows[longer].sum(axis=1) + with_ <= most)
+            rows = np.column_stack((rows[longer[fits]], with_[fits]))
+        total = rows.sum(axis=1)
+        order = np.argsort(total, kind="stable")
+        total, rows = total[order], rows[order]
+        sums, starts = np.unique(total, return_index=True)
+        self._of = {int(g): part for g, part in zip(sums, np.split(rows, starts[1:]), strict=True)} if len(rows) else {}
+
+    def of(self, gap: int) -> np.ndarray:
+        return self._of.get(gap, _NO_ROWS)
+
+
+_NO_ROWS = np.empty((0, 1), dtype=np.int64)
 
 
-def _plan(counts: dict[int, int], limit: int, depth: int) -> list[Step]:
+def plan(counts: dict[int, int], limit: int = LIMIT) -> list[Step]:
+    """Steps that place every piece of ``counts`` (pieces by length).
+
+    Exact fills come first, then best fit of what is left. Small pieces are what best fit needs to fill odd gaps, so
+    some fills may have spent too many: fills are given back, those with the shortest parts first and twice as many each
+    time, as long as the sequences are more than their tokens need. What needs the fewest sequences is the plan, so it
+    never needs more than best fit alone, and the fills of a plan that wastes nothing all stand.
+    """
+    fills, left = exact_fills(counts, limit)
+    least = -(-sum(size * n for size, n in counts.items()) // limit)
+    whole = [s for s in fills if s.lengths == (limit,)]
+    fills = sorted((s for s in fills if s.lengths != (limit,)), key=lambda s: (min(s.lengths), s.lengths))
+    best, back, all_ = None, 0, sum(s.times for s in fills)
+    while True:
+        kept, free = give_back(fills, left, back)
+        steps = whole + kept + best_fit(free, limit)
+        needed = sum(s.times for s in steps)
+        if best is None or needed < best[0]:
+            best = needed, steps
+        if best[0] <= least or back >= all_:
+            return best[1]
+        back = min(all_, 2 * back or 1)
+
+
+def exact_fills(counts: dict[int, int], limit: int = LIMIT) -> tuple[list[Step], np.ndarray]:
+    """Sequences that lengths fill exactly, and how many pieces of each length are left.
+
+    For each piece that is not yet placed, longest first, the gap it leaves is looked up: single lengths, then pairs
+    of lengths of at least a quarter of a sequence, then triples of at least three sixteenths. A combination is used as
+    often as all its lengths are available.
+    """
     left = np.zeros(limit + 1, dtype=np.int64)
     for size, n in counts.items():
         left[size] = n
-    steps: list[Step] = []
-
-    def use(lengths: tuple[int, ...]) -> int:
-        """Places the combination as often as it is available."""
-        times = min(int(left[x]) // lengths.count(x) for x in set(lengths))
-        if times:
-            for x in lengths:
-                left[x] -= times
-            steps.append(Step(lengths, times))
-        return times
-
-    def combinations(gap: int, largest: int) -> Iterator[tuple[int, ...]]:
-        """Available combinations of one, two, then three lengths up to ``largest`` that fill ``gap`` exactly."""
-        if depth > 0 and gap <= largest and left[gap]:
-            yield (gap,)
-        for a in range(min(gap - 1, largest), (gap - 1) // 2, -1) if depth > 1 else ():
-            if left[a] and left[gap - a]:
-                yield (a, gap - a)
-        for a in range(min(gap - 2, largest), (gap - 1) // 3, -1) if depth > 2 else ():
-            if left[a]:
-                rest = gap - a
-                low = np.arange(max(1, rest - a), rest // 2 + 1)
-                for b in low[(left[low] > 0) & (left[rest - low] > 0)]:
-                    yield (a, int(rest - b), int(b))
-
-    use((limit,))
-    for size in range(limit - 1, 0, -1):
-        for combination in combinations(limit - size, size):
-            if not left[size]:
-                break
-            use((size, *combination))
-    # best fit of what has no exact complement: open sequences by their gap, longest pieces first
+    steps = [Step((limit,), int(left[limit]))] * bool(left[limit])
+    left[limit] = 0
+    for parts, shortest in ((1, 1), (2, limit // 4), (3, 3 * limit // 16)):
+        here = np.flatnonzero(left)
+        sums = Sums(here[here >= shortest], parts, limit)
+        for size in here[::-1].tolist():
+            for row in sums.of(limit - size) if left[size] else ():
+                lengths = (size, *row.tolist())
+                if size >= lengths[1] and (times := min(int(left[x]) // lengths.count(x) for x in set(lengths))):
+                    for x in lengths:
+                        left[x] -= times
+                    steps.append(Step(lengths, times))
+    return steps, left
+
+
+def give_back(fills: list[Step], left: np.ndarray, back: int) -> tuple[list[Step], np.ndarray]:
+    """``fills`` without its first ``back`` sequences, and ``left`` with their pieces."""
+    kept, free = [], left.copy()
+    for s in fills:
+        undone = min(back, s.times)
+        back -= undone
+        for x in s.lengths:
+            free[x] += undone
+        if s.times > undone:
+            kept.append(Step(s.lengths, s.times - undone))
+    return kept, free
+
+
+def best_fit(left: np.ndarray, limit: int = LIMIT) -> list[Step]:
+    """Longest pieces first, each into the smallest gap that takes it; equal ones together."""
     open_: dict[int, list[list]] = {}
     for size in range(limit, 0, -1):
         todo = int(left[size])
-        left[size] = 0
         while todo:
             gap = min((g for g in open_ if g >= size), default=None)
             if gap is None:
@@ -180,8 +223,7 @@ def _plan(counts: dict[int, int], limit: int, depth: int) -> list[Step]:
                 open_.setdefault(gap, []).append([lengths, times - now])
             open_.setdefault(gap - size, []).append([(*lengths, size), now])
             todo -= now
-    steps += [Step(lengths, times) for group in open_.values() for lengths, times in group if times]
-    return steps
+    return [Step(lengths, times) for group in open_.values() for lengths, times in group if times]
 
 
 def slots(steps: list[Step], limit: int = LIMIT) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -228,15 +270,16 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIMIT, with
     places = spark.sparkContext.broadcast(slots(plan(counts, limit), limit))
     # a length gets as many buckets as its pieces need; the list is as long as a sequence
     buckets = F.array(*[F.lit(min(1 + counts.get(n, 0) // RANKED, BUCKETS)).cast("bigint") for n in range(1, limit + 1)])
-    told = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.get(buckets, F.col("length").cast("int") - 1)))
+    told = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "place"), F.get(buckets, F.col("length").cast("int") - 1)))
     sizes = told.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    kept = [c for c in pieces.columns if c != "place"]
     ranked = (
         told.withColumn("row", F.row_number().over(inside))
         .join(base, ["length", "bucket"])
-        .select(*pieces.columns, (F.col("base") + F.col("row") - 1).alias("rank"))
+        .select(*kept, (F.col("base") + F.col("row") - 1).alias("rank"))
     )
     extra = ", ids array<bigint>" * with_ids
     return ranked.mapInArrow(_place(places), SCHEMA + extra + ", sequence_id bigint, offset bigint")

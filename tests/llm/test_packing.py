@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -60,9 +61,9 @@ def test_added_tokens_in_a_text(spark):
 
 def test_plan_places_everything_once():
     rng = random.Random(1)
-    for trial in range(30):
+    for trial in range(40):
         limit = rng.choice([8, 20, 64])
-        counts = Counter(rng.randint(1, limit) for _ in range(rng.randint(0, 400)))
+        counts = Counter(rng.randint(1, limit) for _ in range(rng.choice([0, 5, 40, 400, 4000])))
         steps = P.plan(dict(counts), limit)
         used = Counter()
         for s in steps:
@@ -70,9 +71,44 @@ def test_plan_places_everything_once():
             for x in s.lengths:
                 used[x] += s.times
         assert +used == +counts
-        sequences = sum(s.times for s in steps)
-        total = sum(k * v for k, v in counts.items())
-        assert sequences <= 1.15 * -(-total // limit) + 1
+        left = np.zeros(limit + 1, dtype=np.int64)
+        for k, v in counts.items():
+            left[k] = v
+        assert sum(s.times for s in steps) <= sum(s.times for s in P.best_fit(left, limit))
+
+
+def test_sums_are_those_of_brute_force():
+    lengths = np.array([1, 3, 4, 7, 9])
+    for parts in (1, 2, 3):
+        sums = P.Sums(lengths, parts, 16)
+        for gap in range(20):
+            want = {tuple(sorted(c, reverse=True)) for c in itertools.combinations_with_replacement(lengths.tolist(), parts) if sum(c) == gap <= 16}
+            got = [tuple(r) for r in sums.of(gap).tolist()]
+            assert {*got} == want and len(got) == len(want)
+
+
+def test_combinations_fill_sequences_of_a_real_table():
+    """Fills of one, two and three complements all stand in the plan, and it is no worse than best fit alone."""
+    import pyarrow.parquet as pq
+
+    encode = P.encoder().encode
+    counts = Counter()
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist():
+        full, rest = divmod(len(encode(text or "", allowed_special={*P.added_tokens()})) + 1, P.LIMIT)
+        counts[P.LIMIT] += full
+        counts[rest or P.LIMIT] += 1 if rest else 0
+    steps = P.plan(+counts)
+    exact = Counter(len(s.lengths) for s in steps if sum(s.lengths) == P.LIMIT for _ in range(s.times))
+    assert sum(s.times for s in steps) <= 964 and exact[2] > 200 and exact[3] > 20 and exact[4] > 5
+
+
+def test_a_repeated_row_is_ranked_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(P, "RANKED", 20)
+    rows = spark.createDataFrame([(None, "a b c")] * 300 + [(7, "a b c")] * 300, "doc_id bigint, text string").repartition(3)
+    got = P.pack(rows)
+    assert check_places(got.collect()) == 3 and len(got.collect()) == 600
+    told = P.tokenize(rows).select("doc_id", "piece", "place").distinct()
+    assert told.count() >= 200  # what the groups are told apart by
 
 
 def test_ids_round_trip(spark, odd, empty):
