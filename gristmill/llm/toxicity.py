@@ -3,11 +3,17 @@
 Confirmed toxic documents are the positives; the rest of the corpus, whatever its labels, is unlabelled text. A linear
 classifier minimises the class-prior-corrected risk ``p R_p(+) + max(0, R_u(-) - p R_p(-))``, whose negative part is held
 at zero or above so that it cannot be driven down by remembering the positives. Features are words and word beginnings
-that positives hold far more often than unlabelled text, and three summaries of how many of them a text holds. A
-logistic calibration on labelled training rows turns the margin into a probability.
+that positives hold far more often than unlabelled text, and three summaries of how many of them a text holds.
 
-Fitting reads a bounded sample: about ``POSITIVES`` positives and ``UNLABELLED`` documents, drawn by a hash of doc_id.
-Scoring reads every whole text once, without a shuffle. Label, language, source and doc_id are no inputs of a score.
+The margin becomes a score by what is known of positives and unlabelled text alone. Classifiers of all folds but one
+judge the fold they did not see; the cut that maximises the squared share of positives above it over the share of
+unlabelled text above it (recall squared by flagged, which grows with precision times recall) gets the score of
+``THRESHOLD``, and a logistic fit of positives against unlabelled text gives the slope. Labels of clean documents count
+only towards the class prior.
+
+Fitting reads a bounded sample: at most ``POSITIVES`` positives and ``UNLABELLED`` documents, drawn by a hash of doc_id and
+text, repeated rows once. Scoring reads every whole text once, without a shuffle. Label, language, source and doc_id are
+no inputs of a score.
 
 Rows whose ``crc32(doc_id as text) mod 3`` is 1 are held out: neither their labels nor their texts are learnt from.
 
@@ -17,6 +23,7 @@ are null are no labels; a repeated row is scored again; other columns are not lo
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -31,9 +38,12 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import table
 
 POSITIVES = 1500
-UNLABELLED = 3000
+UNLABELLED = 4500
 MAX_FEATURES = 1500
 THRESHOLD = 0.7
+FOLDS = 4
+#: Cuts are about as good as the best one from this share of its worth on.
+ABOUT = 0.99
 BEGINNINGS = (4, 5, 6, 7)
 
 _WORD = re.compile(r"\w+")
@@ -65,10 +75,10 @@ class Features:
                 self._known[word] = found
         return found
 
-    def sparse(self, bag: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, values) of a text's bag of words."""
+    def sparse(self, bag: Counter[str], total: int) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, values) of a text's bag of words, which has ``total`` words; words without a feature may be left out."""
         met: Counter[int] = Counter()
-        hits, total = 0, bag.total()
+        hits = 0
         heads, head = self.heads, min(BEGINNINGS)
         for word, n in bag.items():
             if word[:head] in heads and (found := self._of(word)):
@@ -78,8 +88,8 @@ class Features:
         summary = [np.log1p(hits), np.sqrt(hits / max(1, total)), np.log1p(total) / 10]
         return at, np.array([*np.log2(1.0 + np.array([*met.values()])), *summary], dtype=np.float32)
 
-    def rows(self, bags: list[Counter[str]]) -> Rows:
-        return Rows([self.sparse(b) for b in bags], self.size)
+    def rows(self, bags: list[tuple[Counter[str], int]]) -> Rows:
+        return Rows([self.sparse(*b) for b in bags], self.size)
 
 
 class Rows:
@@ -106,24 +116,42 @@ def bag_of(text: str) -> Counter[str]:
     return Counter(_WORD.findall(text.lower()))
 
 
-def choose_features(positive: list[Counter[str]], unlabelled: list[Counter[str]], most: int = MAX_FEATURES) -> list[str]:
-    """Words and beginnings with the largest log-odds of documents, weighted by their support among the positives."""
+def parts_of(bag: Counter[str]) -> set[str]:
+    return {part for word in bag for part in _parts(word)}
+
+
+class Held:
+    """How many documents of a fold hold each word or beginning that some positive holds."""
+
+    def __init__(self, positive: list[list[Counter[str]]], unlabelled: list[list[Counter[str]]]):
+        self.positive = [self._count(map(parts_of, bags)) for bags in positive]
+        self.all_positive = sum(self.positive, Counter())
+        self.all_positive = Counter({name: k for name, k in self.all_positive.items() if k > 1})
+        self.unlabelled = [self._count(self.all_positive.keys() & parts_of(b) for b in bags) for bags in unlabelled]
+        self.all_unlabelled = sum(self.unlabelled, Counter())
+        self.sizes = [len(x) for x in positive], [len(x) for x in unlabelled]
+
+    @staticmethod
+    def _count(sets: Iterator[set[str]]) -> Counter[str]:
+        total: Counter[str] = Counter()
+        for s in sets:
+            total.update(s)
+        return total
 
-    n, m = len(positive) + 1, len(unlabelled) + 1
-    least = max(2, -(-len(positive) // 50))
-    p: Counter[str] = Counter()
-    for bag in positive:
-        p.update({part for word in bag for part in _parts(word)})
-    p = Counter({name: k for name, k in p.items() if k >= least})
-    u: Counter[str] = Counter()
-    for bag in unlabelled:  # only what may be chosen is counted
-        u.update({part for word in bag for part in _parts(word) if part in p})
-    rated = []
-    for name, k in p.items():
-        odds = np.log((k + 0.5) / n) - np.log((u[name] + 0.5) / m)
-        if odds > 0.8:
-            rated.append((-odds * np.sqrt(k), name))
-    return [name for _, name in sorted(rated)[:most]]
+    def features(self, without: int | None = None, most: int = MAX_FEATURES) -> list[str]:
+        """Words and beginnings with the largest log-odds of documents, weighted by their support among the positives."""
+
+        none: Counter[str] = Counter()
+        p, u = (none, none) if without is None else (self.positive[without], self.unlabelled[without])
+        positives, m = (sum(n for k, n in enumerate(sizes) if k != without) for sizes in self.sizes)
+        least = max(2, -(-positives // 50))
+        rated = []
+        for name, all_ in self.all_positive.items():
+            if (k := all_ - p[name]) >= least:
+                odds = math.log((k + 0.5) / (positives + 1)) - math.log((self.all_unlabelled[name] - u[name] + 0.5) / (m + 1))
+                if odds > 0.8:
+                    rated.append((-odds * math.sqrt(k), name))
+        return [name for _, name in sorted(rated)[:most]]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -148,23 +176,27 @@ def fit_nnpu(xp: Rows, xu: Rows, prior: float, rounds: int = 400, rate: float =
     return w
 
 
-def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """(slope, shift) of a logistic fit of labels on margins, with smoothed targets.
-
-    Positives, which are rare, weigh the square root of how much rarer they are: half way, in log-odds, between a score
-    that is the plain probability and one under even classes.
-    """
-    positives, negatives = label.sum(), len(label) - label.sum()
-    target = np.where(label > 0, (positives + 1) / (positives + 2), 1 / (negatives + 2))
-    weight = np.where(label > 0, np.sqrt(negatives / positives), 1.0)
-    scale = margin.std() + 1e-9
-    x = np.stack([margin / scale, np.ones(len(margin))], axis=1)
+def calibrate(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) from margins of positives and unlabelled texts that the classifier did not see."""
+    cuts = np.unique(np.concatenate((positive, unlabelled)))
+    recall = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    flagged = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    # a cut above all unlabelled texts counts as one of them; of cuts that are about as good the lowest is taken
+    worth = recall**2 / np.maximum(flagged, 1 / len(unlabelled))
+    k = int(np.flatnonzero(worth >= ABOUT * worth.max())[0])
+    cut = (cuts[k] + cuts[max(0, k - 1)]) / 2
+    x = np.concatenate((positive, unlabelled))
+    target = np.concatenate((np.ones(len(positive)), np.zeros(len(unlabelled))))
+    weight = np.concatenate((np.full(len(positive), 1 / len(positive)), np.full(len(unlabelled), 1 / len(unlabelled))))
+    scale = x.std() + 1e-9
+    rows = np.stack([x / scale, np.ones(len(x))], axis=1)
     w = np.array([1.0, 0.0])
     for _ in range(50):
-        p = _sigmoid(x @ w)
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        w = w - np.linalg.solve(hessian, x.T @ (weight * (p - target)) + 1e-6 * w)
-    return max(float(w[0] / scale), 1e-6), float(w[1])
+        p = _sigmoid(rows @ w)
+        hessian = (rows * (weight * p * (1 - p))[:, None]).T @ rows + 1e-4 * np.eye(2)
+        w = w - np.linalg.solve(hessian, rows.T @ (weight * (p - target)) + 1e-4 * w)
+    slope = max(float(w[0] / scale), 1e-6)
+    return slope, float(np.log(THRESHOLD / (1 - THRESHOLD)) - slope * cut)
 
 
 @dataclass
@@ -175,47 +207,65 @@ class Model:
     shift: float
 
     def margin(self, bag: Counter[str]) -> float:
-        at, value = self.features.sparse(bag)
+        at, value = self.features.sparse(bag, bag.total())
         return float(self.weights[at] @ value + self.weights[-1])
 
     def score(self, text: str) -> float:
         return float(_sigmoid(np.array(self.slope * self.margin(bag_of(text)) + self.shift)))
 
 
-def fit(positive: list[str], unlabelled: list[str], labelled: list[tuple[str, int]], prior: float) -> Model:
-    """A classifier of all the sample, calibrated on margins of labelled texts that half-sample classifiers did not see.
+def fit(positive: list[str], unlabelled: list[str], prior: float, folds: int = FOLDS) -> Model:
+    """A classifier of all the sample, calibrated on margins of texts that fold classifiers did not see.
 
-    Equal texts fall into the same half.
+    Equal texts fall into the same fold.
     """
 
-    def bare(p: list[Counter[str]], u: list[Counter[str]]) -> Model:
-        features = Features(choose_features(p, u))
-        return Model(features, fit_nnpu(features.rows(p), features.rows(u), prior), 1.0, 0.0)
-
-    def halved(texts: list[str]) -> list[tuple[int, Counter[str]]]:
-        return [(zlib.crc32(t.encode("utf-8", "surrogatepass")) & 1, bag_of(t)) for t in texts]
-
-    positives, others, told = halved(positive), halved(unlabelled), halved([t for t, _ in labelled])
-    model = bare([b for _, b in positives], [b for _, b in others])
-    unseen = []
-    for side in (0, 1):
-        p, u = [b for h, b in positives if h != side], [b for h, b in others if h != side]
-        if p and u:
-            other = bare(p, u)
-            unseen += [(other.margin(b), y) for (h, b), (_, y) in zip(told, labelled, strict=True) if h == side]
-    if unseen and 0 < sum(y for _, y in unseen) < len(unseen):
-        margin, marks = (np.array(c, dtype=float) for c in zip(*unseen, strict=True))
-        model.slope, model.shift = calibrate(margin, marks)
+    def folded(texts: list[str]) -> list[list[Counter[str]]]:
+        out: list[list[Counter[str]]] = [[] for _ in range(folds)]
+        for t in texts:
+            out[zlib.crc32(t.encode("utf-8", "surrogatepass")) % folds].append(bag_of(t))
+        return out
+
+    p, u = folded(positive), folded(unlabelled)
+    held = Held(p, u)
+    chosen = {k: Features(held.features(k)) for k in (None, *range(folds))}
+    heads = frozenset().union(*(f.heads for f in chosen.values()))
+    head = min(BEGINNINGS)
+    # words that hold a feature of no fold are left out once
+    p, u = ([[(Counter({w: n for w, n in b.items() if w[:head] in heads}), b.total()) for b in part] for part in x] for x in (p, u))
+
+    def bare(without: int | None = None) -> Model | None:
+        mine, others = ([b for k, part in enumerate(x) if k != without for b in part] for x in (p, u))
+        if not mine or not others:
+            return None
+        features = chosen[without]
+        return Model(features, fit_nnpu(features.rows(mine), features.rows(others), prior), 1.0, 0.0)
+
+    model = bare()
+    seen_p, seen_u = [], []
+    for k in range(folds):
+        if (p[k] or u[k]) and (other := bare(k)):
+            for seen, part in ((seen_p, p[k]), (seen_u, u[k])):
+                if part:
+                    seen += other.features.rows(part).times(other.weights).tolist()
+    if seen_p and seen_u:
+        model.slope, model.shift = calibrate(np.array(seen_p), np.array(seen_u))
     return model
 
 
-def _below(share: float) -> Column:
-    return F.lit(True) if share >= 1 else F.pmod(F.xxhash64("doc_id"), F.lit(1 << 50)) < int(share * (1 << 50))
+def _drawn(rows: DataFrame, key: Column, share: float, most: int) -> DataFrame:
+    """At most ``most`` rows of different ``key``, in the order of a hash; ``share`` of the keys is expected to do."""
+    rows = rows.withColumn("_key", F.xxhash64(key, F.lit("drawn")))
+    if share < 1:
+        rows = rows.where(F.pmod("_key", F.lit(1 << 50)) < int(share * (1 << 50)))
+    first = rows.groupBy("_key").agg(F.min(F.struct(*[c for c in rows.columns if c != "_key"])).alias("_row"))
+    return first.orderBy(F.pmod("_key", F.lit(1 << 50)), "_key").limit(most).select("_row.*")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from a bounded sample of the rows that are not held out; None without positives."""
-    free = docs.where(~held_out(F.col("doc_id")))
+    spark = docs.sparkSession
+    free = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marks = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")
     )
@@ -224,26 +274,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not counted["k"]:
         return None
     total = max(1, docs.count())
-    # documents below the smaller share stand for the corpus; labelled toxic ones below the other are the positives
-    share_u, share_p = min(1.0, 1.5 * UNLABELLED / total), min(1.0, POSITIVES / counted["k"])
-    toxic = marks.where("toxic = 1").where(_below(share_p))
-    seen = marks.where(_below(share_u))
-    chosen = F.broadcast(toxic.unionByName(seen).distinct())  # about POSITIVES plus a share of UNLABELLED rows
-    sample = (
-        free.where(_below(max(share_u, share_p)))
-        .join(chosen, "doc_id", "left")
-        .withColumn("unlabelled", _below(share_u))
-        .where(F.col("unlabelled") | (F.col("toxic") == 1))
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic", "unlabelled")
-        .collect()
-    )
-    sample.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"]))
-    positive = [r["text"] for r in sample if r["toxic"] == 1]
-    unlabelled = [r["text"] for r in sample if r["unlabelled"]]
-    labelled = [(r["text"], r["toxic"]) for r in sample if r["unlabelled"] and r["toxic"] is not None]
+    # twice the share that is expected to be enough, cut to the bound by the draw
+    toxic = _drawn(marks.where("toxic = 1").select("doc_id"), F.col("doc_id"), min(1.0, 2 * POSITIVES / counted["k"]), POSITIVES)
+    ids = spark.createDataFrame([(r["doc_id"],) for r in toxic.collect()], "doc_id bigint")
+    row = F.struct("doc_id", F.xxhash64("text"))
+    positive = _drawn(free.join(F.broadcast(ids), "doc_id", "left_semi"), row, 1.0, POSITIVES).collect()
+    unlabelled = _drawn(free, row, min(1.0, 2 * UNLABELLED / total), UNLABELLED).collect()
     if not positive or not unlabelled:
         return None
-    return fit(positive, unlabelled, labelled, counted["k"] / counted["n"])
+    return fit(sorted(r["text"] for r in positive), sorted(r["text"] for r in unlabelled), counted["k"] / counted["n"])
 
 
 SCHEMA = "doc_id bigint, held_out boolean, score double"

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gristmill.llm import toxicity as T
 
@@ -50,6 +51,43 @@ def test_without_positives_or_rows(spark, docs, empty):
     assert T.score(empty, none).count() == 0
 
 
+def test_samples_are_bounded_whatever_the_ids(spark, monkeypatch):
+    A, B = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = spark.createDataFrame([(None, f"t{i}") for i in range(400)] + [(A, "same")] * 400 + [(B, f"u{i}") for i in range(400)], "doc_id bigint, text string")
+    row = F.struct("doc_id", F.xxhash64("text"))
+    assert T._drawn(rows, row, 1.0, 50).count() == 50
+    assert T._drawn(rows, row, 1.0, 5000).count() == 801
+    assert T._drawn(rows.limit(0), row, 1.0, 5).count() == 0
+    monkeypatch.setattr(T, "UNLABELLED", 30)
+    monkeypatch.setattr(T, "POSITIVES", 20)
+    taken = []
+    monkeypatch.setattr(T, "fit", lambda p, u, prior: taken.append((len(p), len(u))))
+    T.train(rows, spark.createDataFrame([(B, 1), (A, 0)], "doc_id bigint, toxic int"))
+    assert taken == [(20, 30)]
+
+
+def test_repeated_rows_long_texts_and_clean_labels(spark):
+    rows, labels = corpus(400)
+    long = "w1 w2 w3 " * 20_000
+    docs = spark.createDataFrame([*rows, *rows[:50], (8000, long), (8001, long + " blarg fnord grumb" * 2000)], "doc_id bigint, text string")
+    marks = spark.createDataFrame([*labels, *labels[:40]], "doc_id bigint, quality int, toxic int")
+    got = T.score(docs, marks).collect()
+    assert len(got) == 452
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], set()).add((r["score"], r["predicted"]))
+    assert all(len(v) == 1 for v in by.values())
+    assert max(by[8001])[0] > max(by[8000])[0]
+
+
+def test_a_score_at_the_threshold_is_predicted():
+    slope, shift = T.calibrate(np.array([2.0, 3.0, 4.0, 5.0]), np.array([-3.0, -2.0, -2.0, -1.0, -1.0, 0.0, 0.5, 1.0, 2.5]))
+    cut = (np.log(T.THRESHOLD / (1 - T.THRESHOLD)) - shift) / slope
+    assert slope > 0 and 1.0 < cut <= 2.0  # half way below the least positive
+    same = T.calibrate(np.zeros(5), np.zeros(9))
+    assert all(np.isfinite(same))
+
+
 def test_risk_does_not_run_away():
     rng = np.random.default_rng(1)
     xu = rng.normal(size=(600, 3))
