@@ -133,7 +133,8 @@ def precision_report(labels: DataFrame) -> DataFrame:
 
 
 def false_positive_reasons(labels: DataFrame) -> DataFrame:
-    return labels.where("label = 'bad'").groupBy(F.coalesce("reason", F.lit("unspecified")).alias("reason")).agg(F.count("*").alias("n"))
+    """Reasons of bad labels, the most frequent first."""
+    return labels.where("label = 'bad'").groupBy(F.coalesce("reason", F.lit("unspecified")).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 
 
 def against_baseline(report: DataFrame, baseline: DataFrame | None) -> DataFrame:
@@ -149,6 +150,28 @@ def next_baseline(report: dict, existing: dict | None, reset: bool = False) -> d
     return report if report["total_labeled"] and (reset or existing is None) else existing
 
 
+def load_baseline(spark: SparkSession, path: str) -> DataFrame | None:
+    """The saved report that others are compared with, one row, if there is one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema("good bigint, bad bigint, total_labeled bigint, precision double").json(path) if found else None
+
+
+def report_against(labels: DataFrame, path: str, reset: bool = False) -> DataFrame:
+    """The report of the latest labels with its change since the baseline at ``path``, which is kept up there.
+
+    The first report with labels becomes the baseline and has no change to show, nor has one that replaces it.
+    """
+    spark = labels.sparkSession
+    report, before = precision_report(labels), load_baseline(spark, path)
+    now, then = report.first().asDict(), before.first().asDict() if before is not None else None
+    chosen = next_baseline(now, then, reset)
+    if chosen is not None and chosen is not then:
+        write_document(report, path)
+        return against_baseline(report, None)
+    return against_baseline(report, None if then is None else spark.createDataFrame([tuple(then.values())], before.schema))
+
+
 def grade_counts(scored: DataFrame) -> DataFrame:
     """Postings by tier; C and D count as one."""
     tier = F.when(F.col("grade").isin("C", "D"), "C/D").otherwise(F.col("grade"))
@@ -201,7 +224,7 @@ def check_sources(results: DataFrame, yields: DataFrame) -> DataFrame:
 
 def reset(spark: SparkSession, root: str, cache_only: bool = False) -> None:
     """Removes run data, or the signature cache only. What the user decided (tracking, labels, inbox, applications) stays."""
-    names = ("signatures",) if cache_only else ("raw", "gated", "scored", "prefiltered", "evaluated", "results", "status", "history", "yields", "signatures", "manifest")
+    names = ("signatures",) if cache_only else ("raw", "gated", "scored", "prefiltered", "answers", "ranked", "results", "status", "history", "yields", "signatures", "manifest")
     for name in names:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

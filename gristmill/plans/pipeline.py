@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions import model_output as M
 from gristmill.operators import gate as G
 from gristmill.operators import scoring, stores
 from gristmill.operators.rules import RuleSet
@@ -22,7 +23,15 @@ from gristmill.sources.registry import Registry, Result, result_rows
 
 
 class Cancelled(Exception):
-    """Raised by ``run`` between stages; what is done stays on disk."""
+    """Raised by ``run`` between stages, sources and waves of batches; what is done stays on disk."""
+
+
+class AlreadyRunning(Exception):
+    """A run of the same root has not ended."""
+
+
+#: Batches that are asked about between two looks at whether to go on.
+WAVE = 8
 
 
 @dataclass
@@ -39,8 +48,20 @@ class Run:
     max_days_old: int = G.MAX_DAYS_OLD
     resume: bool = False
     cancelled: Callable[[], bool] = lambda: False
+    #: Whether a cancelled run also gives up what it has done.
+    discard: bool = False
+    listeners: list[Callable[[dict], None]] = field(default_factory=list)
     done: dict[str, dict] = field(default_factory=dict)
 
+    def tell(self, kind: str, **what) -> None:
+        """An event for whoever listens; a listener that fails is not asked to be well."""
+        event = {"kind": kind, "run_ts": self.run_ts, **what}
+        for listener in self.listeners:
+            try:
+                listener(event)
+            except Exception:  # progress is no part of the result
+                continue
+
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
@@ -68,6 +89,7 @@ class Run:
             raise Cancelled(name)
         if name in self.done:
             return self.read(name)
+        self.tell("stage", name=name)
         rows = self.put(make(), name)
         self.note(name, {})
         return rows
@@ -92,11 +114,31 @@ class Run:
 
 
 def stores_reset(run: Run) -> None:
-    for name in ("manifest", "gated", "scored", "prefiltered", "evaluated", "ranked"):
+    for name in ("manifest", "gated", "scored", "prefiltered", "answers", "ranked"):
         p, fs = run._fs(run.path(name))
         fs.delete(p, True)
 
 
+def answered(run: Run, selected: DataFrame, evaluator: Callable[[list[dict]], str]) -> DataFrame:
+    """The answers of all batches. Each wave of batches is appended when it is done, so a run that goes on asks only
+    about those that have none; batches are as many as the cap allows."""
+    if "answers" in run.done:
+        return run.read("answers")
+    batches = scoring.with_batches(selected)
+    number = sorted(r["batch_id"] for r in batches.select("batch_id").distinct().collect())
+    known = {r["batch_id"] for r in run.read("answers").collect()} if run.exists("answers") else set()
+    todo = [b for b in number if b not in known]
+    for k in range(0, len(todo), WAVE):
+        if run.cancelled():
+            raise Cancelled("answers")
+        run.tell("batches", done=len(number) - len(todo) + k, all=len(number))
+        stores.append(scoring.ask(batches.where(F.col("batch_id").isin(todo[k : k + WAVE])), evaluator), run.path("answers"))
+    if not number:
+        run.put(run.spark.createDataFrame([], "batch_id int, answer string"), "answers")
+    run.note("answers", {})
+    return run.read("answers")
+
+
 def collect(run: Run, registry: Registry, slow: frozenset[str] = frozenset()) -> tuple[DataFrame | None, list[Result]]:
     rows, results = [], []
     for name in registry.choose(run.mode, run.sources, slow):
@@ -105,8 +147,10 @@ def collect(run: Run, registry: Registry, slow: frozenset[str] = frozenset()) ->
         key = f"raw/{name}"
         if key in run.done:
             result = Result(**run.done[key])
-            found = run.read(key) if result.status != "error" else None
+            parts = [run.read(f"{key}/{k:04d}") for k in range(result.parts)]
+            found = reduce(DataFrame.unionByName, parts) if parts else None
         else:
+            run.tell("source", name=name)
             found, result = registry.run(run.spark, name, lambda df, n: run.put(df, f"raw/{n}"))
             run.note(key, asdict(result))
         results.append(result)
@@ -116,7 +160,49 @@ def collect(run: Run, registry: Registry, slow: frozenset[str] = frozenset()) ->
 
 
 def run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str]) -> dict[str, DataFrame]:
-    """The run's tables: health, gated, funnel, ranked."""
+    """The run's tables: health, gated, funnel, ranked. A second run of the same root is refused until this one has ended."""
+    mark, fs = run._fs(run.path("running"))
+    if not fs.createNewFile(mark):
+        raise AlreadyRunning(run.root)
+    status(run, "running")
+    try:
+        out = _run(run, registry, evaluator)
+    except Cancelled:
+        if run.discard:
+            stores_reset(run)
+        status(run, "paused")
+        run.tell("paused")
+        raise
+    except Exception as error:
+        status(run, "error", error=str(error)[:500])
+        run.tell("error", error=str(error)[:500])
+        raise
+    finally:
+        fs.delete(mark, False)
+    run.tell("done")
+    return out
+
+
+def status(run: Run, word: str, counts: dict | None = None, error: str | None = None) -> None:
+    """The state of the last run, as a document."""
+    told = {"run_ts": run.run_ts, "status": word, "error": error, **{name: (counts or {}).get(name) for name in COUNTS}}
+    schema = "run_ts string, status string, error string, " + ", ".join(f"{name} bigint" for name in COUNTS)
+    stores.write_document(run.spark.createDataFrame([tuple(told.values())], schema), run.path("status"))
+
+
+#: What a run counts.
+COUNTS = ("collected", "gated_kept", "gated_rejected", "prefilter_rejected", "prefilter_selected", "prefilter_deferred", "ai_evaluated", "final")
+
+
+def counts_of(gated: DataFrame, split: DataFrame, ranked: DataFrame) -> DataFrame:
+    """One row with the counters of a run, one pass over each of its tables."""
+    of_gate = gated.agg(F.count("*").alias("collected"), F.count_if(F.col("reject_reason").isNull()).alias("gated_kept"), F.count_if(F.col("reject_reason").isNotNull()).alias("gated_rejected"))
+    of_split = split.agg(*[F.count_if(F.col("disposition") == d).alias(f"prefilter_{d}") for d in ("rejected", "selected", "deferred")])
+    of_rank = ranked.agg(F.count_if("ai_evaluated").alias("ai_evaluated"), F.count("*").alias("final"))
+    return of_gate.join(F.broadcast(of_split)).join(F.broadcast(of_rank)).select(*COUNTS)  # one row each
+
+
+def _run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str]) -> dict[str, DataFrame]:
     run.load()
     jobs, results = collect(run, registry)
     outcome = result_rows(run.spark, results)
@@ -133,9 +219,10 @@ def run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str]) ->
         run.note("yields", {})
     if jobs is None:
         run.clear()
+        status(run, "success", dict.fromkeys(COUNTS, 0))
         return {"health": health}
     today = F.lit(run.today).cast("date")
-    cache = run.read("signatures") if run.exists("signatures") else None
+    cache = current_cache(run)
     gated = run.stage(
         "gated",
         lambda: G.gate(jobs, run.rules, today=today, cache=cache, dismissed=stores.dismissed(run.log("tracking")), max_days_old=run.max_days_old),
@@ -143,21 +230,30 @@ def run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str]) ->
     kept = G.kept(gated)
     split = run.stage("prefiltered", lambda: scoring.prefilter(kept, run.rules, run.put))
     selected = split.where("disposition = 'selected'")
-    results_ = run.stage("evaluated", lambda: scoring.evaluate(selected, evaluator))
-    checked = scoring.validate(scoring.assemble(scoring.with_batches(selected), results_), run.rules)
+    answers = answered(run, selected, evaluator)
+    checked = scoring.validate(scoring.assemble(scoring.with_batches(selected), M.results(answers)), run.rules)
     ranked = run.stage("ranked", lambda: stores.mark_new(scoring.rank(checked, scoring.defer(split.where("disposition = 'deferred'"))), run.log("history")))
-    persist(run, ranked, gated, cache, today)
+    persist(run, ranked, gated, split, cache, today)
     run.clear()
     return {"health": health, "gated": gated, "funnel": stores.funnel(gated), "ranked": ranked}
 
 
-def persist(run: Run, ranked: DataFrame, gated: DataFrame, cache: DataFrame | None, today) -> None:
+def current_cache(run: Run) -> DataFrame | None:
+    """The snapshot that the pointer names; a snapshot that was being written when a run broke off is none."""
+    if not run.exists("signatures/current"):
+        return None
+    return run.read(run.spark.read.schema("path string").json(run.path("signatures/current")).first()["path"])
+
+
+def persist(run: Run, ranked: DataFrame, gated: DataFrame, split: DataFrame, cache: DataFrame | None, today) -> None:
     """New flags are in ``ranked`` already; then cache, history, inbox, results, in this order, each once."""
     shown = ranked.select("signature", "ord", "final_score", "title", "company", "source")
     if "signatures" not in run.done:
         empty = run.spark.createDataFrame([], "signature string, first_seen date, last_seen date, final_score int, title string, company string, source string")
-        merged = run.put(stores.merge_cache(cache if cache is not None else empty, shown, today), "signatures_next")
-        run.put(merged, "signatures")
+        snapshot = "signatures/" + "".join(c for c in run.run_ts if c.isalnum())
+        run.put(stores.merge_cache(cache if cache is not None else empty, shown, today), snapshot)
+        # the old snapshot stays until the pointer names the new one
+        stores.write_document(run.spark.createDataFrame([(snapshot,)], "path string"), run.path("signatures/current"))
         run.note("signatures", {})
     now = F.lit(run.run_ts).cast("timestamp")
     for name in ("history", "inbox"):
@@ -166,16 +262,18 @@ def persist(run: Run, ranked: DataFrame, gated: DataFrame, cache: DataFrame | No
         log = run.log(name)
         seq = (log.agg(F.max("seq")).first()[0] or 0) + 1
         if name == "history":
-            rows = ranked.select((F.col("ord") + F.lit(seq)).cast("bigint").alias("seq"), "signature", "source", "title", "company", now.alias("shown_at"))
+            rows = ranked.select((F.col("ord") + F.lit(seq)).cast("bigint").alias("seq"), "signature", "source", "title", "company", now.alias("shown_at"), F.lit(run.run_ts).alias("run_ts"))
+            stores.overwrite_by(rows, run.path(name), "run_ts")  # a run that writes its history again replaces it
         else:
             job = F.struct(*[_field(f, ranked.columns) for f in stores.schemas.JOB.fields])
             scored = F.struct(job.alias("job"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in stores.schemas.SCORED.fields[1:]])
             rows = ranked.select((F.col("ord") + F.lit(seq)).cast("bigint").alias("seq"), "signature", scored.alias("scored"))
             rows = stores.with_first_seen(rows, log, now).select("seq", "signature", "first_seen_at", "scored")
-        stores.append(rows, run.path(name))
+            stores.append(rows, run.path(name))
         run.note(name, {})
-    counts = gated.agg(F.count("*").alias("collected"), F.count_if(F.col("reject_reason").isNull()).alias("gated_kept"), F.count_if(F.col("reject_reason").isNotNull()).alias("gated_rejected"))
-    stores.write_document(counts.withColumns({"run_ts": F.lit(run.run_ts), "status": F.lit("success")}), run.path("status"))
+    counts = counts_of(gated, split, ranked).first().asDict()
+    stores.write_document(ranked.drop("description"), run.path("results"))
+    status(run, "success", counts)
 
 
 def _field(field, columns):

@@ -12,9 +12,9 @@ from gristmill.functions import model_output as M
 from gristmill.functions import text as X
 from gristmill.operators import fuzzy, gate, scoring, stores
 from gristmill.operators import rules as R
+from gristmill.plans import pipeline, views
 from gristmill.plans import sql as S
-from gristmill.plans import views
-from gristmill.plans.demo import JOBS_SQL, NOW, RULES, TODAY, TRACK_SQL, ZONE, jobs, read, tracking
+from gristmill.plans.demo import JOBS_SQL, LATIN, NOW, RULES, TODAY, TRACK_SQL, ZONE, jobs, read, tracking
 from gristmill.plans.stage import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,13 +44,13 @@ def _flat(column: str, name: str):
 
 @query(f"SELECT doc_id, sha1({S.normalize('text')}) AS norm_sha1, length({S.normalize('text')})::BIGINT AS norm_chars FROM documents")
 def normalize_text(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", X.normalize(F.col("text")).alias("n"))
+    d = read(spark, sf, "documents").select("doc_id", X.normalize(F.col("text"), LATIN).alias("n"))
     return d.select("doc_id", F.sha1("n").alias("norm_sha1"), F.char_length("n").cast("bigint").alias("norm_chars"))
 
 
 @query(f"WITH {JOBS_SQL} SELECT ord, sha1({S.normalize('company')} || '|' || {S.normalize('title')} || '|' || left({S.normalize('description')}, 400)) AS signature FROM jobs")
 def content_signature(spark, sf):
-    return jobs(spark, sf).select("ord", X.signature(F.col("company"), F.col("title"), F.col("description")).alias("signature"))
+    return jobs(spark, sf).select("ord", X.signature(F.col("company"), F.col("title"), F.col("description"), LATIN).alias("signature"))
 
 
 @query(r"SELECT doc_id, (length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 200) AS thin_description, length(trim(regexp_replace(text, '\s+', ' ', 'g')))::BIGINT AS clean_chars FROM documents")
@@ -97,10 +97,22 @@ def funnel(spark, sf):
     return stores.funnel(gate.classify(jobs(spark, sf), RULES))
 
 
-@query(f"WITH {_CLASSIFIED} SELECT count(*)::BIGINT AS collected, (count(*) FILTER (WHERE reject_reason IS NULL))::BIGINT AS kept, (count(*) FILTER (WHERE reject_reason IS NOT NULL))::BIGINT AS rejected FROM gated")
+_COUNTED = f"""{_SCORED}, k AS (SELECT ord, score, row_number() OVER (ORDER BY score DESC, ord) AS k FROM scored WHERE reject_reason IS NULL AND score >= {RULES.reject_floor})"""
+
+
+@query(
+    f"""WITH {_COUNTED} SELECT (SELECT count(*) FROM gated)::BIGINT AS collected, (SELECT count(*) FROM gated WHERE reject_reason IS NULL)::BIGINT AS gated_kept,
+  (SELECT count(*) FROM gated WHERE reject_reason IS NOT NULL)::BIGINT AS gated_rejected,
+  (SELECT count(*) FROM scored WHERE reject_reason IS NULL AND score < {RULES.reject_floor})::BIGINT AS prefilter_rejected,
+  (SELECT count(*) FROM k WHERE k <= {RULES.cap})::BIGINT AS prefilter_selected, (SELECT count(*) FROM k WHERE k > {RULES.cap})::BIGINT AS prefilter_deferred,
+  0::BIGINT AS ai_evaluated, (SELECT count(*) FROM k)::BIGINT AS "final\""""
+)
 def run_counts(spark, sf):
-    g = gate.classify(jobs(spark, sf), RULES)
-    return g.agg(F.count("*").alias("collected"), F.count_if(F.col("reject_reason").isNull()).alias("kept"), F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"))
+    put = stage(spark)
+    g = put(gate.classify(jobs(spark, sf), RULES).drop("url", "source_job_id"), "gated")
+    split = put(scoring.prefilter(gate.kept(g), RULES, put).select("ord", "source", "prefilter_score", "english_requirement", "disposition"), "split")
+    ranked = scoring.rank(scoring.defer(split.where("disposition = 'selected'")), scoring.defer(split.where("disposition = 'deferred'")))
+    return pipeline.counts_of(g, split, ranked)
 
 
 @query(f"WITH {JOBS_SQL} SELECT min(ord) AS ord, source, count(*)::BIGINT AS copies FROM jobs GROUP BY source, description")
@@ -112,14 +124,14 @@ def exact_dedup_first(spark, sf):
 
 @query()
 def fuzzy_dedup(spark, sf):
-    return fuzzy.duplicates(jobs(spark, sf))
+    return fuzzy.duplicates(jobs(spark, sf), any_script=LATIN)
 
 
 @query()
 def gate_full(spark, sf):
     t = tracking(spark, sf)
     cache = t.groupBy("signature").agg(F.to_date(F.max("tracked_at")).alias("last_seen"))
-    g = gate.gate(jobs(spark, sf), RULES, today=F.lit(TODAY).cast("date"), cache=cache, dismissed=stores.dismissed(t))
+    g = gate.gate(jobs(spark, sf), RULES, today=F.lit(TODAY).cast("date"), cache=cache, dismissed=stores.dismissed(t), any_script=LATIN)
     return g.select("ord", "signature", F.coalesce("reject_reason", F.lit("")).alias("reject_reason"))
 
 
@@ -139,10 +151,10 @@ def dismissed_anti(spark, sf):
     return t.join(stores.dismissed(t), "signature", "left_anti").select("seq", "signature")
 
 
-@query(f"WITH {TRACK_SQL} SELECT seq, signature, (signature NOT IN (SELECT signature FROM track WHERE seq % 97 = 0)) AS is_new FROM track")
+@query(f"WITH {TRACK_SQL} SELECT seq, signature, (signature NOT IN (SELECT signature FROM track WHERE event_type = 'signup')) AS is_new FROM track")
 def mark_new(spark, sf):
     t = tracking(spark, sf)
-    return stores.mark_new(t, t.where("seq % 97 = 0")).select("seq", "signature", "is_new")
+    return stores.mark_new(t, t.where("event_type = 'signup'")).select("seq", "signature", "is_new")
 
 
 @query(f"WITH {TRACK_SQL} SELECT signature, max(seq) AS seq, arg_max(action, seq) AS action, arg_max(tracked_at, seq) AS tracked_at FROM track GROUP BY signature")
@@ -155,23 +167,23 @@ def first_seen(spark, sf):
     return tracking(spark, sf).groupBy("signature").agg(F.min("tracked_at").alias("first_seen_at"))
 
 
-_HALVES = f"""{TRACK_SQL},
-old AS (SELECT signature, min(tracked_at)::DATE AS first_seen, max(tracked_at)::DATE AS last_seen, max(floor(value))::INT AS final_score FROM track WHERE seq % 2 = 0 AND hash_part < 60 GROUP BY signature),
-shown AS (SELECT signature, arg_max(floor(value)::INT, seq) AS final_score FROM track WHERE seq % 2 = 1 AND hash_part >= 30 GROUP BY signature)""".replace("value,\n", "value, user_id % 100 AS hash_part,\n")
+_SHOWN = f"""{TRACK_SQL},
+old AS (SELECT signature, min(tracked_at)::DATE AS first_seen, max(tracked_at)::DATE AS last_seen, max(floor(value))::INT AS final_score FROM track WHERE action <> 'applied' GROUP BY signature),
+shown AS (SELECT signature, arg_max(floor(value)::INT, seq) AS final_score FROM track WHERE action = 'applied' GROUP BY signature)"""
 
 
 @query(
-    f"""WITH {_HALVES} SELECT coalesce(o.signature, s.signature) AS signature, coalesce(o.first_seen, DATE '{TODAY}') AS first_seen,
+    f"""WITH {_SHOWN} SELECT coalesce(o.signature, s.signature) AS signature, coalesce(o.first_seen, DATE '{TODAY}') AS first_seen,
 CASE WHEN s.signature IS NOT NULL THEN DATE '{TODAY}' ELSE o.last_seen END AS last_seen, coalesce(s.final_score, o.final_score) AS final_score
 FROM old o FULL JOIN shown s ON o.signature = s.signature"""
 )
 def cache_merge(spark, sf):
-    t = tracking(spark, sf).withColumn("part", F.substring("signature", 2, 20).cast("bigint") % 100)
-    old = t.where("seq % 2 = 0 AND part < 60").groupBy("signature").agg(
+    t = tracking(spark, sf)
+    old = t.where("action <> 'applied'").groupBy("signature").agg(
         F.to_date(F.min("tracked_at")).alias("first_seen"), F.to_date(F.max("tracked_at")).alias("last_seen"), F.max(F.floor("value")).cast("int").alias("final_score")
     )
     old = old.withColumns({c: F.lit("") for c in ("title", "company", "source")})
-    shown = t.where("seq % 2 = 1 AND part >= 30").select("signature", F.col("seq").alias("ord"), F.floor("value").cast("int").alias("final_score"), *[F.lit("").alias(c) for c in ("title", "company", "source")])
+    shown = t.where("action = 'applied'").select("signature", F.col("seq").alias("ord"), F.floor("value").cast("int").alias("final_score"), *[F.lit("").alias(c) for c in ("title", "company", "source")])
     return stores.merge_cache(old, shown, F.lit(TODAY).cast("date")).select("signature", "first_seen", "last_seen", "final_score")
 
 
@@ -215,14 +227,14 @@ def grade_fit_bands(spark, sf):
 
 @query(
     """WITH job AS (SELECT DISTINCT (user_id % 10)::INT AS batch_id, 'u' || user_id AS signature FROM events),
-res AS (SELECT (event_id % 10)::INT AS batch_id, 'u' || user_id AS signature, floor(value)::INT AS ai_score FROM events WHERE event_id % 7 = 0),
+res AS (SELECT (event_id % 10)::INT AS batch_id, 'u' || user_id AS signature, floor(value)::INT AS ai_score FROM events WHERE event_type = 'purchase'),
 once AS (SELECT batch_id, signature, max(ai_score) AS ai_score FROM res GROUP BY ALL HAVING count(*) = 1)
 SELECT job.batch_id, job.signature, once.ai_score FROM job LEFT JOIN once ON job.batch_id = once.batch_id AND job.signature = once.signature"""
 )
 def batch_id_join(spark, sf):
     e = read(spark, sf, "events")
     job = e.select((F.col("user_id") % 10).cast("int").alias("batch_id"), F.concat(F.lit("u"), "user_id").alias("signature")).distinct()
-    res = e.where("event_id % 7 = 0").select((F.col("event_id") % 10).cast("int").alias("batch_id"), F.concat(F.lit("u"), "user_id").alias("signature"), F.floor("value").cast("int").alias("ai_score"))
+    res = e.where("event_type = 'purchase'").select((F.col("event_id") % 10).cast("int").alias("batch_id"), F.concat(F.lit("u"), "user_id").alias("signature"), F.floor("value").cast("int").alias("ai_score"))
     return scoring.join_results(job, res).select("batch_id", "signature", "ai_score")
 
 
@@ -297,13 +309,13 @@ def fp_reasons(spark, sf):
     return stores.false_positive_reasons(_labels(spark, sf))
 
 
-_OPEN = f"WITH {TRACK_SQL}, last AS (SELECT signature, arg_max(action, seq) AS action, max(seq) AS seq, arg_max(tracked_at, seq) AS first_seen_at FROM track WHERE seq % 2 = 0 GROUP BY signature), done AS (SELECT DISTINCT signature FROM track WHERE seq % 2 = 1 AND event_type = 'purchase' AND value > 60)"
+_OPEN = f"WITH {TRACK_SQL}, last AS (SELECT signature, arg_max(action, seq) AS action, max(seq) AS seq, arg_max(tracked_at, seq) AS first_seen_at FROM track GROUP BY signature), done AS (SELECT DISTINCT signature FROM track WHERE event_type = 'purchase' AND value > 60)"
 
 
 def _inbox(spark, sf):
     t = tracking(spark, sf)
-    inbox = t.where("seq % 2 = 0").select("seq", "signature", F.col("tracked_at").alias("first_seen_at"))
-    return stores.open_entries(inbox, t.where("seq % 2 = 1 AND event_type = 'purchase' AND value > 60").select("seq", "signature", "action"))
+    inbox = t.select("seq", "signature", F.col("tracked_at").alias("first_seen_at"))
+    return stores.open_entries(inbox, t.where("event_type = 'purchase' AND value > 60").select("seq", "signature", "action"))
 
 
 @query(f"{_OPEN} SELECT signature, seq, first_seen_at FROM last WHERE signature NOT IN (SELECT signature FROM done)")
@@ -316,7 +328,7 @@ _LOCAL = "date_diff('day', (timezone('{z}', timezone('UTC', first_seen_at)))::DA
 
 @query(f"{_OPEN}, d AS (SELECT signature, {_LOCAL} AS days FROM last) SELECT CASE WHEN days <= 0 THEN 'today' WHEN days = 1 THEN 'yesterday' WHEN days <= 7 THEN 'this_week' ELSE 'older' END AS bucket, count(*)::BIGINT AS n FROM d GROUP BY ALL")
 def inbox_buckets(spark, sf):
-    t = tracking(spark, sf).where("seq % 2 = 0").select("seq", "signature", F.col("tracked_at").alias("first_seen_at"))
+    t = tracking(spark, sf).select("seq", "signature", F.col("tracked_at").alias("first_seen_at"))
     b = stores.bucket(F.col("first_seen_at"), F.lit("2024-01-31 03:00:00").cast("timestamp"), ZONE)
     return stores.latest(t).groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -351,12 +363,12 @@ def json_props_extract(spark, sf):
 
 @query(
     f"""WITH {TRACK_SQL}, days AS (SELECT signature AS provider, tracked_at::DATE AS day, count(*)::BIGINT AS requests FROM track GROUP BY ALL)
-SELECT provider, requests FROM days WHERE day = (SELECT max(tracked_at)::DATE FROM track WHERE seq < 500)"""
+SELECT provider, requests FROM days WHERE day = (SELECT max(tracked_at)::DATE FROM track)"""
 )
 def provider_usage(spark, sf):
     t = tracking(spark, sf)
     days = t.groupBy(F.col("signature").alias("provider"), F.to_date("tracked_at").alias("date")).agg(F.count("*").alias("requests")).withColumn("exhausted", F.lit(False))
-    today = t.where("seq < 500").agg(F.to_date(F.max("tracked_at")).alias("t"))
+    today = t.agg(F.to_date(F.max("tracked_at")).alias("t"))
     return stores.provider_usage(days.join(F.broadcast(today)), F.col("t")).select("provider", "requests")
 
 
@@ -372,7 +384,7 @@ def parse_model_output(spark, sf):
     e = read(spark, sf, "events")
     item = F.format_string('{"id": "u%d", "score": %s, "pros": ["a", 1, " "], "summary": null}', F.col("user_id"), F.when(F.col("event_id") % 3 == 0, F.lit('"7"')).otherwise(F.format_string("%.2f", "value")))
     answers = e.groupBy((F.col("event_id") % 500).alias("batch")).agg(F.concat(F.lit("Here:\n```json\n["), F.array_join(F.sort_array(F.collect_list(item)), ","), F.lit("]\n``` done")).alias("answer"))
-    return answers.select("batch", F.explode(M.parsed_answer("answer")).alias("r")).select("batch", "r.signature", "r.ai_score", F.size("r.pros").alias("n_pros"))
+    return M.results(answers).select("batch", "signature", "ai_score", F.size("pros").alias("n_pros"))
 
 
 @query("SELECT event_id, CASE WHEN floor(value) >= 999 THEN 'unknown' WHEN floor(value) <= 0 THEN 'today' WHEN floor(value) = 1 THEN 'yesterday' ELSE floor(value)::INT || ' days ago' END AS label FROM events")
@@ -380,18 +392,18 @@ def age_label(spark, sf):
     return read(spark, sf, "events").select("event_id", views.age_label(F.floor("value").cast("int")).alias("label"))
 
 
-@query(f"WITH {_OPEN.removeprefix('WITH ')}, prior AS (SELECT signature, min(tracked_at) AS t FROM track WHERE seq % 5 = 0 GROUP BY signature) SELECT l.signature, coalesce(prior.t, TIMESTAMP '{NOW}') AS first_seen_at FROM last l LEFT JOIN prior ON prior.signature = l.signature")
+@query(f"WITH {_OPEN.removeprefix('WITH ')}, prior AS (SELECT signature, min(tracked_at) AS t FROM track WHERE event_type = 'signup' GROUP BY signature) SELECT l.signature, coalesce(prior.t, TIMESTAMP '{NOW}') AS first_seen_at FROM last l LEFT JOIN prior ON prior.signature = l.signature")
 def first_seen_carry(spark, sf):
     t = tracking(spark, sf)
-    entries = stores.latest(t.where("seq % 2 = 0").select("seq", "signature")).select("signature")
-    prior = t.where("seq % 5 = 0").select("signature", F.col("tracked_at").alias("first_seen_at"))
+    entries = stores.latest(t.select("seq", "signature")).select("signature")
+    prior = t.where("event_type = 'signup'").select("signature", F.col("tracked_at").alias("first_seen_at"))
     return stores.with_first_seen(entries, prior, F.lit(NOW).cast("timestamp")).select("signature", "first_seen_at")
 
 
-@query(f"WITH {TRACK_SQL} SELECT seq, signature FROM track WHERE seq % 3 = 0 AND signature NOT IN (SELECT signature FROM track WHERE value > 330)")
+@query(f"WITH {TRACK_SQL} SELECT seq, signature FROM track WHERE signature NOT IN (SELECT signature FROM track WHERE value > 330)")
 def resume_pending(spark, sf):
     t = tracking(spark, sf)
-    return views.pending(t.where("seq % 3 = 0"), t.where("value > 330")).select("seq", "signature")
+    return views.pending(t, t.where("value > 330")).select("seq", "signature")
 
 
 _STATE = "CASE event_type WHEN 'click' THEN 'draft_ready' WHEN 'purchase' THEN 'submitted' ELSE 'failed' END"
@@ -404,11 +416,11 @@ def ready_drafts(spark, sf):
     return views.drafts(applications, t.where("value > 150").select("seq", "signature", F.lit(1).alias("scored"))).select("signature", "missing")
 
 
-@query(f"WITH {TRACK_SQL}, a AS (SELECT signature, arg_max(action, seq) AS action FROM track GROUP BY signature), l AS (SELECT signature, arg_max(label, seq) AS label FROM (SELECT seq, signature, CASE WHEN value > 50 THEN 'good' ELSE 'bad' END AS label FROM track WHERE seq % 40 = 1) GROUP BY signature), p AS (SELECT signature, arg_max({_STATE}, seq) AS application_status FROM track WHERE seq % 50 = 2 GROUP BY signature) SELECT e.signature, action, label, application_status FROM (SELECT DISTINCT signature FROM track) e LEFT JOIN a ON e.signature = a.signature LEFT JOIN l ON e.signature = l.signature LEFT JOIN p ON e.signature = p.signature")
+@query(f"WITH {TRACK_SQL}, a AS (SELECT signature, arg_max(action, seq) AS action FROM track GROUP BY signature), l AS (SELECT signature, arg_max(label, seq) AS label FROM (SELECT seq, signature, CASE WHEN value > 50 THEN 'good' ELSE 'bad' END AS label FROM track WHERE event_type = 'view') GROUP BY signature), p AS (SELECT signature, arg_max({_STATE}, seq) AS application_status FROM track WHERE event_type IN ('click', 'purchase') GROUP BY signature) SELECT e.signature, action, label, application_status FROM (SELECT DISTINCT signature FROM track) e LEFT JOIN a ON e.signature = a.signature LEFT JOIN l ON e.signature = l.signature LEFT JOIN p ON e.signature = p.signature")
 def entry_overlay(spark, sf):
     t = tracking(spark, sf)
-    marks = t.where("seq % 40 = 1").select("seq", "signature", F.when(F.col("value") > 50, "good").otherwise("bad").alias("label"))
-    states = t.where("seq % 50 = 2").select("seq", "signature", F.expr(_STATE).alias("status"))
+    marks = t.where("event_type = 'view'").select("seq", "signature", F.when(F.col("value") > 50, "good").otherwise("bad").alias("label"))
+    states = t.where("event_type IN ('click', 'purchase')").select("seq", "signature", F.expr(_STATE).alias("status"))
     return stores.overlay(t.select("signature").distinct(), t.select("seq", "signature", "action"), marks, states)
 
 
@@ -442,9 +454,114 @@ def union_of_sources(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source").agg(F.count("*").alias("n"))
 
 
+_NEWEST = f"{TRACK_SQL}, app AS (SELECT signature, arg_max({_STATE}, seq) AS status FROM track GROUP BY signature)"
+
+
+@query(f"WITH {_NEWEST}, box AS (SELECT signature, arg_max(floor(value), seq) AS score, arg_max(seq, seq) AS seq FROM track GROUP BY signature) SELECT box.signature, box.seq FROM box LEFT JOIN app ON app.signature = box.signature WHERE score >= 20 AND (status IS NULL OR status NOT IN ('submitted', 'draft_ready'))")
+def apply_candidates(spark, sf):
+    """Latest entries with a score that is good enough and no application that is under way."""
+    t = tracking(spark, sf)
+    entries = stores.latest(t.select("seq", "signature", F.floor("value").alias("score"))).where("score >= 20")
+    states = stores.latest(t.select("seq", "signature", F.expr(_STATE).alias("status"))).where("status IN ('submitted', 'draft_ready')")
+    return entries.join(states, "signature", "left_anti").select("signature", "seq")
+
+
+@query(f"WITH {TRACK_SQL}, {_YIELDS}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq DESC) AS r FROM y), p AS (SELECT source, count(*) AS n, avg(yielded) FILTER (WHERE r BETWEEN 2 AND 11) AS mean FROM r WHERE r > 1 GROUP BY source), n AS (SELECT * FROM r WHERE r = 1) SELECT n.source, round(CASE WHEN p.n >= 2 THEN mean END, 6) AS baseline, CASE WHEN n.status = 'error' THEN 'error' WHEN n.yielded = 0 THEN 'zero' WHEN p.n >= 2 AND mean > 0 AND n.yielded < mean * 0.3 THEN 'low' ELSE 'ok' END AS health FROM n LEFT JOIN p ON n.source = p.source")
+def source_check(spark, sf):
+    """The last day of each source against the days before it."""
+    y = _yields(spark, sf)
+    last = y.groupBy("source").agg(F.max("seq").alias("last"))
+    marked = y.join(F.broadcast(last), "source")  # one row per source
+    now = marked.where("seq = last").select("source", "yielded", "status")
+    return stores.check_sources(now, marked.where("seq < last").select("source", "yielded", "seq")).select("source", F.round("baseline", 6).alias("baseline"), "health")
+
+
+@query(f"WITH {_SCORED}, k AS (SELECT ord, row_number() OVER (ORDER BY score DESC, ord) AS k FROM scored WHERE score >= {RULES.reject_floor}) SELECT ord, ((k - 1) // 10)::INT AS batch_id FROM k WHERE k <= {RULES.cap}")
+def batch_numbers(spark, sf):
+    p = _split(spark, sf)
+    return scoring.with_batches(p.where("disposition = 'selected'")).select("ord", "batch_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN h < 0 THEN 999 WHEN h = 0 THEN 0 WHEN h = 1 THEN 1 WHEN h < 8 THEN h WHEN h < 12 THEN (h - 7) * 7 WHEN h < 15 THEN (h - 11) * 30 ELSE 31 END::INT AS age FROM (SELECT o_orderkey, (o_orderkey % 17 - 1)::INT AS h FROM orders)")
+def relative_ages(spark, sf):
+    """Ages out of phrases that are made from the orders: today, yesterday, days, weeks, months, more than thirty days."""
+    h = (F.col("o_orderkey") % 17 - 1).cast("int")
+    phrase = (
+        F.when(h < 0, "").when(h == 0, "Hoy").when(h == 1, "Ayer").when(h < 8, F.concat(F.lit("hace "), h, F.lit(" días")))
+        .when(h < 12, F.concat(F.lit("Hace "), h - 7, F.lit(" semanas"))).when(h < 15, F.concat(F.lit("hace "), h - 11, F.lit(" meses"))).otherwise("Más de 30 días")
+    )
+    o = read(spark, sf, "orders").select("o_orderkey", phrase.alias("p"))
+    return o.select("o_orderkey", dates.relative_age(F.col("p"), F.lit(NOW).cast("timestamp")).cast("int").alias("age"))
+
+
+@query("SELECT p_partkey, p_name AS title, 'a & b <' || p_brand || '>' AS company FROM part WHERE p_partkey IS NOT NULL")
+def embedded_json(spark, sf):
+    """Postings that pages embed, behind another block, with a raw line break and escaped text, read back."""
+    p = read(spark, sf, "part").where("p_partkey IS NOT NULL")
+    block = F.concat(F.lit('<script type="application/ld+json">{"@type":"WebSite"}</script><script type="application/ld+json">[{"@type":"JobPosting","description":"x\ny","title":'), F.to_json(F.struct("p_name")).substr(F.lit(11), F.length(F.to_json(F.struct("p_name"))) - 11), F.lit(',"hiringOrganization":{"name":"a &amp;amp; b &amp;lt;'), "p_brand", F.lit('&amp;gt;"}}]</script>'))
+    j = p.select("p_partkey", X.job_posting(X.html_unescape(F.replace(block, F.lit("&amp;"), F.lit("&amp;amp;")))).alias("j"))
+    return j.select("p_partkey", F.get_json_object("j", "$.title").alias("title"), X.html_unescape(X.html_unescape(F.get_json_object("j", "$.hiringOrganization.name"))).alias("company"))
+
+
+@query("SELECT DISTINCT lower(replace(p_type, ' ', '-')) AS slug, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS company FROM part")
+def display_names(spark, sf):
+    p = read(spark, sf, "part").select(F.lower(F.translate("p_type", " ", "-")).alias("slug")).distinct()
+    return p.select("slug", X.display_company(F.col("slug")).alias("company"))
+
+
+@query(f"WITH {_CLASSIFIED} SELECT ord, CASE WHEN english = 'indeterminate' THEN 'confirm_english' ELSE '' END AS flags FROM gated")
+def initial_flags(spark, sf):
+    j = jobs(spark, sf).select("ord", R.english(R.lowered(F.col("title"), F.col("description")), RULES)["status"].alias("e"))
+    return j.select("ord", F.array_join(scoring.initial_flags(F.col("e")), "; ").alias("flags"))
+
+
+@query("""WITH asked AS (SELECT event_id % 200 AS form, row_number() OVER (PARTITION BY event_id % 200 ORDER BY event_id) - 1 AS n, 'q ' || event_id AS label, event_type FROM events)
+SELECT form, 'q' || n AS id, label, 'yes ' || n AS answer FROM asked WHERE event_type NOT IN ('click', 'purchase')""")
+def form_answers(spark, sf):
+    """Questions of forms under ids of their own, and what replies answer: clicks are left blank, purchases are answered twice."""
+    e = read(spark, sf, "events").select((F.col("event_id") % 200).alias("form"), "event_id", "event_type")
+    forms = e.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))).alias("e"))
+    asked = M.questions(forms.select("form", F.transform("e", lambda x: F.concat(F.lit("q "), x["event_id"])).alias("labels")))
+
+    def item(x, at):
+        answer = F.when(x["event_type"] == "click", F.lit(" ")).otherwise(F.concat(F.lit(" yes "), at))
+        one = F.format_string('{"id": "q%d", "answer": "%s"}', at, answer)
+        return F.when(x["event_type"] == "purchase", F.concat(one, F.lit(","), one)).otherwise(one)
+
+    text = F.concat(F.lit('Sure:\n```json\n{"answers": [{"id": "q-9", "answer": "never asked"},'), F.array_join(F.transform("e", item), ","), F.lit("]}\n```"))
+    replies = forms.select("form", text.alias("answer"))
+    return M.question_answers(replies, asked, ["form"]).select("form", "id", "label", "answer")
+
+
+@query(f"WITH {_OPEN.removeprefix('WITH ')} SELECT signature, row_number() OVER (ORDER BY first_seen_at DESC, seq DESC)::BIGINT AS place FROM last WHERE signature NOT IN (SELECT signature FROM done)")
+def inbox_order(spark, sf):
+    """The places of open entries as the inbox lists them, all scored alike and of one day's bucket."""
+    now = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    t = tracking(spark, sf)
+    entries = t.select("seq", "signature", F.col("tracked_at").alias("first_seen_at"), F.struct(F.lit(0).alias("final_score")).alias("scored"))
+    listed = views.inbox(entries, t.where("event_type = 'purchase' AND value > 60").select("seq", "signature", "action"), now, ZONE)
+    return views.with_places(listed, "signature")
+
+
+@query(f"WITH {_SHOWN}, c AS (SELECT coalesce(o.signature, s.signature) AS signature, CASE WHEN s.signature IS NOT NULL THEN DATE '{TODAY}' ELSE o.last_seen END AS last_seen FROM old o FULL JOIN shown s ON o.signature = s.signature) SELECT signature, row_number() OVER (ORDER BY last_seen DESC, signature)::BIGINT AS place FROM c")
+def cache_order(spark, sf):
+    return views.with_places(stores.cache_records(cache_merge(spark, sf)), "signature")
+
+
+@query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, ord) AS k FROM scored WHERE score >= {RULES.reject_floor}), e AS (SELECT *, CASE WHEN score >= 50 THEN (ord % 101)::INT END AS ai FROM r WHERE k <= {RULES.cap}) SELECT ord, ai IS NOT NULL AS ai_evaluated, coalesce(ai, score)::INT AS final_score, CASE WHEN english = 'indeterminate' THEN 'confirm_english' ELSE '' END AS flags FROM e")
+def assemble_results(spark, sf):
+    """Selected postings joined with answers that name the better ones."""
+    scored = _all_scored(spark, sf).withColumn("english_requirement", R.english(R.lowered(F.col("title"), F.col("description")), RULES)["status"])
+    scored = stage(spark)(scored.select("ord", "prefilter_score", "english_requirement", F.col("ord").cast("string").alias("signature")), "scored")
+    selected = scoring.with_batches(scoring.cap(scored, RULES).where("disposition = 'selected'"))
+    none = F.array().cast("array<string>")
+    found = selected.where("prefilter_score >= 50").select("batch_id", "signature", (F.col("ord") % 101).cast("int").alias("ai_score"), none.alias("pros"), none.alias("contras"), F.lit("").alias("summary"))
+    return scoring.assemble(selected, found).select("ord", "ai_evaluated", "final_score", _flat("flags", "flags"))
+
+
 def flagship(spark, sf):
     """Gate, prefilter, cap and rank of all postings, with the best first."""
-    kept = gate.kept(gate.classify(gate.with_identity(jobs(spark, sf)), RULES))
+    kept = gate.kept(gate.classify(gate.with_identity(jobs(spark, sf), LATIN), RULES))
     p = scoring.prefilter(kept.drop("url"), RULES, stage(spark))
     ranked = scoring.rank(scoring.defer(p.where("disposition = 'selected'")), scoring.defer(p.where("disposition = 'deferred'")))
     return ranked.select("ord", "source", "signature", "final_score", "grade", "fit", (F.col("part") == 0).alias("in_cap"))

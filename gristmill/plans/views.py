@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gristmill.functions.dates import UNKNOWN_AGE
 from gristmill.operators import stores as S
@@ -29,6 +30,11 @@ def inbox(entries: DataFrame, tracking: DataFrame, now: Column, zone: str) -> Da
     return rows.orderBy(place, F.desc("scored.final_score"), F.desc("first_seen_at"), F.desc("seq"))
 
 
+def with_places(listed: DataFrame, *columns: str) -> DataFrame:
+    """The places of a listing, from 1. For listings that are shown; places run through all of them in one task."""
+    return listed.select(*columns).withColumn("place", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("place")).cast("bigint"))
+
+
 def applications(log: DataFrame) -> DataFrame:
     return S.latest(log)
 

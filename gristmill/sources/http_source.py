@@ -1,7 +1,7 @@
 """A Python data source that fetches board pages: one partition per request, retried with growing pauses.
 
     spark.dataSource.register(HttpPages)
-    spark.read.format("http_pages").option("urls", json.dumps([...])).load()
+    spark.read.format("http_pages").option("urls", json.dumps([...])).option("maxPages", 5).load()
 """
 
 from __future__ import annotations
@@ -11,7 +11,11 @@ import random
 import time
 import urllib.error
 import urllib.request
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RETRIES = 4
@@ -41,9 +45,33 @@ def fetch(url: str, timeout: float, opener=urllib.request.urlopen, sleep=time.sl
     return None
 
 
+def over_http(timeout: float = 30.0, pause: float = 0.0, tasks: int = 4):
+    """Fetches the pages of a frame with ``path``: the same rows with ``payload``, without what has no page."""
+
+    def pages(asked: DataFrame) -> DataFrame:
+        schema = T.StructType([*asked.schema.fields, T.StructField("payload", T.StringType())])
+
+        def batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in rows:
+                bodies = []
+                for url in part["path"]:
+                    if pause:
+                        time.sleep(random.uniform(0.8, 2.2) * pause)
+                    try:
+                        bodies.append(fetch(url, timeout))
+                    except (urllib.error.URLError, OSError):  # a page that cannot be fetched is left out
+                        bodies.append(None)
+                yield part.assign(payload=bodies)[[b is not None for b in bodies]]
+
+        return asked.repartition(tasks, "path").mapInPandas(batches, schema)
+
+    return pages
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.urls = json.loads(options["urls"])
+        urls = json.loads(options["urls"])
+        self.urls = urls[: int(options["maxPages"])] if "maxPages" in options else urls
         self.timeout = float(options.get("timeout", 30))
         self.pause = float(options.get("pause", 0))
 

@@ -131,8 +131,14 @@ def computrabajo_cards(listings: DataFrame, now: Column, end_marker: str = CARD_
     def part(pattern: str) -> Column:
         return F.regexp_extract("card", pattern, 1)
 
-    title, company = X.html_text(part(r'(?s)<h2[^>]*>(.*?)</h2>')), X.html_text(part(r'(?s)<p class="[^"]*company[^"]*"[^>]*>(.*?)</p>'))
-    age = dates.relative_age(X.html_text(part(r'(?s)<p class="[^"]*date[^"]*"[^>]*>(.*?)</p>')), now)
+    def either(*patterns: str) -> Column:
+        """What the first pattern with text finds."""
+        return F.coalesce(*[F.nullif(X.html_text(part(p)), F.lit("")) for p in patterns], F.lit(""))
+
+    link = r'(?s)<a[^>]*class="[^"]*\b{}\b[^"]*"[^>]*>(.*?)</a>'
+    title = either(link.format("js-o-link"), r"(?s)<h2[^>]*>(.*?)</h2>")
+    company = either(link.format("t_ellipsis"), r'(?s)<p class="[^"]*company[^"]*"[^>]*>(.*?)</p>')
+    age = dates.relative_age(either(r'(?s)<p[^>]*class="[^"]*\bmt15\b[^"]*"[^>]*>(.*?)</p>', r'(?s)<p class="[^"]*date[^"]*"[^>]*>(.*?)</p>'), now)
     return cards.select("path", "pos", *raw(title, company, F.lit(""), part(r'href="([^"#]*)'), part(r'data-id="([^"]+)"'), F.lit(""), _no_time(), age))
 
 

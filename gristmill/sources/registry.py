@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -16,21 +17,26 @@ RESULT = T.StructType(
 
 @dataclass
 class Result:
-    """How a source did: error beats ok, and ok needs at least one posting. What came before an error is kept."""
+    """How a source did: error beats ok, and ok needs at least one posting. What came before an error is kept and counted."""
 
     source: str
     status: str
     yielded: int
     duration_seconds: float
     error: str | None = None
+    parts: int = 0
+
+
+#: A source is a frame of postings, or frames one after the other.
+Source = Callable[[SparkSession], DataFrame | Iterator[DataFrame]]
 
 
 @dataclass
 class Registry:
-    sources: dict[str, Callable[[SparkSession], DataFrame]] = field(default_factory=dict)
+    sources: dict[str, Source] = field(default_factory=dict)
     disabled: set[str] = field(default_factory=set)
 
-    def register(self, name: str, read: Callable[[SparkSession], DataFrame], enabled: bool = True) -> None:
+    def register(self, name: str, read: Source, enabled: bool = True) -> None:
         self.sources[name] = read
         (self.disabled.discard if enabled else self.disabled.add)(name)
 
@@ -64,15 +70,22 @@ class Registry:
         return sorted(names)
 
     def run(self, spark: SparkSession, name: str, put: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame | None, Result]:
-        """One source, written by ``put``. Never raises for what the source does."""
+        """One source, written part by part by ``put``. Never raises for what the source does."""
         read = self.sources[self._known(name)]
         began = time.monotonic()
+        kept: list[DataFrame] = []
+        error = None
+        n = 0
         try:
-            rows = put(read(spark), name)
-            n = rows.count()
-            return rows, Result(name, "ok" if n else "empty", n, time.monotonic() - began)
-        except Exception as error:  # a source's failure is its result
-            return None, Result(name, "error", 0, time.monotonic() - began, str(error)[:500])
+            found = read(spark)
+            for part in [found] if isinstance(found, DataFrame) else found:
+                rows = put(part, f"{name}/{len(kept):04d}")
+                kept.append(rows)
+                n += rows.count()
+        except Exception as failure:  # a source's failure is its result
+            error = str(failure)[:500]
+        status = "error" if error is not None else "ok" if n else "empty"
+        return (reduce(DataFrame.unionByName, kept) if kept else None), Result(name, status, n, time.monotonic() - began, error, len(kept))
 
     def run_enabled(self, spark: SparkSession, put: Callable[[DataFrame, str], DataFrame]) -> list[tuple[DataFrame | None, Result]]:
         return [self.run(spark, n, put) for n in sorted(self.enabled_names())]

@@ -103,9 +103,12 @@ def test_bit_parallel_lcs_on_long_texts():
     assert fuzzy.needed(10, 10) == 9 and fuzzy.needed(11, 10) == 10
 
 
-def greedy(rows):
-    from test_text import normal
+def normal(text):
+    """The normal form of texts that only have letters, accents on A, and spaces."""
+    return " ".join((text or "").lower().replace("á", "a").split())
+
 
+def greedy(rows):
     kept, gone = {}, set()
     for order, company, text in sorted(rows):
         group, t = kept.setdefault(normal(company), []), normal(text)

@@ -11,7 +11,7 @@ from gristmill.plans.demo import RULES
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="needs the shared tables")
 
-PYTHON = {"fuzzy_dedup", "gate_full", "html_to_text", "parse_model_output"}
+PYTHON = {"fuzzy_dedup", "gate_full", "html_to_text", "parse_model_output", "form_answers", "embedded_json"}
 
 
 def plan(frame):

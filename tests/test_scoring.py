@@ -88,21 +88,3 @@ def test_score_jobs_calls_the_evaluator_once_per_batch(spark, tmp_path):
     ranked = S.score_jobs(rows(spark), RULES, evaluator, put)
     assert ranked.count() == 7 and ranked.where("ai_evaluated").count() == 0
     assert open(log).read() == "x"
-
-
-def test_router_falls_back_and_remembers_quota():
-    def spent(_):
-        raise S.QuotaExceeded
-
-    def broken(_):
-        raise S.ProviderFailed
-
-    day = ["d1"]
-    router = S.Router([("a", spent), ("b", broken), ("c", lambda rows: "[]")], lambda: day[0])
-    assert router([]) == "" and not router.usage
-    assert router([{}]) == "[]" and router([{}]) == "[]"
-    assert [tuple(u) for u in router.usage_rows()] == [("a", "d1", 1, True), ("b", "d1", 2, False), ("c", "d1", 2, False)]
-    day[0] = "d2"
-    router([{}])
-    assert ("a", "d2", 1, True) in [tuple(u) for u in router.usage_rows()]
-    assert S.Router([("a", spent)], lambda: "d")([{}]) == ""

@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from gristmill.operators import scoring
 from gristmill.plans import views as V
 
 
@@ -28,33 +27,3 @@ def test_labels_and_report(spark):
     assert V.report_text({"precision": None}, []) == "no labels yet"
     text = V.report_text({"precision": 0.5, "good": 2, "total_labeled": 4}, [("a", 1), ("b", 3)], {"precision": 0.25})
     assert text.split("\n") == ["precision: 50% (2/4)", "  b: 3", "  a: 1", "baseline 25%, change +25%"]
-
-
-class Failure(Exception):
-    def __init__(self, text, code=None):
-        super().__init__(text)
-        if code:
-            self.status_code = code
-
-
-def test_provider_errors_are_told_apart():
-    assert scoring.is_spent(Failure("Quota: requests per day", 429)) and not scoring.is_spent(Failure("slow down", 429)) and not scoring.is_spent(Failure("daily", 500))
-    assert scoring.status_of(Failure("got 503 from host")) == 503 and scoring.status_of(Failure("odd")) is None
-    calls, waits = [], []
-
-    def flaky(rows):
-        calls.append(1)
-        if len(calls) < 3:
-            raise Failure("overloaded", 503)
-        return "[]"
-
-    assert scoring.guarded(flaky, sleep=waits.append)([{}]) == "[]" and waits == [1, 2]
-
-    def spent(rows):
-        raise Failure("daily limit", 429)
-
-    def broken(rows):
-        raise Failure("no")
-
-    router = scoring.Router([("a", scoring.guarded(spent)), ("b", scoring.guarded(broken)), ("c", lambda r: "ok")], lambda: "d")
-    assert router([{}]) == "ok" and router.usage["a", "d"]["exhausted"] and not router.usage["b", "d"]["exhausted"]
