@@ -60,3 +60,66 @@ def test_boosting_learns_a_rule():
     y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0)).astype(float)
     model = Boosting().fit(x[:800], y[:800])
     assert ((model.probability(x[800:]) > 0.5) == y[800:]).mean() > 0.95
+
+
+def trained(spark, n=300):
+    rng = random.Random(11)
+    stems = ["thing", "ound", "er", "haus", "que", "lich", "ción"]
+    rows = [(i, " ".join("".join(rng.choices(stems, k=rng.randint(1, 3))) for _ in range(60))) for i in range(n)]
+    return P.train(spark.createDataFrame(rows, "doc_id bigint, text string")), rows
+
+
+def test_planted_spans_are_found_and_decoys_are_not(spark):
+    model, rows = trained(spark)
+    rng = random.Random(5)
+    for kind in P.KINDS:
+        right = wrong = 0
+        for _, text in rows[:150]:
+            words = text.split()
+            for personal in (True, False):
+                span = P._made_up(rng, kind) if personal else P._decoy(rng, kind, words)
+                at = text.index(" ", rng.randint(0, 200)) + 1
+                planted = f"{text[:at]}{span} {text[at:]}"
+                (base, spans), = P.find(model, [planted])
+                # what the plain patterns prove stays, whatever it is
+                judged = spans if personal else set(spans) - set(base)
+                hit = any(k == kind and a < at + len(span) and b > at for k, a, b in judged)
+                right, wrong = right + (personal and hit), wrong + (not personal and hit)
+        assert right >= 0.9 * 150 and wrong <= 0.1 * 150, (kind, right, wrong)
+
+
+def test_secrets_of_any_length(spark):
+    model, rows = trained(spark)
+    rng = random.Random(6)
+    for n in (20, 40, 300, 5000):
+        secret = P._some(rng, P._ALL, n, n)
+        text = f'{rows[0][1]} api_key: "{secret}" {rows[1][1]}'
+        (_, spans), = P.find(model, [text])
+        assert any(k == "secret" and text[a:b] == secret for k, a, b in spans), n
+    parts = [P._some(rng, P._ALL, k, k) for k in (30, 200, 43)]
+    token = f"eyJ{parts[0]}.eyJ{parts[1]}.{parts[2]}"
+    (_, spans), = P.find(model, [f"Bearer {token} then"])
+    assert ("secret", 7, 7 + len(token)) in spans
+
+
+def test_samples_are_bounded_whatever_the_ids(spark, monkeypatch):
+    rows = [(None, f"a b c {i}") for i in range(500)] + [(1, "same text here")] * 500
+    taken = []
+    monkeypatch.setattr(P, "Model", lambda x, y: taken.append(len(x)))
+    P.train(spark.createDataFrame(rows, "doc_id bigint, text string"), sample_docs=20)
+    P.train(spark.createDataFrame(rows[:3], "doc_id bigint, text string"), sample_docs=20)
+    assert 20 * 4 <= taken[0] <= 20 * 40 and taken[1] <= 3 * 40
+
+
+def test_thresholds_lie_between_scores():
+    score, label = np.array([0.99, 0.9, 0.8, 0.6, 0.3]), np.array([1, 1, 1, 0, 0])
+    assert 0.6 < P.Model._calibrate(score, label) < 0.8
+    assert P.Model._calibrate(np.array([0.9, 0.9]), np.array([1, 0])) > 0.9  # equal scores are decided together
+    assert P.Model._calibrate(np.array([0.9, 0.2]), np.array([1, 0])) >= 0.5
+    assert P.Model._calibrate(np.array([]), np.array([])) == 0.5
+
+
+def test_generators_are_linear_on_long_texts():
+    for unit in ("a@", "1 ", "1.", "a[at]", "x" * 3, "1-", "(1"):
+        text = unit * 60_000
+        assert P.candidates(text) is not None and P.base_spans(text) is not None
