@@ -82,3 +82,64 @@ def test_another_kind_of_run_does_not_take_up_the_manifest(spark, tmp_path):
 def test_no_source_gives_only_health(spark, tmp_path):
     out = P.run(start(spark, tmp_path, sources=["bad"]), registry(), evaluator(str(tmp_path / "c")))
     assert set(out) == {"health"} and out["health"].first()["health"] == "error"
+
+
+def test_status_events_counts_and_results(spark, tmp_path):
+    events = []
+
+    def deaf(event):
+        raise RuntimeError("listener")
+
+    run = start(spark, tmp_path, listeners=[deaf, events.append])
+    P.run(run, registry(), evaluator(str(tmp_path / "c")))
+    kinds = [e["kind"] for e in events]
+    assert kinds[0] == "source" and kinds[-1] == "done" and "batches" in kinds and all(e["run_ts"] == run.run_ts for e in events)
+    state = spark.read.json(run.path("status")).first().asDict()
+    assert state["status"] == "success" and [state[c] for c in P.COUNTS] == [5, 4, 1, 0, 2, 2, 2, 4]
+    assert spark.read.json(run.path("results")).count() == 4
+    assert {r["run_ts"] for r in run.read("history").selectExpr("CAST(run_ts AS STRING) AS run_ts").collect()} == {run.run_ts}
+
+
+def test_a_second_run_is_refused_while_one_runs(spark, tmp_path):
+    run = start(spark, tmp_path)
+
+    def nosy(batch):
+        return "[]"
+
+    other = Registry()
+    other.register("one", lambda s: P.run(start(spark, tmp_path), registry(), nosy))
+    seen = []
+    P.run(start(spark, tmp_path, listeners=[seen.append]), other, nosy)
+    assert run.read("health").first()["health"] == "error"  # the run inside the source was refused
+    P.run(run, registry(), nosy)  # and after it has ended another one may start
+
+
+def test_answers_of_finished_waves_are_not_asked_for_again(spark, tmp_path, monkeypatch):
+    from gristmill.operators import scoring
+
+    monkeypatch.setattr(P, "WAVE", 1)
+    monkeypatch.setattr(scoring, "with_batches", lambda rows, size=1, real=scoring.with_batches: real(rows, 1))
+    log = str(tmp_path / "calls")
+    steps = iter([False] * 6 + [True] * 50)  # three sources, two stages, one wave
+    with pytest.raises(P.Cancelled):
+        P.run(start(spark, tmp_path, cancelled=lambda: next(steps)), registry(), evaluator(log))
+    assert open(log).read() == "1 "
+    assert spark.read.json(start(spark, tmp_path).path("status")).first()["status"] == "paused"
+    out = P.run(start(spark, tmp_path, resume=True), registry(), evaluator(log))
+    assert open(log).read() == "1 1 " and out["ranked"].where("ai_evaluated").count() == 2
+
+
+def test_a_discarded_run_leaves_nothing_to_take_up(spark, tmp_path):
+    steps = iter([False] * 5 + [True] * 50)
+    run = start(spark, tmp_path, cancelled=lambda: next(steps), discard=True)
+    with pytest.raises(P.Cancelled):
+        P.run(run, registry(), evaluator(str(tmp_path / "c")))
+    assert not run.exists("manifest") and not run.exists("gated")
+
+
+def test_a_snapshot_that_was_not_finished_is_no_cache(spark, tmp_path):
+    run = start(spark, tmp_path)
+    P.run(run, registry(), evaluator(str(tmp_path / "c")))
+    before = P.current_cache(run).count()
+    (tmp_path / "run" / "signatures" / "20990101").mkdir()
+    assert P.current_cache(run).count() == before == 4

@@ -112,3 +112,18 @@ def test_partition_overwrite_and_reset(spark, tmp_path):
     assert not (tmp_path / "signatures").exists() and (tmp_path / "raw").exists()
     S.reset(spark, str(tmp_path))
     assert not (tmp_path / "raw").exists() and (tmp_path / "tracking").exists()
+
+
+def test_the_first_report_with_labels_is_the_baseline(spark, tmp_path):
+    path = str(tmp_path / "baseline")
+
+    def labels(good, bad):
+        return spark.createDataFrame([("good", None)] * good + [("bad", "other")] * bad, "label string, reason string")
+
+    assert S.report_against(labels(0, 0), path).first()["delta"] is None and S.load_baseline(spark, path) is None
+    assert S.report_against(labels(1, 1), path).first()["delta"] is None
+    assert S.report_against(labels(3, 1), path).first()["delta"] == 0.25
+    assert S.report_against(labels(4, 0), path, reset=True).first()["delta"] is None
+    assert S.report_against(labels(1, 1), path).first()["delta"] == -0.5
+    reasons = spark.createDataFrame([("bad", "b"), ("bad", "b"), ("bad", "a"), ("bad", None)], "label string, reason string")
+    assert [(r["reason"], r["n"]) for r in S.false_positive_reasons(reasons).collect()] == [("b", 2), ("a", 1), ("unspecified", 1)]
