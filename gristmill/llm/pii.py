@@ -239,7 +239,7 @@ _CUE_WORDS = {
 
 
 def examples(text: str) -> Iterator[tuple[list[float], int]]:
-    """(features, whether it is personal) of spans planted into a text: one made-up span and one decoy of each kind."""
+    """(features, whether it is personal data of its kind) of candidates on what is planted: a made-up span and a decoy of each kind."""
     rng = random.Random(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
     words = [w for w in re.findall(r"[^\W\d_]{3,}", text[:20_000])] or ["word"]
     for kind in KINDS:
@@ -254,9 +254,8 @@ def examples(text: str) -> Iterator[tuple[list[float], int]]:
             planted = before + cue + span + rng.choice((" ", ".", ",", '"', "\n")) + text[at : at + AFTER]
             start = len(before) + len(cue)
             for k, a, b in candidates(planted):
-                inside = a < start + len(span) and b > start
-                if inside and (not personal or k == kind):
-                    yield features(planted, k, a, b), personal
+                if a < start + len(span) and b > start:
+                    yield features(planted, k, a, b), int(personal and k == kind)
 
 
 class Model:
