@@ -58,6 +58,8 @@ _REST = re.compile(r"[^\s@,;<>()]+(?: ?(?:\[dot\]|\(dot\)) ?[^\s@,;<>()]+)*")
 _LOOSE_IP = re.compile(r"(?<![0-9A-Za-z.])[0-9]+(?:\.[0-9]+){2,}(?![0-9A-Za-z])")
 _LOOSE_NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}(?![0-9A-Za-z])")
 _LOOSE_SECRET = re.compile(r"(?<![0-9A-Za-z_+/=.-])[0-9A-Za-z_+/=.-]{16,}(?![0-9A-Za-z])")
+#: What no plain word has: a digit, or a capital behind a small letter.
+_MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 _ASSIGNED = re.compile(r"(?i)(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|key|auth|bearer)\W{0,3}[=:\s]\W{0,3}$")
 _CUES = re.compile(r"(?i)\b(?:token|secret|password|key|mail|e-mail|phone|tel|call|card|visa|ip|address|host)\b")
 
@@ -128,7 +130,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         found += [("ip", m.start(), m.end()) for m in _LOOSE_IP.finditer(text)]
         for m in _LOOSE_NUMBER.finditer(text):
             found += [("card", m.start(), m.end()), ("phone", m.start(), m.end())]
-        found += [("secret", m.start(), m.end()) for m in _LOOSE_SECRET.finditer(text) if _DIGITS.search(m[0])]
+    found += [("secret", m.start(), m.end()) for m in _LOOSE_SECRET.finditer(text) if _MIXED.search(m[0])]
     return found
 
 
