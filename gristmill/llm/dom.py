@@ -129,16 +129,22 @@ def _implied(at: Node, tag: str) -> Node:
 
 @dataclass(slots=True)
 class Shape:
-    """A block tree for matching: tag, number of the node in page order, digest of its own text, children."""
+    """A block tree for matching: tag, number of the node in page order, digest of its own text, children.
+
+    ``linked``: whether nearly all text below the node stands in links.
+    """
 
     tag: str
     number: int
     text: int
     children: tuple[Shape, ...]
+    linked: bool = False
     form: int = 0
+    size: int = 0
 
     def __post_init__(self):
         self.form = hash_form(self.tag, self.children)
+        self.size = 1 + sum(c.size for c in self.children)
 
 
 def hash_form(tag: str, children: tuple[Shape, ...]) -> int:
@@ -160,32 +166,39 @@ def _stable(tag: str) -> int:
 
 
 def simple_tree_match(a: Shape, b: Shape) -> list[tuple[Shape, Shape]]:
-    """Pairs of nodes in a largest order- and level-preserving matching with equal tags."""
+    """Pairs of nodes in a largest order- and level-preserving matching with equal tags. Trees may be of any depth."""
     weights: dict[tuple[int, int], int] = {}
 
-    def weight(x: Shape, y: Shape) -> int:
-        if x.tag != y.tag:
-            return 0
-        key = (x.form, y.form)
-        w = weights.get(key)
-        if w is None:
-            w = weights[key] = (size(x) if x.form == y.form else 1 + table(x.children, y.children)[-1][-1])
-        return w
-
-    def size(x: Shape) -> int:
-        return 1 + sum(map(size, x.children))
-
     def table(xs, ys) -> list[list[int]]:
         rows = [[0] * (len(ys) + 1)]
         for x in xs:
             last, row = rows[-1], [0]
             for j, y in enumerate(ys):
-                row.append(max(last[j] + weight(x, y), last[j + 1], row[j]))
+                w = weights[x.form, y.form] if x.tag == y.tag else 0
+                row.append(max(last[j] + w, last[j + 1], row[j]))
             rows.append(row)
         return rows
 
+    def weigh(x: Shape, y: Shape) -> None:
+        """Weights of the pair and of all pairs below it that it needs, deepest first."""
+        todo = [(x, y)]
+        while todo:
+            x, y = todo[-1]
+            if (x.form, y.form) in weights:
+                todo.pop()
+            elif x.form == y.form:
+                weights[x.form, y.form] = x.size
+            else:
+                below = {(c.form, d.form): (c, d) for c in x.children for d in y.children if c.tag == d.tag and (c.form, d.form) not in weights}
+                if below:
+                    todo += below.values()
+                else:
+                    weights[x.form, y.form] = 1 + table(x.children, y.children)[-1][-1]
+
     pairs: list[tuple[Shape, Shape]] = []
     todo = [(a, b)] if a.tag == b.tag else []
+    if todo:
+        weigh(a, b)
     while todo:
         x, y = todo.pop()
         pairs.append((x, y))
@@ -195,7 +208,7 @@ def simple_tree_match(a: Shape, b: Shape) -> list[tuple[Shape, Shape]]:
             continue
         rows, i, j = table(xs, ys), len(xs), len(ys)
         while i and j:
-            w = weight(xs[i - 1], ys[j - 1])
+            w = weights[xs[i - 1].form, ys[j - 1].form] if xs[i - 1].tag == ys[j - 1].tag else 0
             if w and rows[i][j] == rows[i - 1][j - 1] + w:
                 todo.append((xs[i - 1], ys[j - 1]))
                 i, j = i - 1, j - 1

@@ -4,7 +4,8 @@ Pages of one host share a template, or a few. Some pages per host, drawn by a ha
 references; every page is aligned with each of them by simple tree matching, and for each reference node it is counted
 on how many different pages its text comes back. Nodes that stay constant on most pages of the host are template. So are
 two nodes or more that stay constant on most pages of a layout, which are the pages that keep most of what often comes
-back of a reference. Varying slots are content. Slots that name themselves as something else (menus,
+back of a reference. Nodes that are lists of links here and on most pages of the host are menus, which are template too
+however much their links vary. Other varying slots are content. Slots that name themselves as something else (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments; by element, role, class or id) are no content
 however much they vary, and where a page marks its article, the content slots are those inside it.
 
@@ -44,6 +45,8 @@ OFTEN, OF_LAYOUT, LAYOUT_NODES = 0.3, 0.75, 2
 BROADCAST_BYTES = 16 << 20
 #: Tasks over which the pages of a host are dealt when they are joined.
 DEALT = 16
+#: Share of the characters below a node that stand in links, from which on it is a list of links.
+LINKED = 0.9
 
 #: Elements and roles that are never main text, fixed values.
 _OFF_TAGS = frozenset("nav footer aside form button dialog menu head search fieldset label".split())
@@ -117,6 +120,8 @@ class Page:
 
     def _walk(self, root: Node) -> Shape:
         run: list[str] = []
+        links = 0  # open links
+        told = [0, 0]  # characters of the page so far, and those in links
 
         def flush(owner: int, off: bool, region: tuple[int, ...]) -> None:
             text = " ".join("".join(run).split())
@@ -130,17 +135,18 @@ class Page:
         # one frame per open block element, so that depth is not bounded by the interpreter's stack
         def open_(node: Node, off: bool, region: tuple[int, ...]):
             self._count += 1
-            return [node, iter(node.children), self._count - 1, off, region, [], len(self.texts)]
+            return [node, iter(node.children), self._count - 1, off, region, [], len(self.texts), *told]
 
         stack = [open_(root, False, ())]
-        inline: list[tuple[list, object, bool]] = []  # open inline elements: frame, children, what off was before
+        inline: list[tuple[list, object, bool, bool]] = []  # open inline elements: frame, children, what off was before, link
         while True:
             frame = stack[-1]
             children = inline[-1][1] if inline and inline[-1][0] is frame else frame[1]
             child = next(children, None)
             if child is None:
                 if inline and inline[-1][0] is frame:
-                    _, _, was = inline.pop()
+                    _, _, was, link = inline.pop()
+                    links -= link
                     if was != frame[3]:
                         flush(frame[2], frame[3], frame[4])
                         frame[3] = was
@@ -148,12 +154,16 @@ class Page:
                 flush(frame[2], frame[3], frame[4])
                 stack.pop()
                 own = " ".join(t for t, o in zip(self.texts[frame[6] :], self.owner[frame[6] :], strict=True) if o == frame[2])
-                shape = Shape(frame[0].tag, frame[2], digest(own), tuple(frame[5]))
+                chars, linked = told[0] - frame[7], told[1] - frame[8]
+                shape = Shape(frame[0].tag, frame[2], digest(own), tuple(frame[5]), chars > 0 and linked >= LINKED * chars)
                 if not stack:
                     return shape
                 stack[-1][5].append(shape)
             elif isinstance(child, str):
                 run.append(child)
+                shown = len("".join(child.split()))
+                told[0] += shown
+                told[1] += shown if links else 0
             elif child.tag == "br":
                 run.append(" ")
             elif child.tag in BLOCKS or child.tag == "head":
@@ -168,16 +178,23 @@ class Page:
                 off = frame[3] or _off(child, bool(frame[4]))
                 if off != frame[3]:
                     flush(frame[2], frame[3], frame[4])
-                inline.append((frame, iter(child.children), frame[3]))
+                link = child.tag == "a"
+                links += link
+                inline.append((frame, iter(child.children), frame[3], link))
                 frame[3] = off
 
-    def main(self, layouts: Iterable[tuple[dict[int, int], Shape]] = ()) -> str:
-        """The blocks that are content. ``layouts``: reference nodes with the text digest they keep, and the reference."""
+    def main(self, layouts: Iterable[tuple[dict[int, int], frozenset[int], Shape]] = ()) -> str:
+        """The blocks that are content. ``layouts``: reference nodes with the text digest they keep, those that are
+        menus, and the reference."""
         template: set[int] = set()
-        for constant, reference in layouts:
+        for constant, menus, reference in layouts:
             left = {s.text for s in nodes_of(self.shape) if s.number not in template}
-            if not left.isdisjoint(constant.values()):
-                template |= {y.number for x, y in simple_tree_match(reference, self.shape) if constant.get(x.number) == y.text}
+            if menus or not left.isdisjoint(constant.values()):
+                for x, y in simple_tree_match(reference, self.shape):
+                    if constant.get(x.number) == y.text:
+                        template.add(y.number)
+                    if y.linked and x.number in menus:
+                        template |= {s.number for s in nodes_of(y)}
         good = [i for i in range(len(self.texts)) if not self.off[i] and self.owner[i] not in template]
         chosen = self._chosen(good)
         return "\n\n".join(self.texts[i] for i in good if chosen is None or chosen & {*self.region[i]})
@@ -185,14 +202,9 @@ class Page:
     def _chosen(self, good: list[int]) -> set[int] | None:
         """The regions that hold the article; None: the page marks none."""
         for kind in ("article", "main"):
-            size: dict[int, int] = {}
-            for i in good:
-                outer = next((r for r in self.region[i] if self.regions[r] == kind), None)
-                if outer is not None:
-                    size[outer] = size.get(outer, 0) + len(self.texts[i])
-            if size:
-                largest = max(size, key=lambda r: (size[r], -r))
-                return {largest} if size[largest] >= 0.6 * sum(size.values()) else {*size}
+            found = {r for i in good for r in self.region[i] if self.regions[r] == kind}
+            if found:
+                return found
         return None
 
 
@@ -210,11 +222,11 @@ def nodes_of(shape: Shape) -> Iterator[Shape]:
 
 
 def pack_shape(shape: Shape) -> list:
-    """A reference tree as plain lists, in page order: tag, text digest, number of children."""
+    """A reference tree as plain lists, in page order: tag, text digest, number of children (as ~number if it is linked)."""
     out, todo = [], [shape]
     while todo:
         s = todo.pop()
-        out.append((s.tag, s.text, len(s.children)))
+        out.append((s.tag, s.text, ~len(s.children) if s.linked else len(s.children)))
         todo += reversed(s.children)
     return out
 
@@ -222,11 +234,12 @@ def pack_shape(shape: Shape) -> list:
 def unpack_shape(rows: list) -> Shape:
     built: list[Shape] = []
     for number in range(len(rows) - 1, -1, -1):
-        tag, text, children = rows[number]
+        tag, text, coded = rows[number]
+        children = ~coded if coded < 0 else coded
         own = tuple(reversed(built[len(built) - children :])) if children else ()
         if children:
             del built[len(built) - children :]
-        built.append(Shape(tag, number, text, own))
+        built.append(Shape(tag, number, text, own, coded < 0))
     return built[0]
 
 
@@ -264,10 +277,18 @@ class _Shapes(dict):
 
 
 def _kept_nodes(page: Page, texts: set[int], reference: Shape) -> list[int]:
-    """Reference nodes whose text comes back on the page, which holds ``texts``."""
-    if not any(x.text in texts for x in nodes_of(reference) if x.text):
+    """Reference nodes whose text comes back on the page, which holds ``texts``, and, coded as ~number, those that are
+    lists of links on both."""
+    linked = any(x.linked for x in nodes_of(reference)) and any(y.linked for y in nodes_of(page.shape))
+    if not linked and not any(x.text in texts for x in nodes_of(reference) if x.text):
         return []
-    return [x.number for x, y in simple_tree_match(reference, page.shape) if x.text and x.text == y.text]
+    out = []
+    for x, y in simple_tree_match(reference, page.shape):
+        if x.text and x.text == y.text:
+            out.append(x.number)
+        if x.linked and y.linked:
+            out.append(~x.number)
+    return out
 
 
 def _align(shared):
@@ -299,7 +320,7 @@ def _joined(batch: pa.RecordBatch, k: int) -> dict[int, Shape]:
 def _extract(shared):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         constants, shapes = (shared.value[0], _Shapes(shared.value[1])) if shared else (None, None)
-        known: dict[str, list[tuple[dict[int, int], Shape]]] = {}
+        known: dict[str, list[tuple[dict[int, int], frozenset[int], Shape]]] = {}
         for batch in rows:
             names = batch.schema.names
             out = []
@@ -318,8 +339,8 @@ def _extract(shared):
     return batches
 
 
-def _layouts(numbers: dict[int, list[int]] | None, shapes: dict[int, Shape]) -> list[tuple[dict[int, int], Shape]]:
-    return [({n: _text_of(shapes[ref], n) for n in nodes}, shapes[ref]) for ref, nodes in sorted((numbers or {}).items())]
+def _layouts(numbers: dict[int, list[int]] | None, shapes: dict[int, Shape]) -> list[tuple[dict[int, int], frozenset[int], Shape]]:
+    return [({n: _text_of(shapes[ref], n) for n in nodes if n >= 0}, frozenset(~n for n in nodes if n < 0), shapes[ref]) for ref, nodes in sorted((numbers or {}).items())]
 
 
 def _text_of(shape: Shape, number: int) -> int:
@@ -355,7 +376,7 @@ def _constants(aligned: DataFrame, small: bool, work: Workspace) -> DataFrame:
     different = aligned.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     kept = aligned.select("host", "ref", "page", F.explode("nodes").alias("node")).distinct().groupBy("host", "ref", "node").agg(F.count("*").alias("kept"))
     kept = work.put(kept.join(different, "host"), "kept")
-    often = kept.where((F.col("kept") >= LEAST_PAGES) & (F.col("kept") >= OFTEN * F.col("pages"))).groupBy("host", "ref").agg(F.collect_list("node").alias("often"))
+    often = kept.where((F.col("node") >= 0) & (F.col("kept") >= LEAST_PAGES) & (F.col("kept") >= OFTEN * F.col("pages"))).groupBy("host", "ref").agg(F.collect_list("node").alias("often"))
     members = (
         aligned.join(near(work.put(often, "often")), ["host", "ref"])
         .select("host", "ref", "page", F.array_intersect("nodes", "often").alias("nodes"), F.size("often").alias("n"))
