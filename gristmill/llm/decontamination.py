@@ -6,9 +6,12 @@ around a hit must keep enough of the item's trigrams (an edit harms three at mos
 measured by Myers' bit-parallel edit distance against the whole item.
 
 Documents are read once per block of items and never shuffled. A block holds at most ``BLOCK_CHARS`` characters, which
-bounds what is broadcast; more items make more blocks.
+bounds what is broadcast and what a Python worker holds (about 70 bytes a character; what verification needs of an item
+is made when a piece of it is met, and kept for ``PREPARED`` items); more items make more blocks. A worker that runs
+several tasks builds its automaton once.
 
-Texts are compared in lower case, with ASCII punctuation and white space as single spaces.
+Texts are compared in lower case, with ASCII punctuation and white space as single spaces. An item that is too short for
+an edit must stand there as whole words.
 
 Defined results: null and empty texts contain nothing; null and empty items are contained nowhere; a repeated row or
 item is reported again; rows without doc_id are reported without it; other columns are passed on untouched by ``keep``.
@@ -16,8 +19,10 @@ item is reported again; rows without doc_id are reported without it; other colum
 
 from __future__ import annotations
 
+import uuid
+from array import array
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -27,7 +32,9 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import table
 
 RATE = 0.08
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
+#: Items whose trigrams and masks a worker keeps.
+PREPARED = 2000
 
 _PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -90,26 +97,46 @@ class Finder:
     """All items of a block, ready to search documents."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.patterns = [Pattern(i, t) for i, t in items]
+        self.items = items
         self.automaton = ahocorasick.Automaton()
-        held: dict[str, list[tuple[int, int]]] = {}
-        for k, p in enumerate(self.patterns):
-            for offset, piece in pieces(p.text):
-                held.setdefault(piece, []).append((k, offset))
-        for piece, where in held.items():
-            self.automaton.add_word(piece, (len(piece), where))
-        if held:
+        where: dict[str, list[tuple[int, int]]] = {}
+        for k, (_, text) in enumerate(items):
+            for offset, piece in pieces(text):
+                where.setdefault(piece, []).append((k, offset))
+        # the automaton holds numbers; the places of a piece lie in one flat array
+        self.starts, places = array("q", [0]), array("q")
+        for n, (piece, found) in enumerate(where.items()):
+            self.automaton.add_word(piece, n)
+            for k, offset in found:
+                places.extend((k, offset))
+            self.starts.append(len(places))
+        self.places, self.sizes = places, array("q", map(len, where))
+        if where:
             self.automaton.make_automaton()
+        self.pattern = lru_cache(PREPARED)(lambda k: Pattern(*items[k]))
+
+    def _met(self, plain: str) -> set[tuple[int, int]]:
+        """(item, where it would start) for each piece that stands in the text."""
+        out = set()
+        for end, n in self.automaton.iter(plain):
+            start = end + 1 - self.sizes[n]
+            for i in range(self.starts[n], self.starts[n + 1], 2):
+                out.add((self.places[i], start - self.places[i + 1]))
+        return out
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, budget, end) of each item in ``text``, at its best place."""
         plain = normal(text)
-        if not plain or not self.patterns:
+        if not plain or not self.items:
             return []
-        starts = {(k, end + 1 - size - offset) for end, (size, where) in self.automaton.iter(plain) for k, offset in where}
         best: dict[int, tuple[int, int]] = {}
-        for k, start in sorted(starts):
-            p = self.patterns[k]
+        for k, start in sorted(self._met(plain)):
+            size = len(self.items[k][1])
+            if not budget(self.items[k][1]):
+                if _whole(plain, start, start + size):
+                    best.setdefault(k, (0, start + size))
+                continue
+            p = self.pattern(k)
             low = max(0, start - p.budget)
             window = plain[low : max(0, start + len(p.text) + p.budget)]
             if k in best and best[k][0] == 0 or not p.may_hold(window):
@@ -117,12 +144,29 @@ class Finder:
             distance, end = p.distance(window)
             if distance <= p.budget and (k not in best or distance < best[k][0]):
                 best[k] = (distance, low + end)
-        return [(self.patterns[k].item_id, d, self.patterns[k].budget, end) for k, (d, end) in best.items()]
+        return [(self.items[k][0], d, budget(self.items[k][1]), end) for k, (d, end) in best.items()]
+
+
+def _whole(plain: str, start: int, end: int) -> bool:
+    """Whether the part of a normal text begins and ends with words."""
+    return plain[start - 1 : start] in ("", " ") and plain[end : end + 1] in ("", " ")
+
+
+_finders: dict[str, Finder] = {}
+
+
+def _finder(block: tuple[str, list[tuple[int, str]]]) -> Finder:
+    """The finder of a block, built once per worker; only the last one is kept."""
+    name, items = block
+    if name not in _finders:
+        _finders.clear()
+        _finders[name] = Finder(items)
+    return _finders[name]
 
 
 def _search(shared):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shared.value)
+        finder = _finder(shared.value)
         for batch in rows:
             found = [(d.as_py(), *hit) for d, t in zip(batch.column(0), batch.column(1), strict=True) for hit in finder.find(t.as_py())]
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
@@ -155,13 +199,13 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row per document and test item in it: doc_id, item_id, distance, budget, end (in the normalised text)."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [source.mapInArrow(_search(spark.sparkContext.broadcast(block)), SCHEMA) for block in _blocks(items)]
+    found = [source.mapInArrow(_search(spark.sparkContext.broadcast((uuid.uuid4().hex, block))), SCHEMA) for block in _blocks(items)]
     return reduce(DataFrame.unionAll, found)
 
 
 def _clean_rows(shared, column: int):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(shared.value)
+        finder = _finder(shared.value)
         for batch in rows:
             yield batch.filter(pa.array([not finder.find(t.as_py()) for t in batch.column(column)], pa.bool_()))
 
@@ -172,7 +216,7 @@ def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no test item, with all their columns. Rows are judged where they are read."""
     spark = docs.sparkSession
     for block in _blocks(items):
-        docs = docs.mapInArrow(_clean_rows(spark.sparkContext.broadcast(block), docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(_clean_rows(spark.sparkContext.broadcast((uuid.uuid4().hex, block)), docs.columns.index("text")), docs.schema)
     return docs
 
 

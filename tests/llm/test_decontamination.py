@@ -28,7 +28,7 @@ def planted():
             at = rng.randrange(len(text))
             text[at : at + 1] = rng.choice(["", "z", "zz"])
         rows.append((d, " ".join(body[:20]) + ", " + "".join(text).upper() + " ! " + " ".join(body[20:])))
-    return items, [*rows, (90, None), (91, ""), (92, "tiny"), (93, items[0][1] * 2)]
+    return items, [*rows, (90, None), (91, ""), (92, "tiny"), (94, "a tiny, one"), (95, "destiny tinyness"), (96, "Tiny!"), (93, items[0][1] * 2)]
 
 
 def test_matches_brute_force(spark, planted):
@@ -38,7 +38,10 @@ def test_matches_brute_force(spark, planted):
     for d, t in rows:
         for i, item in items:
             plain = D.normal(item)
-            if plain and (n := edit_infix(plain, D.normal(t))) <= D.budget(plain):
+            if not D.budget(plain):
+                if plain and f" {plain} " in f" {D.normal(t)} ":
+                    want[d, i] = 0
+            elif (n := edit_infix(plain, D.normal(t))) <= D.budget(plain):
                 want[d, i] = n
     assert got == want and len(want) > 15
 
@@ -60,3 +63,22 @@ def test_pieces_cover_the_item():
     for n in (1, 5, 30, 333):
         item = "".join(chr(97 + i % 26) for i in range(n))
         assert "".join(p for _, p in D.pieces(item)) == item and len(D.pieces(item)) == D.budget(item) + 1
+
+
+def test_rows_without_id_repeated_rows_and_clashing_columns(spark, planted):
+    items, rows = planted
+    leaky = rows[0][1]
+    frame = spark.createDataFrame([(None, leaky, 1)] * 2 + [(5, leaky, 2)] * 3 + [(6, "clean words", 3), (None, None, 4)], "doc_id bigint, text string, item_id int")
+    bench = spark.createDataFrame([*items, items[0], (None, items[0][1])], "item_id bigint, text string")
+    found = [(r["doc_id"], r["item_id"]) for r in D.leaks(frame, bench).collect()]
+    assert sorted(found, key=str) == sorted([(None, 0)] * 4 + [(None, None)] * 2 + [(5, 0)] * 6 + [(5, None)] * 3, key=str)
+    assert sorted(r["item_id"] for r in D.keep(frame, bench).collect()) == [3, 4]
+
+
+def test_a_very_long_text_and_few_prepared_items(spark, planted, monkeypatch):
+    items, _ = planted
+    monkeypatch.setattr(D, "PREPARED", 1)
+    texts = [t for _, t in items[:8]]
+    long = " ".join(f"{'filler words here ' * 5000}{t}" for t in texts)
+    finder = D.Finder([(i, D.normal(t)) for i, t in enumerate(texts)])
+    assert sorted(x[:2] for x in finder.find(long)) == [(i, 0) for i in range(8)]
