@@ -29,6 +29,11 @@ STOP_WORDS = (
     "de la le et les des en un du une que est pour qui dans par au sur pas avec "
     "el los y del se las por con no su para al lo como"
 ).split()
+#: The words as they stand in a text: in lower case, at the start of a sentence, and in capitals.
+STOP_FORMS = tuple(dict.fromkeys(form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())))
+
+#: Lines that begin as items of a list, and lines that break off; alike in both engines.
+BULLET, BREAKS_OFF = r"\A[\x20\x09-\x0D]*[-*•]", r"(\.\.\.|…)[\x20\x09-\x0D]*\z"
 
 
 @dataclass(frozen=True)
@@ -54,6 +59,8 @@ RULES = (
     Rule("shouting", "n_bangs", "n_words", None, 0.5),
     Rule("stop_words", "n_stop_words", "n_words", 0.02, None, from_words=30),
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.5),
+    Rule("bullets", "n_bullet_lines", "n_lines", None, 0.9, from_words=30),
+    Rule("broken_lines", "n_broken_lines", "n_lines", None, 0.3, from_words=30),
 )
 
 
@@ -110,7 +117,7 @@ def measures(text: Column) -> Column:
     def of_words(words: Column) -> Column:
         return F.struct(
             F.size(words).cast("bigint").alias("n_words"),
-            F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))).cast("bigint").alias("n_stop_words"),
+            F.size(F.filter(words, lambda w: w.isin(*STOP_FORMS))).cast("bigint").alias("n_stop_words"),
             _covered(_windows(words)).alias("n_repeat_words"),
         )
 
@@ -127,6 +134,8 @@ def measures(text: Column) -> Column:
                 lambda x: F.struct(
                     F.size(x).cast("bigint").alias("n_lines"),
                     (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
+                    F.size(F.filter(x, lambda y: y.rlike(BULLET))).cast("bigint").alias("n_bullet_lines"),
+                    F.size(F.filter(x, lambda y: y.rlike(BREAKS_OFF))).cast("bigint").alias("n_broken_lines"),
                 ),
             ).alias("by_line"),
         )
@@ -151,7 +160,7 @@ def verdict(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def _measure(m: Column, name: str) -> Column:
-    return m["by_line"][name] if name in ("n_lines", "n_dup_lines") else m[name]
+    return m["by_line"][name] if name.endswith("_lines") else m[name]
 
 
 def base_failed(m: Column) -> Column:
@@ -185,7 +194,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    stop = ", ".join(f"'{w}'" for w in STOP_FORMS)
     checks = []
     for r in RULES:
         value = r.numerator if not r.denominator else f"(CASE WHEN {r.denominator} > 0 THEN {r.numerator}::DOUBLE / {r.denominator} ELSE 0 END)"
@@ -206,6 +215,8 @@ m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words,
              (length(text) - length(replace(text, '!', '')))::BIGINT AS n_bangs,
              len(list_filter(words, lambda x: x IN ({stop})))::BIGINT AS n_stop_words,
              len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             len(list_filter(lines, lambda x: regexp_matches(x, '{BULLET}')))::BIGINT AS n_bullet_lines,
+             len(list_filter(lines, lambda x: regexp_matches(x, '{BREAKS_OFF}')))::BIGINT AS n_broken_lines,
              coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id),
 j AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m)

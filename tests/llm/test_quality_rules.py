@@ -36,6 +36,28 @@ def test_rules_reject_junk_and_keep_prose(spark):
     junk = " ".join(f"w{i}###" for i in range(40))
     rows = spark.createDataFrame([(1, prose), (2, junk), (3, " ".join(f"WORD{i}!!" for i in range(40)))], "doc_id bigint, text string")
     assert [r["doc_id"] for r in Q.keep(rows).collect()] == [1]
+    said = "The Cat AND THE dog WENT to a sea which none had ever seen before this one cold grey morning when all was still so very far away"
+    line = lambda i: f"the cat{i} and a dog{i} went{i} home"
+    lists = "\n".join(f"- {line(i)}" for i in range(10))
+    broken = "\n".join(line(i) + (" ..." if i % 2 else "…") for i in range(10))
+    few = "\n".join(f"{'-' if i < 8 else ''} {line(i)}{'...' if i < 3 else ''}" for i in range(10))
+    rows = spark.createDataFrame([(1, said), (2, lists), (3, broken), (4, few)], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in Q.keep(rows).collect()] == [1, 4]
+
+
+def test_verdicts_match_the_sql_of_the_query(spark, texts, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [*texts, (5000, "a ...\n" * 20), (5001, "  • x y z the of\n" * 20), (5002, "- a\r\n* b\u2028...\u2028")]
+    pq.write_table(pa.table({"doc_id": [d for d, _ in rows], "text": pa.array([t for _, t in rows], pa.string())}), tmp_path / "documents.parquet")
+    frame = Q.op1_quality_rules(spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+        want = con.sql(Q.ORACLE_SQL)
+        order = [want.columns.index(c) for c in frame.columns]
+        assert sorted(map(tuple, frame.collect())) == sorted(tuple(r[i] for i in order) for r in want.fetchall())
 
 
 def test_plan_is_native(docs):
