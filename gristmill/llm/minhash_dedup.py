@@ -39,8 +39,8 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 #: Link while per_cent * union <= 100 * intersection; this is the threshold of op10, other callers give their own.
 PER_CENT = 85
-#: Shingles that a block of the exact comparison holds, about.
-BLOCK = 250_000
+#: Shingles and texts that a block of the exact comparison holds, about.
+BLOCK, BLOCK_TEXTS = 250_000, 512
 #: Texts that are hashed together, and the shingles after which a group is closed early.
 _GROUP, _GROUP_SHINGLES = 512, 1 << 18
 #: Rows of texts or sets that Python gets at once.
@@ -188,12 +188,12 @@ def _open_buckets(members: DataFrame) -> DataFrame:
         F.sum("n").alias("items"),
     )
     return (
-        seen.where("c > 1 AND low <> high").groupBy("c", "s", "r", "items").agg(F.min("bucket").alias("bucket")).select("bucket", "items")
+        seen.where("c > 1 AND low <> high").groupBy("c", "s", "r", "items").agg(F.min("bucket").alias("bucket")).select("bucket", "items", "c")
     )
 
 
 def _residual_links(open_members: DataFrame, sets: DataFrame, work: Workspace, per_cent: int) -> DataFrame:
-    """Exact search among the members of open buckets: links (u, v) between different components."""
+    """Exact search among the members of open buckets: links (u, v) between different components, written."""
     reps = work.put(open_members.select("rep", "comp", "n").distinct(), "residual")
     items = sets.join(reps.select("rep"), "rep", "left_semi").select("rep", F.explode("items").alias("item"))
     items = work.put(items, "items")
@@ -204,14 +204,17 @@ def _residual_links(open_members: DataFrame, sets: DataFrame, work: Workspace, p
     held = held.withColumn("k", F.row_number().over(by_rarity)).withColumn("m", F.count("*").over(Window.partitionBy("rep")))
     room = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1 - (F.col("n") - F.col("m"))
     prefix = work.put(held.where(F.col("k") <= room).select("rep", "comp", "n", F.col("item").alias("bucket")), "prefix")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("items") / BLOCK)).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("items") / BLOCK), F.ceil(F.col("c") / BLOCK_TEXTS)).cast("int")
     rows = (
-        prefix.join(_open_buckets(prefix).withColumn("blocks", blocks), "bucket")
+        prefix.join(_open_buckets(prefix).select("bucket", blocks.alias("blocks")), "bucket")
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("bucket", "rep", "comp", F.col("block").alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    return rows.join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(lambda group: _compare_blocks(group, per_cent), "u bigint, v bigint")
+    found = rows.join(sets, "rep").groupBy("bucket", "i", "j").applyInArrow(lambda group: _compare_blocks(group, per_cent), "u bigint, v bigint")
+    more = work.put(found, "more-links", _ROWS)
+    work.drop(reps, items, prefix)
+    return more
 
 
 def components(docs: DataFrame, work: Workspace, per_cent: int = PER_CENT) -> DataFrame:
@@ -255,8 +258,9 @@ def components(docs: DataFrame, work: Workspace, per_cent: int = PER_CENT) -> Da
         "members",
     )
     still_open = members.join(_open_buckets(members).select("bucket"), "bucket", "left_semi")
-    more = work.put(_residual_links(still_open, sets, work, per_cent), "more-links", _ROWS)
+    more = _residual_links(still_open, sets, work, per_cent)
     final = work.put(connected(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), work), "final")
+    work.drop(buckets, sets, links, first, members, more)
     named = classes.select("ca", "cb", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("ca", "cb", F.coalesce("component", "rep").alias("component_id"))
     return (
