@@ -10,7 +10,7 @@ def shingles(text):
     return frozenset([tuple(w)]) if w else frozenset()
 
 
-def components(rows):
+def components(rows, per_cent=85):
     sets = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
 
@@ -22,7 +22,7 @@ def components(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= per_cent * len(a | b):
                 root[find(i)] = find(j)
     groups = defaultdict(list)
     for i, (d, _) in enumerate(rows):
