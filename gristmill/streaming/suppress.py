@@ -20,10 +20,21 @@ from gristmill.operators.rules import RuleSet
 STATE = T.StructType([T.StructField("last_day", T.LongType())])
 
 
-def suppress_seen(postings: DataFrame, window_days: int = G.SEEN_WINDOW_DAYS) -> DataFrame:
-    """``postings``: signature, shown_at (timestamp). Adds ``fresh``. State is one number per signature."""
+#: Ordinal of 1970-01-01, and the milliseconds of a day.
+_EPOCH, _DAY = 719_163, 86_400_000
+
+
+def suppress_seen(postings: DataFrame, window_days: int = G.SEEN_WINDOW_DAYS, late: str = "2 days") -> DataFrame:
+    """``postings``: signature, shown_at (timestamp). Adds ``fresh``.
+
+    State is one number per signature, and it goes when the watermark has passed the last showing by the window: from then
+    on the signature is fresh whether it is remembered or not. Showings may be ``late`` by so much.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         for rows in batches:
             rows = rows.sort_values("shown_at")
@@ -34,9 +45,10 @@ def suppress_seen(postings: DataFrame, window_days: int = G.SEEN_WINDOW_DAYS) ->
             yield rows.assign(fresh=fresh)
         if last is not None:
             state.update((last,))
+            state.setTimeoutTimestamp(max((last - _EPOCH + window_days) * _DAY, state.getCurrentWatermarkMs() + 1))
 
     out = T.StructType([*postings.schema.fields, T.StructField("fresh", T.BooleanType())])
-    return postings.groupBy("signature").applyInPandasWithState(step, out, STATE, "append", GroupStateTimeout.NoTimeout)
+    return postings.withWatermark("shown_at", late).groupBy("signature").applyInPandasWithState(step, out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def gate_stream(postings: DataFrame, rules: RuleSet, sink: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None):

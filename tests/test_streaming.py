@@ -29,6 +29,27 @@ def test_showing_restarts_the_window(spark, tmp_path):
     assert [(r["signature"], str(r["shown_at"].date()), r["fresh"]) for r in sorted(got)] == [("a", "2024-01-01", True), ("a", "2024-01-20", False), ("a", "2024-02-10", False), ("a", "2024-03-20", True), ("a", "2024-04-18", False), ("b", "2024-01-05", True)]
 
 
+def test_state_goes_when_the_window_has_passed(spark, tmp_path):
+    def say(*rows):
+        frame = spark.createDataFrame(list(rows), "signature string, t string").select("signature", F.to_timestamp("t").alias("shown_at"))
+        frame.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+
+    def run():
+        stream = S.suppress_seen(spark.readStream.schema(SHOWN).json(str(tmp_path / "in")))
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1]
+
+    say(("a", "2024-01-01"), ("b", "2024-01-02"))
+    assert run() == 2
+    say(("c", "2024-03-01"))
+    assert run() == 1  # a and b are forgotten
+    say(("a", "2024-03-02"), ("c", "2024-03-10"))
+    run()
+    got = sorted((r["signature"], str(r["shown_at"].date()), r["fresh"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", "2024-01-01", True), ("a", "2024-03-02", True), ("b", "2024-01-02", True), ("c", "2024-03-01", True), ("c", "2024-03-10", False)]
+
+
 def test_gate_stream(spark, tmp_path):
     schema = "ord bigint, source string, title string, company string, description string, days_old int"
     spark.createDataFrame([(1, "s", "Analyst", "c", "remote", 1), (2, "s", "Analyst", "c", "presencial", 1)], schema).write.json(str(tmp_path / "in"))
