@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -34,12 +35,14 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only where the setting is missing, as in local tests,
-    a folder below the warehouse is used.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only where the setting is missing in local mode, as in
+    tests, a folder below the warehouse is used; a cluster without the setting is an error.
     """
     conf = spark.sparkContext.getConf()
     place = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     return place.rstrip("/")
 
