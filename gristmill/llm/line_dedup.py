@@ -1,9 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A *run* is a table bucketed and sorted by line hash with one row per hash: the number of documents that hold the line and
-the largest doc_id among them. Batches of documents come in descending order of doc_id. A new batch merge-joins the runs:
-hashes that no run holds (the anti-join) are added with their keeper, known ones add only to the count, so a keeper is
-written once. Every ``FANOUT`` runs of a level are compacted into one run of the next level, so a batch meets a number
+the largest doc_id among them. Batches of documents come in descending order of doc_id. A new batch merge-anti-joins the
+runs: hashes that no run matches are added with their keeper, known ones add only to the count, so a keeper is written
+once. Every ``FANOUT`` runs of a level are compacted into one run of the next level, so a batch meets a number
 of runs that is logarithmic in the number of batches. All runs have the same buckets, each one sorted file, so anti-joins
 and compactions of two neither shuffle nor sort them; a batch is shuffled once, after a partial aggregation.
 
@@ -34,7 +34,7 @@ MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 2
 #: Rows of a bucket of the runs, about, and the least and the most buckets.
-BUCKET_ROWS, BUCKETS_LEAST, BUCKETS_MOST = 500_000, 4, 100_000
+BUCKET_ROWS, BUCKETS_LEAST, BUCKETS_MOST = 500_000, 2, 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -121,20 +121,17 @@ class LineRuns:
         return reduce(lambda rows, run: rows.join(run.select("a", "b"), ["a", "b"], "left_anti"), self.runs(), batch)
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: one row (a, b, doc_id) per document and distinct line."""
+        """``batch``: one row (a, b, doc_id) per document and distinct line.
+
+        One merge join per run; the rows that none of them matches, which are those of ``novel``, keep their keeper.
+        """
         with self._settings():
             counted = batch.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_id"))
-            if self.runs():
-                whole = self._write(counted)
-                counted = self.spark.table(whole)
-                novel = self.novel(counted)
-                known = counted.select("a", "b", "n_docs").join(novel.select("a", "b"), ["a", "b"], "left_anti")
-                known = known.withColumn("keep_id", F.lit(None).cast("bigint"))
-                # novel and known part the batch, so their merge is the batch with the keepers of novel lines only
-                self._put(self._write(self._merge([novel, known])), 0)
-                self.drop(whole)
-            else:
-                self._put(self._write(counted), 0)
+            novel = F.lit(True)
+            for k, run in enumerate(self.runs()):
+                counted = counted.join(run.select("a", "b", F.lit(True).alias(f"in{k}")), ["a", "b"], "left")
+                novel = novel & F.col(f"in{k}").isNull()
+            self._put(self._write(counted.select("a", "b", "n_docs", F.when(novel, F.col("keep_id")).alias("keep_id"))), 0)
 
     def _put(self, run: str, level: int) -> None:
         if level == len(self.levels):
@@ -180,8 +177,9 @@ def _dropped_by_document(docs: DataFrame, batches: int) -> DataFrame:
         "held",
     )
     once = held.where("first").select("doc_id", "a", "b")
-    again = work.put(source.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "again")
+    again = source.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if not again.isEmpty():  # only rows that repeat a doc_id can hold a line of it twice
+        again = work.put(again, "again")
         once = once.join(again, "doc_id", "left_anti").unionByName(once.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "a", "b"]))
     runs = LineRuns(spark, work, _buckets(spark, held.count()))
     cuts = sorted({int(x) for x in held.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
