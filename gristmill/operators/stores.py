@@ -125,6 +125,13 @@ def funnel_map(gated: DataFrame) -> DataFrame:
     return funnel(gated).groupBy("source").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reject_reason", "n")))).alias("reasons"))
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """The label log, empty where nothing was labelled yet."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.schema(schemas.LABEL).parquet(path) if found else spark.createDataFrame([], schemas.LABEL)
+
+
 def precision_report(labels: DataFrame) -> DataFrame:
     """good, bad, total and precision (null without labels) of the latest labels; one row."""
     return labels.agg(

@@ -344,11 +344,12 @@ def grade_counts(spark, sf):
     return stores.grade_counts(p.select(R.grade(F.col("prefilter_score")).alias("grade")))
 
 
-@query(f"WITH {_SCORED} SELECT source, count(*)::BIGINT AS total, round(avg(score), 6) AS avg_score, {', '.join(f'''(count(*) FILTER (WHERE {S.grade('score')} = '{g}'))::BIGINT AS grade_{n}''' for g, n in (('A+', 'a_plus'), ('A', 'a'), ('B', 'b'), ('C', 'c'), ('D', 'd')))} FROM scored GROUP BY source")
+@query(f"WITH {_SCORED} SELECT source, count(*)::BIGINT AS total, (count(*) FILTER (WHERE score >= 40))::BIGINT AS visible, round(avg(score), 6) AS avg_score, {', '.join(f'''(count(*) FILTER (WHERE {S.grade('score')} = '{g}'))::BIGINT AS grade_{n}''' for g, n in (('A+', 'a_plus'), ('A', 'a'), ('B', 'b'), ('C', 'c'), ('D', 'd')))} FROM scored GROUP BY source")
 def source_pivot(spark, sf):
     p = _all_scored(spark, sf).select("source", "prefilter_score", R.grade(F.col("prefilter_score")).alias("grade"))
     counts = [F.count_if(F.col("grade") == g).alias(f"grade_{n}") for g, n in (("A+", "a_plus"), ("A", "a"), ("B", "b"), ("C", "c"), ("D", "d"))]
-    return p.groupBy("source").agg(F.count("*").alias("total"), F.round(F.avg("prefilter_score"), 6).alias("avg_score"), *counts)
+    total, visible = F.count("*").alias("total"), F.count_if(F.col("prefilter_score") >= 40).alias("visible")
+    return p.groupBy("source").agg(total, visible, F.round(F.avg("prefilter_score"), 6).alias("avg_score"), *counts).orderBy(F.desc("avg_score"), "source")
 
 
 @query(f"SELECT event_id, greatest(floor((epoch(TIMESTAMP '{NOW}') - floor(epoch(ts))) / 86400), 0)::INT AS age FROM events")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,6 +17,11 @@ def age_label(days: Column) -> Column:
     )
 
 
+def status(spark: SparkSession, root: str) -> DataFrame:
+    """The state of the last run with its counts; one row."""
+    return spark.read.json(f"{root.rstrip('/')}/status")
+
+
 def results(ranked: DataFrame, tracking: DataFrame) -> DataFrame:
     """The last run, best first, with what was decided about each posting since."""
     action = S.latest(tracking).select("signature", "action")

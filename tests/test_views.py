@@ -27,3 +27,20 @@ def test_labels_and_report(spark):
     assert V.report_text({"precision": None}, []) == "no labels yet"
     text = V.report_text({"precision": 0.5, "good": 2, "total_labeled": 4}, [("a", 1), ("b", 3)], {"precision": 0.25})
     assert text.split("\n") == ["precision: 50% (2/4)", "  b: 3", "  a: 1", "baseline 25%, change +25%"]
+
+
+def test_report_of_a_root(spark, tmp_path):
+    from gristmill import report, schemas
+    from gristmill.operators import stores
+
+    root = str(tmp_path)
+    assert report.report(spark, root) == "no labels yet"
+
+    def label(seq, signature, word, reason=None):
+        stores.append(spark.createDataFrame([(seq, signature, word, reason, None)], schemas.LABEL), f"{root}/labels")
+
+    label(1, "a", "good")
+    label(2, "b", "bad", "english")
+    assert report.report(spark, root) == "precision: 50% (1/2)\n  english: 1"
+    label(3, "b", "good")
+    assert report.report(spark, root) == "precision: 100% (2/2)\nbaseline 50%, change +50%"
