@@ -1,5 +1,4 @@
 import random
-import re
 
 from gristmill.llm import html_extract as H
 from gristmill.llm.dom import Shape, parse, simple_tree_match
@@ -126,27 +125,6 @@ def test_deep_pages_meet_a_deep_reference(spark):
     assert got == {k: f"text {k}" for k in range(8)}
 
 
-def test_menus_without_a_name_are_learnt(spark, monkeypatch):
-    """Lists of links that vary from page to page: nothing names them and no text is constant, only their place is."""
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choices("abcdefghij", k=6))
-    rows, want = [], {}
-    for k in range(40):
-        links = "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(rng.randint(3, 9)))
-        text = [" ".join(word() for _ in range(20)) + (f" <a href='/'>{word()}</a>" if rng.random() < 0.5 else "") for _ in range(rng.randint(1, 4))]
-        rows.append((k, "http://m.example.com/", f"<body><div><ul>{links}</ul></div><div>{''.join(f'<p>{t}</p>' for t in text)}</div></body>"))
-        want[k] = "\n\n".join(re.sub("<[^>]*>", "", t) for t in text)
-    # on one page the place of the menu holds a text
-    rows.append((99, "http://m.example.com/", "<body><div><ul><li>no link here at all</li></ul></div><div><p>a text</p></div></body>"))
-    want[99] = "no link here at all\n\na text"
-    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    assert {r["page_id"]: r["text"] for r in H.extract(frame).collect()} == want
-    without = {r[0]: H.Page(r[2]).main() for r in rows}
-    assert sum(without[k] != want[k] for k in want) == 40
-    monkeypatch.setattr(H, "BROADCAST_BYTES", -1)
-    assert {r["page_id"]: r["text"] for r in H.extract(frame).collect()} == want
-
-
 def test_all_articles_of_a_page_are_kept():
     page = H.Page("<body><div>x</div><article><p>" + "long " * 50 + "</p></article><article><p>short</p></article></body>")
     assert page.main().endswith("\n\nshort") and "x" not in page.main().split("\n\n")
