@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.llm import chat_format, decontamination, html_extract, license_scan, line_dedup, minhash_dedup, packing, pii, quality_rules, toxicity
+from gristmill.llm import chat_format, decontamination, exact_dedup, fill_middle, html_extract, license_scan, line_dedup, minhash_dedup, packing, pii, quality_rules, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_exact_dedup": exact_dedup.op12_exact_dedup,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op8_chat_format": chat_format.ORACLE_SQL,
     "op10_minhash_dedup": minhash_dedup.ORACLE_SQL,
+    "op11_fill_middle": fill_middle.ORACLE_SQL,
+    "op12_exact_dedup": exact_dedup.ORACLE_SQL,
 }
