@@ -120,9 +120,9 @@ class DigestIndex:
 
     def groups(self) -> DataFrame:
         """(digest, n, keep), one row per digest."""
-        runs = [self.runs.read(x) for x in (*self.segments, *self.deltas)]
-        # dealt anew: a union of bucketed scans claims their buckets without having them (Spark 4.1.2)
-        return reduce(DataFrame.unionByName, runs).repartition(self.runs.buckets, "digest").groupBy("digest").agg(F.sum("n").alias("n"), F.max("keep").alias("keep"))
+        # their files are read without their buckets, which a union of scans would claim without having them (Spark 4.1.2)
+        runs = self.spark.read.schema(_SCHEMA).parquet(*(f"{self.root}/{x}" for x in (*self.segments, *self.deltas)))
+        return runs.groupBy("digest").agg(F.sum("n").alias("n"), F.max("keep").alias("keep"))
 
 
 def _buckets(spark: SparkSession, rows: int) -> int:
