@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.llm import chat_format, decontamination, exact_dedup, fill_middle, html_extract, license_scan, line_dedup, minhash_dedup, packing, pii, quality_rules, toxicity
+from gristmill.llm import chat_format, decontamination, exact_dedup, fill_middle, html_extract, license_scan, line_dedup, minhash_dedup, packing, pii, quality_rules, resampling, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_minhash_dedup": minhash_dedup.op10_minhash_dedup,
     "op11_fill_middle": fill_middle.op11_fill_middle,
     "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_resampling": resampling.op13_resampling,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op10_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op11_fill_middle": fill_middle.ORACLE_SQL,
     "op12_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op13_resampling": resampling.ORACLE_SQL,
 }
