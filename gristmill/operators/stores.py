@@ -28,13 +28,89 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """(path, its file system) of Hadoop."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def committed(spark: SparkSession, path: str) -> set[str]:
+    """The commits of a log that :func:`append_once` writes."""
+    top, fs = file_system(spark, path)
+    names = [str(x.getPath().getName()) for x in fs.listStatus(top)] if fs.exists(top) else []
+    return {n.removeprefix("commit=") for n in names if n.startswith("commit=")}
+
+
+def append_once(rows: DataFrame, path: str, commit: str) -> bool:
+    """Appends ``rows`` under the name ``commit``; does nothing if the log has this commit. True if it appended.
+
+    The rows are staged where readers do not look and become part of the log by one rename of their folder, which file
+    systems with atomic renames do or do not do. So whoever writes again after a crash, at whatever point, writes once.
+    """
+    spark = rows.sparkSession
+    there, fs = file_system(spark, f"{path}/commit={commit}")
+    if fs.exists(there):
+        return False
+    staged, _ = file_system(spark, f"{path}/_staged/{commit}")
+    rows.write.mode("overwrite").parquet(staged.toString())
+    if not fs.rename(staged, there) and not fs.exists(there):
+        raise OSError(f"{there.toString()} could not be committed")
+    return True
+
+
+def read_appends(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of all commits of a log, and of files that :func:`append` has put beside them."""
+    top, fs = file_system(spark, path)
+    rows = spark.createDataFrame([], schema)
+    names = [str(x.getPath().getName()) for x in fs.listStatus(top)] if fs.exists(top) else []
+    for start in ("commit=", "part-"):
+        if any(n.startswith(start) for n in names):
+            found = spark.read.schema(rows.schema).option("basePath", path).parquet(f"{path}/{start}*").select(*rows.columns)
+            rows = rows.unionByName(found)
+    return rows
+
+
 def overwrite_by(rows: DataFrame, path: str, *partitions: str) -> None:
     """Replaces only the partitions that occur in ``rows``."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def write_document(rows: DataFrame, path: str) -> None:
-    rows.coalesce(1).write.mode("overwrite").json(path)
+    """One JSON file in place of another: readers see the old one or the new one, never none or half of one.
+
+    For documents of a few rows; the new file is staged beside the old one and takes its name in one step.
+    """
+    spark = rows.sparkSession
+    folder, _, name = path.rstrip("/").rpartition("/")
+    staged, fs = file_system(spark, f"{folder}/_staged-{name}")
+    rows.coalesce(1).write.mode("overwrite").json(staged.toString())
+    made = next((x.getPath() for x in fs.listStatus(staged) if str(x.getPath().getName()).startswith("part-")), None)
+    if made is None:  # no rows, no file
+        made, _ = file_system(spark, f"{staged.toString()}/part-none")
+        fs.create(made).close()
+    target, _ = file_system(spark, path)
+    if fs.exists(target) and fs.getFileStatus(target).isDirectory():
+        fs.delete(target, True)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
+    how[0] = getattr(jvm, "Options$Rename").OVERWRITE
+    jvm.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(made, target, how)
+    fs.delete(staged, True)
+
+
+def replace_table(rows: DataFrame, path: str, kind: str = "json") -> None:
+    """A table of any size in place of another; written beside it first, so it is missing only between two renames."""
+    spark = rows.sparkSession
+    folder, _, name = path.rstrip("/").rpartition("/")
+    staged, fs = file_system(spark, f"{folder}/_staged-{name}")
+    old, _ = file_system(spark, f"{folder}/_old-{name}")
+    target, _ = file_system(spark, path)
+    rows.write.mode("overwrite").format(kind).save(staged.toString())
+    fs.delete(old, True)
+    if fs.exists(target):
+        fs.rename(target, old)
+    fs.rename(staged, target)
+    fs.delete(old, True)
 
 
 def latest(log: DataFrame, key: str = "signature", order: str = "seq") -> DataFrame:
@@ -237,4 +313,4 @@ def reset(spark: SparkSession, root: str, cache_only: bool = False) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-LOG_SCHEMAS = {"history": schemas.HISTORY, "tracking": schemas.TRACKING, "inbox": schemas.INBOX, "labels": schemas.LABEL, "applications": schemas.APPLICATION, "yields": schemas.YIELD}
+LOG_SCHEMAS = {"history": schemas.HISTORY, "tracking": schemas.TRACKING, "inbox": schemas.INBOX, "labels": schemas.LABEL, "applications": schemas.APPLICATION, "yields": schemas.YIELD, "usage": schemas.USAGE}

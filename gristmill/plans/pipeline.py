@@ -7,6 +7,8 @@ keep an evaluator from being called twice.
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
@@ -16,14 +18,15 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import model_output as M
 from gristmill.operators import gate as G
-from gristmill.operators import scoring, stores
+from gristmill.operators import routing, scoring, stores
+from gristmill.operators.providers import Router
 from gristmill.operators.rules import RuleSet
 from gristmill.sources.payloads import arrival_order
 from gristmill.sources.registry import Registry, Result, result_rows
 
 
 class Cancelled(Exception):
-    """Raised by ``run`` between stages, sources and waves of batches; what is done stays on disk."""
+    """Raised by ``run`` when it is cancelled, inside a stage or between two; what is done stays on disk."""
 
 
 class AlreadyRunning(Exception):
@@ -52,6 +55,19 @@ class Run:
     discard: bool = False
     listeners: list[Callable[[dict], None]] = field(default_factory=list)
     done: dict[str, dict] = field(default_factory=dict)
+    run_id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
+    _stop: threading.Event = field(default_factory=threading.Event, repr=False)
+    _tag: str = field(default_factory=lambda: f"gristmill-run-{uuid.uuid4().hex}", repr=False)
+
+    def cancel(self, discard: bool = False) -> None:
+        """Ends the run from another thread: the jobs it has under way are cancelled, by the tag that all of them carry."""
+        self.discard = self.discard or discard
+        self._stop.set()
+        self.spark.sparkContext.cancelJobsWithTag(self._tag)
+
+    def check(self, what: str) -> None:
+        if self._stop.is_set() or self.cancelled():
+            raise Cancelled(what)
 
     def tell(self, kind: str, **what) -> None:
         """An event for whoever listens; a listener that fails is not asked to be well."""
@@ -66,8 +82,12 @@ class Run:
         return f"{self.root.rstrip('/')}/{name}"
 
     def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return stores.file_system(self.spark, path)
+
+    @property
+    def commit(self) -> str:
+        """The name of what this run appends to logs; a run that goes on has the name it had."""
+        return "".join(c for c in self.run_ts if c.isalnum()) + f"-{self.run_id}"
 
     def exists(self, name: str) -> bool:
         p, fs = self._fs(self.path(name))
@@ -77,7 +97,7 @@ class Run:
         return self.spark.read.parquet(self.path(name))
 
     def log(self, name: str) -> DataFrame:
-        return self.read(name) if self.exists(name) else self.spark.createDataFrame([], stores.LOG_SCHEMAS[name])
+        return stores.read_appends(self.spark, self.path(name), stores.LOG_SCHEMAS[name])
 
     def put(self, rows: DataFrame, name: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(self.path(name))
@@ -85,8 +105,7 @@ class Run:
 
     def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """A stage table: read if a resumed run has it, else made, written and noted in the manifest."""
-        if self.cancelled():
-            raise Cancelled(name)
+        self.check(name)
         if name in self.done:
             return self.read(name)
         self.tell("stage", name=name)
@@ -96,15 +115,15 @@ class Run:
 
     def note(self, name: str, what: dict) -> None:
         self.done[name] = what
-        state = {"mode": self.mode, "sources": self.sources, "done": self.done}
-        self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").json(self.path("manifest"))
+        state = {"mode": self.mode, "sources": self.sources, "run_id": self.run_id, "done": self.done}
+        stores.write_document(self.spark.createDataFrame([(json.dumps(state),)], "state string"), self.path("manifest"))
 
     def load(self) -> None:
         """Takes up a manifest, if it is of a run of the same kind."""
         if self.resume and self.exists("manifest"):
             state = json.loads(self.spark.read.schema("state string").json(self.path("manifest")).first()["state"])
             if (state["mode"], state["sources"]) == (self.mode, self.sources):
-                self.done = state["done"]
+                self.done, self.run_id = state["done"], state["run_id"]
         elif not self.resume:
             stores_reset(self)
 
@@ -113,37 +132,72 @@ class Run:
         fs.delete(p, True)
 
 
-def stores_reset(run: Run) -> None:
-    for name in ("manifest", "gated", "scored", "prefiltered", "answers", "ranked"):
+def stores_reset(run: Run, *more: str) -> None:
+    for name in ("manifest", "gated", "scored", "prefiltered", "answers", "ranked", *more):
         p, fs = run._fs(run.path(name))
         fs.delete(p, True)
 
 
-def answered(run: Run, selected: DataFrame, evaluator: Callable[[list[dict]], str]) -> DataFrame:
+def answered(run: Run, selected: DataFrame, evaluator: Callable[[list[dict]], str] | Router) -> DataFrame:
     """The answers of all batches. Each wave of batches is appended when it is done, so a run that goes on asks only
-    about those that have none; batches are as many as the cap allows."""
+    about those that have none; batches are as many as the cap allows. What a router's providers spend is logged."""
+    known = stores.read_appends(run.spark, run.path("answers"), "batch_id int, answer string")
     if "answers" in run.done:
-        return run.read("answers")
+        return known
     batches = scoring.with_batches(selected)
-    number = sorted(r["batch_id"] for r in batches.select("batch_id").distinct().collect())
-    known = {r["batch_id"] for r in run.read("answers").collect()} if run.exists("answers") else set()
-    todo = [b for b in number if b not in known]
-    for k in range(0, len(todo), WAVE):
-        if run.cancelled():
-            raise Cancelled("answers")
-        run.tell("batches", done=len(number) - len(todo) + k, all=len(number))
-        stores.append(scoring.ask(batches.where(F.col("batch_id").isin(todo[k : k + WAVE])), evaluator), run.path("answers"))
-    if not number:
-        run.put(run.spark.createDataFrame([], "batch_id int, answer string"), "answers")
+    if isinstance(evaluator, Router):
+        _routed(run, batches, evaluator)
+    else:
+        number = sorted(r["batch_id"] for r in batches.select("batch_id").distinct().collect())
+        done = {r["batch_id"] for r in known.select("batch_id").collect()}
+        todo = [b for b in number if b not in done]
+        for k in range(0, len(todo), WAVE):
+            run.check("answers")
+            run.tell("batches", done=len(number) - len(todo) + k, all=len(number))
+            wave = todo[k : k + WAVE]
+            stores.append_once(scoring.ask(batches.where(F.col("batch_id").isin(wave)), evaluator), run.path("answers"), f"{wave[0]:08d}")
     run.note("answers", {})
-    return run.read("answers")
+    return stores.read_appends(run.spark, run.path("answers"), "batch_id int, answer string")
+
+
+def _routed(run: Run, batches: DataFrame, router: Router) -> None:
+    """Answers by way of a router that goes on from the usage of the day.
+
+    A wave is committed to the answers and its usage to the log, both by their number. Waves of a run that broke off
+    between the two get their usage when it goes on, so each request is counted once.
+    """
+    place = run.path("answers")
+
+    def account(kept: DataFrame, name: str) -> None:
+        spent = kept.where("provider IS NOT NULL").groupBy("provider").agg(F.count_if(F.col("outcome") == routing.ANSWERED).alias("requests"), F.max(F.col("outcome") == routing.SPENT).alias("exhausted"))
+        rows = spent.select(F.lit(run.run_ts).alias("run_ts"), "provider", F.lit(router.today()).alias("date"), "requests", "exhausted")
+        stores.append_once(rows, run.path("usage"), f"{run.commit}-{name}")
+
+    before = sorted(stores.committed(run.spark, place))
+    for name in before:
+        account(run.spark.read.schema(routing.OUTCOME).parquet(f"{place}/commit={name}"), name)
+    router.take_up(run.log("usage"))
+    told = stores.read_appends(run.spark, place, routing.OUTCOME).where(F.col("outcome").isin(routing.ANSWERED, routing.NONE))
+    known = frozenset(r["batch_id"] for r in told.select("batch_id").collect())  # as many as the cap allows
+
+    def write(rows: DataFrame, k: int) -> DataFrame:
+        name = f"{k:08d}"
+        stores.append_once(rows, place, name)
+        kept = run.spark.read.schema(routing.OUTCOME).parquet(f"{place}/commit={name}")
+        account(kept, name)
+        return kept
+
+    def go_on(done: int, all_: int) -> None:
+        run.check("answers")
+        run.tell("batches", done=done, all=all_)
+
+    routing.evaluate_routed(batches, router, write, len(before), known, go_on, WAVE)
 
 
 def collect(run: Run, registry: Registry, slow: frozenset[str] = frozenset()) -> tuple[DataFrame | None, list[Result]]:
     rows, results = [], []
     for name in registry.choose(run.mode, run.sources, slow):
-        if run.cancelled():
-            raise Cancelled(name)
+        run.check(name)
         key = f"raw/{name}"
         if key in run.done:
             result = Result(**run.done[key])
@@ -152,6 +206,8 @@ def collect(run: Run, registry: Registry, slow: frozenset[str] = frozenset()) ->
         else:
             run.tell("source", name=name)
             found, result = registry.run(run.spark, name, lambda df, n: run.put(df, f"raw/{n}"))
+            if run._stop.is_set():  # what the source did not yield is no error of the source
+                raise Cancelled(name)
             run.note(key, asdict(result))
         results.append(result)
         if found is not None:
@@ -159,17 +215,26 @@ def collect(run: Run, registry: Registry, slow: frozenset[str] = frozenset()) ->
     return (arrival_order(reduce(DataFrame.unionByName, rows)) if rows else None), results
 
 
-def run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str]) -> dict[str, DataFrame]:
+def run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str] | Router) -> dict[str, DataFrame]:
     """The run's tables: health, gated, funnel, ranked. A second run of the same root is refused until this one has ended."""
     mark, fs = run._fs(run.path("running"))
     if not fs.createNewFile(mark):
         raise AlreadyRunning(run.root)
-    status(run, "running")
+    sc = run.spark.sparkContext
     try:
-        out = _run(run, registry, evaluator)
+        status(run, "running")
+        sc.addJobTag(run._tag)
+        try:
+            out = _run(run, registry, evaluator)
+        except Exception as error:
+            if run._stop.is_set() and not isinstance(error, Cancelled):
+                raise Cancelled("jobs") from error
+            raise
+        finally:
+            sc.removeJobTag(run._tag)
     except Cancelled:
         if run.discard:
-            stores_reset(run)
+            stores_reset(run, "raw")
         status(run, "paused")
         run.tell("paused")
         raise
@@ -202,7 +267,7 @@ def counts_of(gated: DataFrame, split: DataFrame, ranked: DataFrame) -> DataFram
     return of_gate.join(F.broadcast(of_split)).join(F.broadcast(of_rank)).select(*COUNTS)  # one row each
 
 
-def _run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str]) -> dict[str, DataFrame]:
+def _run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str] | Router) -> dict[str, DataFrame]:
     run.load()
     jobs, results = collect(run, registry)
     outcome = result_rows(run.spark, results)
@@ -215,7 +280,7 @@ def _run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str]) -
         new = outcome.select(
             (F.lit(seq).cast("bigint")).alias("seq"), F.lit(run.run_ts).cast("timestamp").alias("run_started_at"), "source", F.col("yielded").cast("int").alias("yielded"), "status", "duration_seconds"
         )
-        stores.append(new, run.path("yields"))
+        stores.append_once(new, run.path("yields"), run.commit)
         run.note("yields", {})
     if jobs is None:
         run.clear()
@@ -250,7 +315,7 @@ def persist(run: Run, ranked: DataFrame, gated: DataFrame, split: DataFrame, cac
     shown = ranked.select("signature", "ord", "final_score", "title", "company", "source")
     if "signatures" not in run.done:
         empty = run.spark.createDataFrame([], "signature string, first_seen date, last_seen date, final_score int, title string, company string, source string")
-        snapshot = "signatures/" + "".join(c for c in run.run_ts if c.isalnum())
+        snapshot = f"signatures/{run.commit}"
         run.put(stores.merge_cache(cache if cache is not None else empty, shown, today), snapshot)
         # the old snapshot stays until the pointer names the new one
         stores.write_document(run.spark.createDataFrame([(snapshot,)], "path string"), run.path("signatures/current"))
@@ -261,18 +326,17 @@ def persist(run: Run, ranked: DataFrame, gated: DataFrame, split: DataFrame, cac
             continue
         log = run.log(name)
         seq = (log.agg(F.max("seq")).first()[0] or 0) + 1
+        place = (F.col("ord") + F.lit(seq)).cast("bigint").alias("seq")
         if name == "history":
-            rows = ranked.select((F.col("ord") + F.lit(seq)).cast("bigint").alias("seq"), "signature", "source", "title", "company", now.alias("shown_at"), F.lit(run.run_ts).alias("run_ts"))
-            stores.overwrite_by(rows, run.path(name), "run_ts")  # a run that writes its history again replaces it
+            rows = ranked.select(place, "signature", "source", "title", "company", now.alias("shown_at"), F.lit(run.run_ts).alias("run_ts"))
         else:
             job = F.struct(*[_field(f, ranked.columns) for f in stores.schemas.JOB.fields])
             scored = F.struct(job.alias("job"), *[F.col(f.name).cast(f.dataType).alias(f.name) for f in stores.schemas.SCORED.fields[1:]])
-            rows = ranked.select((F.col("ord") + F.lit(seq)).cast("bigint").alias("seq"), "signature", scored.alias("scored"))
-            rows = stores.with_first_seen(rows, log, now).select("seq", "signature", "first_seen_at", "scored")
-            stores.append(rows, run.path(name))
+            rows = stores.with_first_seen(ranked.select(place, "signature", scored.alias("scored")), log, now).select("seq", "signature", "first_seen_at", "scored")
+        stores.append_once(rows, run.path(name), run.commit)
         run.note(name, {})
     counts = counts_of(gated, split, ranked).first().asDict()
-    stores.write_document(ranked.drop("description"), run.path("results"))
+    stores.replace_table(ranked.drop("description"), run.path("results"))
     status(run, "success", counts)
 
 

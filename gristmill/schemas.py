@@ -31,6 +31,7 @@ INBOX = _struct(seq=T.LongType(), signature=_S, first_seen_at=_TS, scored=SCORED
 LABEL = _struct(seq=T.LongType(), signature=_S, label=_S, reason=_S, labeled_at=_TS)
 APPLICATION = _struct(seq=T.LongType(), signature=_S, status=_S, answers=T.MapType(_S, _S), resume_path=_S, note=_S, updated_at=_TS)
 YIELD = _struct(seq=T.LongType(), run_started_at=_TS, source=_S, yielded=_I, status=_S, duration_seconds=T.DoubleType())
+USAGE = _struct(run_ts=_S, provider=_S, date=_S, requests=T.LongType(), exhausted=T.BooleanType())
 
 #: Closed vocabularies; a record with another value is skipped on read.
 ENUMS = {

@@ -1,11 +1,16 @@
 import json
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.operators import rules as R
 from gristmill.operators import stores
+from gristmill.operators import providers as V
+from gristmill.operators.providers import ProviderFailed, QuotaExceeded
 from gristmill.plans import pipeline as P
+from gristmill.plans.events import EventBus, StreamEvents
 from gristmill.sources import payloads
 from gristmill.sources.registry import Registry
 
@@ -143,3 +148,195 @@ def test_a_snapshot_that_was_not_finished_is_no_cache(spark, tmp_path):
     before = P.current_cache(run).count()
     (tmp_path / "run" / "signatures" / "20990101").mkdir()
     assert P.current_cache(run).count() == before == 4
+
+
+def asked(log, name, error=None):
+    """A provider that notes in a file how often it is called, and behaves as it is told."""
+
+    def call(batch):
+        with open(log, "a") as f:
+            f.write(name)
+        if error:
+            raise error("so")
+        return json.dumps([{"id": r["signature"], "score": 70} for r in batch])
+
+    return call
+
+
+def many(n=12):
+    r = Registry()
+    r.register("one", lambda s: board(s, [f"Data {w} {w * 3}" for w in "abcdefghijkl"[:n]], "one"))
+    return r
+
+
+def batches_of_one(monkeypatch):
+    from gristmill.operators import scoring
+
+    monkeypatch.setattr(scoring, "with_batches", lambda rows, size=1, real=scoring.with_batches: real(rows, 1))
+
+
+@pytest.fixture
+def wide(monkeypatch):
+    from dataclasses import replace
+
+    monkeypatch.setitem(globals(), "RULES", replace(RULES, cap=12))
+    batches_of_one(monkeypatch)
+
+
+def usage_of(spark, run, day):
+    rows = stores.provider_usage(run.log("usage"), F.lit(day)).collect()
+    return {r["provider"]: (r["requests"], r["exhausted"]) for r in rows}
+
+
+def test_a_run_routes_its_batches_and_the_next_one_knows_who_is_spent(spark, tmp_path, wide):
+    log = str(tmp_path / "asked")
+
+    def router():
+        return V.Router([("a", asked(log, "a", QuotaExceeded)), ("b", asked(log, "b"))], lambda: "2024-06-30")
+
+    run = start(spark, tmp_path)
+    out = P.run(run, many(), router())
+    assert out["ranked"].where("ai_evaluated").count() == 12
+    assert sorted(open(log).read()) == ["a"] + ["b"] * 12
+    assert usage_of(spark, run, "2024-06-30") == {"a": (0, True), "b": (12, False)}
+    stores.reset(spark, run.root)  # what is spent stays spent
+    again = start(spark, tmp_path, "2024-06-30 18:00:00")
+    P.run(again, many(), router())
+    assert open(log).read().count("a") == 1 and usage_of(spark, again, "2024-06-30") == {"a": (0, True), "b": (24, False)}
+    assert usage_of(spark, again, "2024-07-01") == {}
+
+
+def test_no_provider_leaves_batches_unevaluated(spark, tmp_path, wide):
+    log = str(tmp_path / "asked")
+    run = start(spark, tmp_path)
+    out = P.run(run, many(3), V.Router([("a", asked(log, "a", ProviderFailed)), ("b", asked(log, "b", ValueError))], lambda: "d"))
+    assert out["ranked"].count() == 3 and out["ranked"].where("ai_evaluated").count() == 0 and sorted(open(log).read()) == list("aaabbb")
+
+
+@pytest.mark.parametrize(("where", "after"), [("yields", True), ("answers", False), ("answers", True), ("usage", False), ("inbox", True)])
+def test_a_run_that_breaks_off_around_any_append_writes_each_row_once(spark, tmp_path, wide, monkeypatch, where, after):
+    log, real = str(tmp_path / "asked"), stores.append_once
+
+    def breaking(rows, path, commit):
+        if path.endswith(where):
+            if after:
+                real(rows, path, commit)
+            raise RuntimeError("killed")
+        return real(rows, path, commit)
+
+    router = lambda: V.Router([("b", asked(log, "b"))], lambda: "2024-06-30")
+    with monkeypatch.context() as m:
+        m.setattr(stores, "append_once", breaking)
+        with pytest.raises(RuntimeError):
+            P.run(start(spark, tmp_path), many(3), router())
+    run = start(spark, tmp_path, resume=True)
+    P.run(run, many(3), router())
+    for name, n in (("yields", 1), ("history", 3), ("inbox", 3)):
+        rows = run.log(name)
+        assert rows.count() == n and rows.select("seq").distinct().count() == n
+    assert usage_of(spark, run, "2024-06-30") == {"b": (3, False)}
+    assert open(log).read().count("b") == 3  # an answer that was kept is not asked for again
+
+
+def test_an_append_is_seen_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "seq bigint")
+    assert stores.append_once(rows(1, 2), path, "r1") and not stores.append_once(rows(1, 2), path, "r1")
+    staged = tmp_path / "log" / "_staged" / "r2"
+    rows(7).write.parquet(str(staged))  # a writer that died before its rename
+    assert sorted(r[0] for r in stores.read_appends(spark, path, "seq bigint").collect()) == [1, 2]
+    assert stores.append_once(rows(3), path, "r2") and stores.committed(spark, path) == {"r1", "r2"}
+    stores.append(rows(4), path)  # beside commits
+    assert sorted(r[0] for r in stores.read_appends(spark, path, "seq bigint").collect()) == [1, 2, 3, 4]
+    assert stores.read_appends(spark, str(tmp_path / "none"), "seq bigint").count() == 0
+
+
+def test_documents_are_replaced_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "doc")
+    for word in ("one", "two"):
+        stores.write_document(spark.createDataFrame([(word,)], "word string"), path)
+        assert [r["word"] for r in spark.read.schema("word string").json(path).collect()] == [word]
+    assert sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["doc"] and (tmp_path / "doc").is_file()
+    table = str(tmp_path / "table")
+    for n in (3, 2):
+        stores.replace_table(spark.range(n), table)
+        assert spark.read.json(table).count() == n
+
+
+def test_a_cancel_ends_a_stage_that_is_under_way(spark, tmp_path):
+    def slow(s):
+        def sleep(parts):
+            time.sleep(120)
+            yield from parts
+
+        rows = board(s, ["Data lead"], "slow")
+        return rows.mapInPandas(sleep, rows.schema)
+
+    r = Registry()
+    r.register("quick", lambda s: board(s, ["Data analyst"], "quick"))
+    r.register("slow", slow)
+    run, bus = start(spark, tmp_path), EventBus()
+    run.listeners = [bus.publish]
+    ended = []
+
+    def work():
+        with pytest.raises(P.Cancelled):
+            P.run(run, r, evaluator(str(tmp_path / "c")))
+        ended.append(time.time())
+
+    thread = threading.Thread(target=work)
+    thread.start()
+    while not any(e.get("name") == "slow" for _, e in bus.read(wait=0)):
+        time.sleep(0.1)
+    time.sleep(2)
+    asked = time.time()
+    run.cancel()
+    thread.join(60)
+    assert ended and ended[0] - asked < 10
+    assert spark.read.json(run.path("status")).first()["status"] == "paused" and run.exists("raw/quick") and "raw/slow" not in run.done
+    r.sources["slow"] = lambda s: board(s, ["Data lead"], "slow")
+    assert P.run(start(spark, tmp_path, resume=True), r, evaluator(str(tmp_path / "c")))["ranked"].count() == 2
+
+
+def test_a_discard_removes_what_the_run_has_made(spark, tmp_path):
+    run = start(spark, tmp_path)
+    run.listeners = [lambda e: run.cancel(discard=True) if e.get("name") == "prefiltered" else None]
+    with pytest.raises(P.Cancelled):
+        P.run(run, registry(), evaluator(str(tmp_path / "c")))
+    assert not any(run.exists(n) for n in ("manifest", "raw", "gated", "prefiltered")) and run.exists("yields")
+    assert P.run(start(spark, tmp_path), registry(), evaluator(str(tmp_path / "c")))["ranked"].count() == 4
+
+
+def test_readers_of_events_who_come_late_get_them_in_order():
+    bus = EventBus(kept=5)
+    for k in range(3):
+        bus.publish({"k": k})
+    early = []
+    thread = threading.Thread(target=lambda: early.extend(n for n, _ in bus.read()))
+    thread.start()
+    for k in range(3, 8):
+        bus.publish({"k": k})
+        time.sleep(0.02)
+    bus.close()
+    thread.join(10)
+    assert early == [*range(8)]
+    assert [(n, e["k"]) for n, e in bus.read()] == [(k, k) for k in range(3, 8)]  # the oldest are no longer kept
+    assert [n for n, _ in bus.read(after=5)] == [6, 7]
+
+
+def test_streams_tell_the_bus(spark, tmp_path):
+    bus = EventBus()
+    listener = StreamEvents(bus)
+    spark.streams.addListener(listener)
+    try:
+        spark.range(5).write.parquet(str(tmp_path / "in"))
+        q = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        deadline = time.time() + 20
+        while time.time() < deadline and not any(e["kind"] == "stream_ended" for _, e in bus.read(wait=0)):
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    events = [e for _, e in bus.read(wait=0)]
+    assert [e["kind"] for e in events][0] == "stream_started" and events[-1]["kind"] == "stream_ended"
+    assert sum(e.get("rows", 0) for e in events) == 5
