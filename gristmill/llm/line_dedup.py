@@ -1,9 +1,9 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A *run* is a table bucketed and sorted by line hash with one row per hash: the number of documents that hold the line and
-the largest doc_id among them. Batches of documents come in descending order of doc_id. A new batch merge-anti-joins the
-runs: hashes that no run matches are added with their keeper, known ones add only to the count, so a keeper is written
-once. Every ``FANOUT`` runs of a level are compacted into one run of the next level, so a batch meets a number
+A *run* is a table bucketed and sorted by line hash with one row per hash: the number of documents that hold the line and,
+in the run that brought the line, its keeper. Batches of documents come in descending order of doc_id. A new batch
+merge-anti-joins the runs: hashes that no run holds are new and get their largest doc_id as keeper, the others add only
+to the count. So a keeper is written once, by the first batch that has the line. Every ``FANOUT`` runs of a level are compacted into one run of the next level, so a batch meets a number
 of runs that is logarithmic in the number of batches. All runs have the same buckets, each one sorted file, so anti-joins
 and compactions of two neither shuffle nor sort them; a batch is shuffled once, after a partial aggregation.
 
@@ -21,20 +21,21 @@ counted or kept, and are left as they are. Other columns are passed on untouched
 from __future__ import annotations
 
 import math
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import SPACE, Workspace, let, settings, table
+from gristmill.llm.common import SPACE, Workspace, let, table
+from gristmill.llm.sorted_runs import BUCKETS_MOST, SortedRuns
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 2
-#: Rows of a bucket of the runs, about, and the least and the most buckets.
-BUCKET_ROWS, BUCKETS_LEAST, BUCKETS_MOST = 500_000, 2, 100_000
+#: Rows of a bucket of the runs, about, and the least buckets.
+BUCKET_ROWS, BUCKETS_LEAST = 500_000, 2
+_RUN = "a bigint, b bigint, n_docs bigint, keep_id bigint"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -75,31 +76,20 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, work: Workspace, buckets: int, fanout: int = FANOUT):
         self.spark, self.work, self.buckets, self.fanout = spark, work, buckets, fanout
+        self.files = SortedRuns(spark, work.path("runs"), ["a", "b"], _RUN, buckets)
         self.levels: list[list[str]] = []
-        self._n = 0
 
-    def runs(self) -> list[DataFrame]:
-        return [self.spark.table(run) for level in self.levels for run in level]
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.files.close()
 
-    def _write(self, rows: DataFrame) -> str:
-        """A table of ``buckets`` sorted files. An exchange inside ``rows`` deals them alike, so a task writes whole buckets."""
-        self._n += 1
-        name = f"line_run_{uuid.uuid4().hex}"
-        place = self.work.path(f"run-{self._n:03d}")
-        rows.write.format("parquet").option("path", place).bucketBy(self.buckets, "a", "b").sortBy("a", "b").saveAsTable(name)
-        return name
+    def runs(self) -> list[DataFrame]:
+        return [self.files.read(run) for level in self.levels for run in level]
 
     def _settings(self):
-        return settings(
-            self.spark,
-            {
-                "spark.sql.shuffle.partitions": str(self.buckets),
-                "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
-                "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
-                "spark.sql.autoBroadcastJoinThreshold": "-1",
-                "spark.sql.sources.bucketing.maxBuckets": str(BUCKETS_MOST),
-            },
-        )
+        return self.files.settings()
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
@@ -111,7 +101,7 @@ class LineRuns:
                 F.coalesce("a", "a2").alias("a"),
                 F.coalesce("b", "b2").alias("b"),
                 (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n2", F.lit(0))).cast("bigint").alias("n_docs"),
-                F.greatest("keep_id", "keep2").alias("keep_id"),
+                F.coalesce("keep_id", "keep2").alias("keep_id"),  # one run at most has it
             )
 
         return reduce(both, runs)
@@ -121,17 +111,16 @@ class LineRuns:
         return reduce(lambda rows, run: rows.join(run.select("a", "b"), ["a", "b"], "left_anti"), self.runs(), batch)
 
     def add(self, batch: DataFrame) -> None:
-        """``batch``: one row (a, b, doc_id) per document and distinct line.
-
-        One merge join per run; the rows that none of them matches, which are those of ``novel``, keep their keeper.
-        """
+        """``batch``: one row (a, b, doc_id) per document and distinct line. It is aggregated and shuffled once."""
         with self._settings():
-            counted = batch.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_id"))
-            novel = F.lit(True)
-            for k, run in enumerate(self.runs()):
-                counted = counted.join(run.select("a", "b", F.lit(True).alias(f"in{k}")), ["a", "b"], "left")
-                novel = novel & F.col(f"in{k}").isNull()
-            self._put(self._write(counted.select("a", "b", "n_docs", F.when(novel, F.col("keep_id")).alias("keep_id"))), 0)
+            counted = self.files.write(batch.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_id")), "batch")
+            if not self.levels:
+                return self._put(counted, 0)
+            here = self.files.read(counted)
+            new = self.files.write(self.novel(here).select("a", "b", "keep_id"), "new")
+            run = self.files.write(here.select("a", "b", "n_docs").join(self.files.read(new), ["a", "b"], "left"))
+            self.files.drop(counted, new)
+            self._put(run, 0)
 
     def _put(self, run: str, level: int) -> None:
         if level == len(self.levels):
@@ -139,19 +128,15 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(self._write(self._merge([*map(self.spark.table, full)])), level + 1)
-            self.drop(*full)
-
-    def drop(self, *runs: str) -> None:
-        for run in runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            self._put(self.files.write(self._merge([*map(self.files.read, full)])), level + 1)
+            self.files.drop(*full)
 
     def repeated(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """(a, b, keep_id) of the lines in at least ``min_docs`` documents, written; the runs go."""
         with self._settings():
             merged = self._merge(self.runs())
             out = self.work.put(merged.where(F.col("n_docs") >= min_docs).select("a", "b", "keep_id"), "repeated")
-        self.drop(*(run for level in self.levels for run in level))
+        self.files.drop(*(run for level in self.levels for run in level))
         self.levels = []
         return out
 
@@ -181,17 +166,17 @@ def _dropped_by_document(docs: DataFrame, batches: int) -> DataFrame:
     if not again.isEmpty():  # only rows that repeat a doc_id can hold a line of it twice
         again = work.put(again, "again")
         once = once.join(again, "doc_id", "left_anti").unionByName(once.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "a", "b"]))
-    runs = LineRuns(spark, work, _buckets(spark, held.count()))
     cuts = sorted({int(x) for x in held.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)}) if batches > 1 else []
     edges = [None, *cuts, None]
-    for low, high in reversed(list(zip(edges[:-1], edges[1:], strict=True))):
-        inside = F.lit(True)
-        if low is not None:
-            inside = inside & (F.col("doc_id") >= low)
-        if high is not None:
-            inside = inside & (F.col("doc_id") < high)
-        runs.add(once.where(inside))
-    hot = runs.repeated()
+    with LineRuns(spark, work, _buckets(spark, held.count())) as runs:
+        for low, high in reversed(list(zip(edges[:-1], edges[1:], strict=True))):
+            inside = F.lit(True)
+            if low is not None:
+                inside = inside & (F.col("doc_id") >= low)
+            if high is not None:
+                inside = inside & (F.col("doc_id") < high)
+            runs.add(once.where(inside))
+        hot = runs.repeated()
     return (
         held.join(hot, ["a", "b"])
         .where(F.col("doc_id") != F.col("keep_id"))

@@ -71,6 +71,24 @@ def encoder(vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(vocabulary))
 
 
+@cache
+def library(vocabulary: str = VOCABULARY):
+    """The JSON file of the vocabulary in the tokenizers library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(ADDED[vocabulary]))
+
+
+def ids_of(text: str, core, added: set[str], vocabulary: str = VOCABULARY) -> np.ndarray:
+    """Ids of a text. The pattern's search runs out of stack in white space of about a million characters; such a text
+    is left to the tokenizers library, which gives the same ids in more time."""
+    try:
+        return np.frombuffer(core.encode_to_tiktoken_buffer(text, added), dtype=np.uint32)
+    except ValueError:
+        return np.array(library(vocabulary).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
 def pieces_of(ids: np.ndarray, limit: int = LIMIT) -> list[tuple[int, np.ndarray]]:
     """(start, ids) of each piece: full ones, but for a shorter first one."""
     first = len(ids) % limit or limit
@@ -83,13 +101,13 @@ SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 def _tokenize(vocabulary: str, limit: int, with_ids: bool):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, added = encoder(vocabulary)._core_bpe.encode_to_tiktoken_buffer, {*added_tokens(vocabulary)}
+        core, added = encoder(vocabulary)._core_bpe, {*added_tokens(vocabulary)}
         end = np.array([END_ID], dtype=np.uint32)
         done = 0
         for batch in rows:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(encode(text.as_py() or "", added), dtype=np.uint32)
+                ids = ids_of(text.as_py() or "", core, added, vocabulary)
                 for k, (start, part) in enumerate(pieces_of(np.concatenate((ids, end)), limit)):
                     raw = part.astype("<u4", copy=False).tobytes()
                     out.append((doc, k, start, len(part), zlib.crc32(raw), done + len(out), *([part.tolist()] if with_ids else ())))

@@ -49,6 +49,25 @@ def test_runs_are_compacted_and_keep_the_largest_id(spark):
     assert not runs.runs()
 
 
+@pytest.mark.parametrize("fanout", [2, 9])
+def test_the_batch_that_brought_a_line_names_its_keeper(spark, fanout):
+    """Without the anti-join 6, 7 and 8 would be new again."""
+    frame = lambda *rows: spark.createDataFrame([(h, h, d) for h, d in rows], "a bigint, b bigint, doc_id bigint")
+    with L.LineRuns(spark, Workspace(spark, "runs"), 3, fanout) as runs:
+        runs.add(frame((1, 5), (1, 4), (2, 5)))
+        runs.add(frame((1, 8), (3, 3)))
+        runs.add(frame((2, 7), (3, 6), (1, 1)))
+        assert {(r["a"], r["keep_id"]) for r in runs.repeated(2).collect()} == {(1, 5), (2, 5), (3, 3)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sorted_run_")]
+
+
+def test_a_job_that_fails_leaves_no_tables(spark, docs, monkeypatch):
+    monkeypatch.setattr(L.LineRuns, "repeated", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        L.dedup(docs)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sorted_run_")]
+
+
 def test_runs_meet_without_a_shuffle(spark):
     runs = L.LineRuns(spark, Workspace(spark, "runs"), 4, fanout=9)
     for first in (30, 20, 10):

@@ -51,6 +51,14 @@ def test_odd_white_space_and_controls(spark):
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == expected(texts)
 
 
+def test_white_space_of_any_length(spark):
+    mark = "<|endoftext|>"
+    texts = [(1, " " * 2_000_000 + "x"), (2, "a" + "\t" * 1_000_000 + " b"), (3, f"c {mark}" + "\n" * 1_000_000 + f"{mark} d"), (4, "e" + " \n" * 600_000)]
+    rows = P.pack(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == expected(texts)
+    check_places(rows)
+
+
 def test_added_tokens_in_a_text(spark):
     assert P.added_tokens() == {"<|endoftext|>": 50256}
     mark = "<|endoftext|>"
