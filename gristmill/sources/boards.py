@@ -1,12 +1,13 @@
 """The boards as chained sources: which pages are asked for, when paging stops, and what is read of them.
 
 A board is a function of a :class:`Visit` that yields frames of postings, part by part, so that what came before a failure
-is kept. Pages are written before they are read, so none is fetched twice. The driver only learns how many new ids a page
-brought; everything else stays in frames. A page that cannot be fetched brings nothing and ends the paging of its term.
+is kept. Pages are written before they are read, so none is fetched twice. Listings that are paged come from the data
+source of :mod:`gristmill.sources.listing_source`, whose readers page by themselves and drop what the title rule rejects.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import quote
@@ -18,24 +19,22 @@ from pyspark.sql import types as T
 from gristmill.functions import dates
 from gristmill.functions import text as X
 from gristmill.sources import payloads as P
+from gristmill.sources.listing_source import COMPUTRABAJO, COMPUTRABAJO_END, HIMALAYAS, LISTINGS, OCC, BoardListing  # noqa: F401  (addresses of the boards)
 from gristmill.sources.registry import Registry
 
 #: Public addresses of the boards, fixed values.
 REMOTIVE = "https://remotive.com/api/remote-jobs?search={term}"
 WWR = "https://weworkremotely.com/categories/remote-management-and-finance-jobs.rss"
 REMOTEOK = "https://remoteok.com/api"
-HIMALAYAS = "https://himalayas.app/jobs/api?limit={size}&offset={offset}"
 GREENHOUSE = "https://boards-api.greenhouse.io/v1/boards/{company}/jobs?content=true"
 LEVER = "https://api.lever.co/v0/postings/{company}?mode=json"
-OCC, OCC_HOST = "https://www.occ.com.mx/empleos/de-{term}/tipo-home-office-remoto/", "https://www.occ.com.mx"
+OCC_HOST = "https://www.occ.com.mx"
 OCC_OFFER = "https://oferta.occ.com.mx/offer/{id}/d/j?ipo=41&iapo=1"
-COMPUTRABAJO, COMPUTRABAJO_HOST = "https://mx.computrabajo.com/trabajo-de-{term}-en-remoto", "https://mx.computrabajo.com"
+COMPUTRABAJO_HOST = "https://mx.computrabajo.com"
 COMPUTRABAJO_OFFER = "https://oferta.computrabajo.com/offer/{id}/d/j?ipo=2&iapo=1"
-COMPUTRABAJO_END = '<div class="tc mbB pt30 pb30">'
 HIRELINE = "https://hireline.io/mx/sitemap_ofertas.xml"
 REMOTOJOB = "https://remotojob.com/rj-job-sitemap1.xml"
 WEREMOTO_HOST, WEREMOTO_CATEGORIES = "https://www.weremoto.com", ("analista-de-datos", "it", "programacion", "administrativo", "data-entry")
-PAGE_SIZE = 100
 
 Fetch = Callable[[DataFrame], DataFrame]
 _RSS = P._st(channel=P._st(item=T.ArrayType(P._st(title=P._S, link=P._S, description=P._S, pubDate=P._S, region=P._S))))
@@ -54,7 +53,23 @@ class Visit:
     rejected: Callable[[Column, Column], Column] = lambda title, company: F.lit(False)
     companies: dict[str, list[str]] = field(default_factory=dict)
     #: Pages per term, at most.
-    max_pages: dict[str, int] = field(default_factory=lambda: {"occ": 5, "computrabajo": 10, "himalayas": 5})
+    max_pages: dict[str, int] = field(default_factory=lambda: {name: x.max_pages for name, x in LISTINGS.items()})
+    #: Lower-case parts of titles and companies that listings drop where they are read.
+    unwanted_titles: tuple[str, ...] = ()
+    unwanted_companies: tuple[str, ...] = ()
+    #: Options of the listings: via (a relay), timeout, pause.
+    listing_options: dict[str, str] = field(default_factory=dict)
+
+    def listing(self, name: str, terms: list[str]) -> DataFrame:
+        """What a paged board lists for the terms, written; a term is a task, and the title rule is pushed into it."""
+        self.spark.dataSource.register(BoardListing)
+        self.spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+        options = {"board": name, "terms": json.dumps(terms), "maxPages": str(self.max_pages[name]), **self.listing_options}
+        rows = self.spark.read.format("board_listing").options(**options).load()
+        for column, words in (("title_low", self.unwanted_titles), ("company_low", self.unwanted_companies)):
+            for w in words:
+                rows = rows.where(~F.contains(F.col(column), F.lit(w)))
+        return self.keep(rows, f"{name}-listing")
 
     def pages(self, urls: list[tuple] | DataFrame, name: str) -> DataFrame:
         """The pages at ``urls``: (place, path) pairs or a frame with ``path``."""
@@ -84,12 +99,9 @@ def _read_wwr(v: Visit, pages: DataFrame) -> DataFrame:
 
 
 def himalayas(v: Visit) -> Iterator[DataFrame]:
-    """Pages by offset until an empty one."""
-    for k in range(v.max_pages["himalayas"]):
-        pages = v.pages([(k, HIMALAYAS.format(size=PAGE_SIZE, offset=k * PAGE_SIZE))], f"himalayas-{k}")
-        if P._items(pages, P.HIMALAYAS, "jobs").isEmpty():
-            return
-        yield v.finish(P.himalayas(pages, v.title_terms), "himalayas")
+    """Pages by offset until an empty one; the listing has the whole postings."""
+    listed = v.listing("himalayas", [""]).select((F.col("page") * 1000 + F.col("pos")).alias("path"), F.concat(F.lit('{"jobs":['), "item", F.lit("]}")).alias("payload"))
+    yield v.finish(P.himalayas(listed, v.title_terms), "himalayas")
 
 
 def _by_company(name: str, address: str, read: Callable[[DataFrame, list[str]], DataFrame]):
@@ -104,36 +116,19 @@ def _by_company(name: str, address: str, read: Callable[[DataFrame, list[str]],
     return board
 
 
-def _paged(v: Visit, name: str, address: Callable[[str, int], str], ids: Callable[[DataFrame], DataFrame], last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
-    """Listing pages of all terms, page by page; a term goes on while its pages bring ids of their own."""
-    read, going = None, dict(enumerate(v.terms))
-    for k in range(1, v.max_pages[name] + 1):
-        if not going:
-            break
-        listing = v.pages([(i * 1000 + k, address(quote(t), k)) for i, t in going.items()], f"{name}-{k}")
-        found = ids(listing).select("place", "id").distinct()
-        # the ids of a term's earlier pages are no news
-        new = found if read is None else found.join(ids(read).select((F.col("place") / 1000).cast("int").alias("t"), F.col("id").alias("known")).distinct(), (F.col("id") == F.col("known")) & ((F.col("place") / 1000).cast("int") == F.col("t")), "left_anti")
-        brought = {r["place"] // 1000 for r in new.groupBy("place").agg(F.count("*").alias("n")).collect()}
-        ended = {r["place"] // 1000 for r in last(listing).select("place").distinct().collect()} if last else set()
-        read = listing if read is None else read.unionByName(listing)
-        going = {i: t for i, t in going.items() if i in brought and i not in ended}
-    return read
-
-
 def _offers(v: Visit, ids: DataFrame, address: str, name: str) -> DataFrame:
     head, tail = address.split("{id}")
     return v.pages(ids.withColumn("path", F.concat(F.lit(head), "id", F.lit(tail))), f"{name}-offers")
 
 
-def occ(v: Visit) -> Iterator[DataFrame]:
-    def ids(pages: DataFrame) -> DataFrame:
-        return pages.select("place", F.posexplode(F.regexp_extract_all("payload", F.lit(r"/empleo/oferta/(\d+)"), 1)).alias("pos", "id"))
+def _place() -> Column:
+    """Where a listing has an entry: by term, page and place on the page."""
+    return F.struct((F.col("term") * 1000 + F.col("page")).cast("bigint").alias("place"), "pos")
+
 
-    listings = _paged(v, "occ", lambda t, k: OCC.format(term=t) + (f"?page={k}" if k > 1 else ""), ids)
-    if listings is None:
-        return
-    once = v.keep(ids(listings).groupBy("id").agg(F.min(F.struct("place", "pos")).alias("at")), "occ-ids")
+def occ(v: Visit) -> Iterator[DataFrame]:
+    """Ids once over all terms, then the offers, which alone have titles."""
+    once = v.keep(v.listing("occ", v.terms).groupBy("id").agg(F.min(_place()).alias("at")), "occ-ids")
     offers = _offers(v, once, OCC_OFFER, "occ").withColumn("j", P._json("payload", P.OCC_DETAIL)["o"]).where("j IS NOT NULL")
     title = X.clean(F.replace(F.coalesce("j.t", F.lit("")), F.lit("**"), F.lit("")))
     found = offers.select(
@@ -145,17 +140,10 @@ def occ(v: Visit) -> Iterator[DataFrame]:
 
 def computrabajo(v: Visit) -> Iterator[DataFrame]:
     """Cards are judged by their title before their offer is fetched."""
-
-    def cards(pages: DataFrame) -> DataFrame:
-        return P.computrabajo_cards(pages.withColumn("path", F.col("place")), v.now, COMPUTRABAJO_END).withColumnsRenamed({"path": "place", "source_job_id": "id"})
-
-    listings = _paged(
-        v, "computrabajo", lambda t, k: COMPUTRABAJO.format(term=t) + (f"?p={k}" if k > 1 else ""), cards, lambda pages: pages.where(F.contains("payload", F.lit(COMPUTRABAJO_END)))
-    )
-    if listings is None:
-        return
-    wanted = cards(listings).where((F.col("title") != "") & ~v.rejected(F.col("title"), F.col("company")))
+    listed = v.listing("computrabajo", v.terms)
     at = F.struct("place", "pos")
+    cards = P.computrabajo_cards(listed.select(_place().alias("path"), F.col("item").alias("payload")), v.now).select("path.place", "path.pos", F.col("source_job_id").alias("id"), "title", "company", "url", "given_age")
+    wanted = cards.where((F.col("title") != "") & ~v.rejected(F.col("title"), F.col("company")))
     once = v.keep(wanted.groupBy("id").agg(*[F.min_by(c, at).alias(c) for c in ("place", "pos", "title", "company", "url", "given_age")]), "computrabajo-cards")
     offers = _offers(v, once.select("id"), COMPUTRABAJO_OFFER, "computrabajo").select("id", X.html_text(P._json("payload", P.OCC_DETAIL)["o"]["ld"]).alias("text"))
     found = once.join(offers, "id", "left").select(

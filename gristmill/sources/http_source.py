@@ -2,6 +2,11 @@
 
     spark.dataSource.register(HttpPages)
     spark.read.format("http_pages").option("urls", json.dumps([...])).option("maxPages", 5).load()
+    spark.readStream.format("http_pages").option("urls", json.dumps([...])).option("perBatch", 20).load()
+
+As a stream it visits the addresses in their order, ``perBatch`` of them in a micro-batch, and then waits for more; its
+offset is how many it has visited, so a query that starts again from its checkpoint fetches none twice, and one that is
+given a longer list goes on with what is new.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 RETRIES = 4
 LONGEST_PAUSE = 20.0
@@ -86,6 +91,30 @@ class _Reader(DataSourceReader):
             yield partition.url, body
 
 
+class _StreamReader(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self._pages = _Reader(options)
+        self._per_batch = int(options.get("perBatch", 20))
+        self._done = 0
+
+    def initialOffset(self) -> dict:
+        return {"visited": 0}
+
+    def latestOffset(self) -> dict:
+        # a batch ends where the last one that was planned ended, or a batch later
+        return {"visited": min(len(self._pages.urls), self._done + self._per_batch)}
+
+    def partitions(self, start: dict, end: dict):
+        self._done = max(self._done, end["visited"])
+        return [Page(u) for u in self._pages.urls[start["visited"] : end["visited"]]]
+
+    def commit(self, end: dict) -> None:
+        self._done = max(self._done, end["visited"])
+
+    def read(self, partition):
+        return self._pages.read(partition)
+
+
 class HttpPages(DataSource):
     @classmethod
     def name(cls):
@@ -96,3 +125,6 @@ class HttpPages(DataSource):
 
     def reader(self, schema):
         return _Reader(self.options)
+
+    def streamReader(self, schema):
+        return _StreamReader(self.options)

@@ -1,9 +1,15 @@
 import json
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.sources import boards as B
+from gristmill.sources import http_source as H
+from gristmill.sources import listing_source as L
 from gristmill.sources.registry import Registry, result_rows
 
 
@@ -51,9 +57,32 @@ WEB = {
 
 
 @pytest.fixture
-def web(spark, tmp_path):
+def relay():
+    """A server of captured pages and what it was asked for: /u/<quoted address>."""
+    asked, pages = [], dict(WEB)
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            url = unquote(self.path.removeprefix("/u/"))
+            asked.append(url)
+            body = pages.get(url)
+            self.send_response(404 if body is None else 200)
+            self.end_headers()
+            self.wfile.write((body or "").encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/u/", asked, pages
+    server.shutdown()
+
+
+@pytest.fixture
+def web(spark, tmp_path, relay):
     captured = spark.createDataFrame([*WEB.items()], "path string, payload string")
-    asked = []
+    via, asked, _ = relay
 
     def fetch(pages):
         asked.extend(r["path"] for r in pages.select("path").collect())
@@ -67,6 +96,7 @@ def web(spark, tmp_path):
     visit = B.Visit(
         spark, fetch, keep, F.lit("2024-06-30 12:00:00").cast("timestamp"), ["data", "big data"], ["data", "big data"],
         rejected=lambda title, company: F.contains(F.lower(title), F.lit("sales")), companies={"greenhouse": ["gh", "gone"], "lever": ["big-co"]},
+        unwanted_titles=("sales",), unwanted_companies=("blocked",), listing_options={"via": via},
     )
     return visit, asked, keep
 
@@ -94,6 +124,74 @@ def test_all_boards(spark, web):
     assert got["remotojob"][0][1] == "Big data" and [r[1] for r in got["weremoto"]] == ["Data"]
 
 
+def listing(spark, via, board, terms, **options):
+    spark.dataSource.register(L.BoardListing)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("board_listing").options(board=board, terms=json.dumps(terms), via=via, **options).load()
+
+
+def test_a_listing_pages_in_its_tasks_and_takes_the_title_rule(spark, relay):
+    via, asked, pages = relay
+    pages[B.COMPUTRABAJO.format(term="x")] = card(1, "Data <b>A</b>") + card(2, "SALES lead") + card(3, "Data", "Blocked Co")
+    pages[B.COMPUTRABAJO.format(term="x") + "?p=2"] = card(3, "Data", "Blocked Co") + card(4, "Data &amp; more")
+    pages[B.COMPUTRABAJO.format(term="x") + "?p=3"] = card(4, "Data")
+    rows = listing(spark, via, "computrabajo", ["x", "none"])
+    assert rows.rdd.getNumPartitions() == 2
+    unwanted = ~F.contains("title_low", F.lit("sales")) & ~F.contains("company_low", F.lit("blocked"))
+    kept = rows.where(unwanted)
+    assert "sales" not in kept._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]  # no filter is left for Spark
+    asked.clear()
+    got = sorted(kept.collect(), key=lambda r: (r["page"], r["pos"]))
+    assert [(r["id"], r["title"], r["page"], r["pos"]) for r in got] == [("1", "Data A", 1, 0), ("4", "Data & more", 2, 1)]
+    assert sorted(asked) == sorted([B.COMPUTRABAJO.format(term="x") + p for p in ("", "?p=2", "?p=3")] + [B.COMPUTRABAJO.format(term="none")])
+    assert rows.where(F.col("page") == 2).count() == 1 and listing(spark, via, "computrabajo", ["x"], maxPages="1").count() == 3
+    # what the reader takes for the title is what the postings have
+    cards = B.P.computrabajo_cards(rows.select(F.col("id").alias("path"), F.col("item").alias("payload")), F.lit("2024-06-30 12:00:00").cast("timestamp"))
+    assert {(r["path"], r["title"], r["company"]) for r in cards.collect()} == {(r["id"], r["title"], r["company"]) for r in rows.collect()}
+
+
+def test_a_page_that_fails_ends_its_term_only(spark, relay):
+    via, asked, pages = relay
+    pages[B.OCC.format(term="y")] = "/empleo/oferta/1 /empleo/oferta/2"
+    rows = listing(spark, via, "occ", ["y", "data"])
+    assert sorted((r["term"], r["id"]) for r in rows.collect()) == [(0, "1"), (0, "2"), (1, "11"), (1, "12")]
+    assert listing(spark, via, "himalayas", [""]).count() == 2
+    pages[B.HIMALAYAS.format(size=100, offset=0)] = "{broken"
+    assert listing(spark, via, "himalayas", [""]).count() == 0
+
+
+def test_a_pushed_title_saves_its_offer(spark, web):
+    visit, asked, keep = web
+    visit.rejected = lambda title, company: F.lit(False)  # nothing but what is pushed rejects
+    (rows,) = B.computrabajo(visit)
+    assert [r["title"] for r in rows.collect()] == ["Data"] and B.COMPUTRABAJO_OFFER.format(id=2) not in asked
+    visit.unwanted_titles = ()
+    (rows,) = B.computrabajo(visit)
+    assert sorted(r["title"] for r in rows.collect()) == ["Data", "Sales"] and B.COMPUTRABAJO_OFFER.format(id=2) in asked
+
+
+def test_a_stream_of_pages_fetches_none_twice(spark, relay, tmp_path):
+    via, asked, pages = relay
+    urls = [f"{via}p{k}" for k in range(5)]
+    pages.update({f"p{k}": f"page {k}" for k in range(8)})
+    spark.dataSource.register(H.HttpPages)
+
+    def visit(urls, want):
+        found = spark.readStream.format("http_pages").option("urls", json.dumps(urls)).option("perBatch", 2).load()
+        q = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+        try:
+            deadline = time.time() + 90
+            while time.time() < deadline and sum(p["numInputRows"] for p in q.recentProgress) < want:
+                time.sleep(0.3)
+        finally:
+            q.stop()
+        return sorted(r["payload"] for r in spark.read.schema("path string, payload string").parquet(str(tmp_path / "out")).collect())
+
+    assert visit(urls, 5) == [f"page {k}" for k in range(5)]
+    assert visit(urls + [f"{via}p{k}" for k in (5, 6, 7)], 3) == [f"page {k}" for k in range(8)]
+    assert sorted(asked) == [f"p{k}" for k in range(8)]
+
+
 def test_rows_before_an_error_are_kept(spark, tmp_path):
     def put(rows, name):
         rows.write.parquet(str(tmp_path / name))
