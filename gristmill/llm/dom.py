@@ -38,6 +38,8 @@ class Node:
     attributes: str = ""
     parent: Node | None = None
     children: list[Node | str] = field(default_factory=list)
+    #: What opening an element in here would close, by kind of element; looked up once for each.
+    closes: dict | None = None
 
     def attribute(self, name: str) -> str | None:
         if name not in self.attributes.lower():
@@ -118,15 +120,23 @@ def _implied(at: Node, tag: str) -> Node:
     ends = _CLOSES.get(tag)
     if not ends:
         return at
-    node, stop = at, _SCOPES.get(tag, _P_SCOPE)
-    found = None
-    while node.parent is not None and node.tag not in stop:
-        if node.tag in ends:
-            found = node
-        node = node.parent
+    found = _closed_by(at, ends, _SCOPES.get(tag, _P_SCOPE))
     return found.parent if found is not None else at
 
 
+def _closed_by(at: Node, ends: frozenset[str], stop: frozenset[str]) -> Node | None:
+    """The outermost open element of ``ends`` inside the scope. A node remembers it, so depth costs nothing twice."""
+    kind, path, node = (ends, stop), [], at
+    while node.parent is not None and node.tag not in stop and kind not in (node.closes or ()):
+        path.append(node)
+        node = node.parent
+    found = (node.closes or {}).get(kind)
+    for node in reversed(path):
+        found = found or (node if node.tag in ends else None)
+        node.closes = {**(node.closes or {}), kind: found}
+    return found
+
+
 @dataclass(slots=True)
 class Shape:
     """A block tree for matching: tag, number of the node in page order, digest of its own text, children."""

@@ -46,9 +46,10 @@ BROADCAST_BYTES = 16 << 20
 DEALT = 16
 
 #: Elements and roles that are never main text, fixed values.
-_OFF_TAGS = frozenset("nav footer aside form button dialog menu head search fieldset label".split())
+_OFF_TAGS = frozenset("nav footer aside form button dialog menu head search fieldset".split())
 _OFF_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog status menu menubar form toolbar".split())
-#: Words in a class or id that say what an element is, fixed values.
+#: Words that say what an element is, fixed values: a class or id names it as a whole, or by the last word of a compound
+#: name that is more than a box.
 _OFF_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements adbox adslot adsbygoogle sponsor sponsored sponsors promo promos promotion banner "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall disclaimer "
@@ -56,25 +57,56 @@ _OFF_WORDS = frozenset(
     "share sharing social menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer toolbar topbar masthead skip".split()
 )
 _OFF_UNLESS_ARTICLE = frozenset({"header", "notice", "alert", "banner"})
-#: Words that speak of the layout around an element and not of the element.
+#: Last words of compound names that say no more than that something is a box, a list or a text, fixed values.
+_BOX_WORDS = frozenset(
+    "area bar block blocks box boxes button buttons card cards col column container content frame group holder icon icons inner item items "
+    "label layer left line link links list message outer panel placeholder region right row section sections slot slots text title top bottom "
+    "unit units view wrap wrapper zone".split()
+)
+#: First words that speak of the layout around an element and not of the element.
 _LAYOUT_WORDS = frozenset("has with no without".split())
 _ARTICLE_WORDS = frozenset("article entry post story content main body text".split())
+#: What a container of a single article is called, fixed values.
+_POST_NAMES = frozenset("article entry hentry post story".split())
+#: Words for what readers say and for adverts, which are no main text even where they are most of a page.
+_NEVER = frozenset("ad ads adv advert adverts advertisement advertisements sponsor sponsored comment comments commentlist respond reply replies disqus discussion".split())
+#: An element that is named as something else and holds more than this share of a page's text, and as many letters as an
+#: article has at least, is taken for its frame.
+MOST, ARTICLE_LETTERS = 0.5, 200
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _NONE_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
-def _class_words(node: Node) -> set[str]:
+def _names(node: Node) -> list[list[str]]:
+    """Class and id names of an element, each as its words in lower case."""
     named = " ".join(filter(None, (node.attribute("class"), node.attribute("id"))))
-    return {w.lower() for w in _WORDS.findall(named)} if named else set()
+    return [[w.lower() for w in _WORDS.findall(name)] for name in named.split()]
+
+
+def _called(words: list[str]) -> str:
+    """What a name calls its element: the last word that is more than a box ("site-footer", "comment-list")."""
+    words = [w for w in words if not w.isdigit()]
+    if words and words[0] in _LAYOUT_WORDS:
+        return ""
+    while len(words) > 1 and words[-1] in _BOX_WORDS:
+        words = words[:-1]
+    return words[-1] if words else ""
+
+
+def _class_words(node: Node) -> set[str]:
+    return {w for name in _names(node) for w in name}
 
 
-def _off(node: Node, inside: bool) -> bool:
-    """Whether an element says that it is something other than main text; ``inside`` an article or main element."""
+def _off(node: Node, inside: bool, most: bool) -> bool:
+    """Whether an element says that it is something other than main text.
+
+    ``inside``: it stands in an article or main element; ``most``: it holds most of the page's text.
+    """
     tag = node.tag
     if tag in _OFF_TAGS:
-        return tag != "form" or not _holds_article(node)
+        return tag == "head" or not (most and tag in ("form", "fieldset", "aside")) and (tag != "form" or not _holds_article(node))
     if tag == "header" and not inside:
-        return not _holds_article(node)
+        return not most and not _holds_article(node)
     if not node.attributes or tag in ("html", "body", "main"):
         return False
     lowered = node.attributes.lower()
@@ -84,15 +116,36 @@ def _off(node: Node, inside: bool) -> bool:
         return True
     if "style" in lowered and _NONE_SHOWN.search(node.attribute("style") or ""):
         return True
-    words = _class_words(node)
-    hit = set() if words & _LAYOUT_WORDS else words & _OFF_WORDS
-    if "header" in words and not inside:
+    called = {_called(name) for name in _names(node)}
+    hit = called & _OFF_WORDS
+    if "header" in called and not inside:
         hit = hit | {"header"}
-    if hit and words & _ARTICLE_WORDS:
+    if hit and _class_words(node) & _ARTICLE_WORDS:
         hit = hit - _OFF_UNLESS_ARTICLE
+    if most:
+        hit = hit & _NEVER
     return bool(hit) and not _holds_article(node)
 
 
+def _sizes(root: Node) -> dict[int, int]:
+    """Letters and digits, about, below each element, by its id."""
+    sizes: dict[int, int] = {}
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    while todo:
+        node, done = todo.pop()
+        if done:
+            sizes[id(node)] = sum(sizes[id(c)] if isinstance(c, Node) else len(c) - c.count(" ") - c.count("\n") for c in node.children)
+        else:
+            todo.append((node, True))
+            todo += [(c, False) for c in node.children if isinstance(c, Node)]
+    return sizes
+
+
+def _is_post(node: Node) -> bool:
+    """Whether an element is called a post and has its article as one of several children."""
+    return bool(node.attributes) and any(len(n) == 1 and n[0] in _POST_NAMES for n in _names(node)) and sum(c.tag == "article" for c in node.children if isinstance(c, Node)) == 1
+
+
 def _holds_article(node: Node) -> bool:
     todo = [c for c in node.children if isinstance(c, Node)]
     while todo:
@@ -113,7 +166,13 @@ class Page:
         self.region: list[tuple[int, ...]] = []  # of each block, the article or main elements around it
         self.regions: list[str] = []
         self._count = 0
-        self.shape = self._walk(parse(source or ""))
+        root = parse(source or "")
+        self._sizes = _sizes(root)
+        self._all = max(1, self._sizes[id(root)])
+        self.shape = self._walk(root)
+
+    def _most(self, node: Node) -> bool:
+        return self._sizes[id(node)] > max(MOST * self._all, ARTICLE_LETTERS)
 
     def _walk(self, root: Node) -> Shape:
         run: list[str] = []
@@ -159,13 +218,13 @@ class Page:
             elif child.tag in BLOCKS or child.tag == "head":
                 flush(frame[2], frame[3], frame[4])
                 region = frame[4]
-                off = frame[3] or _off(child, bool(region))
-                if not off and (child.tag in ("article", "main") or child.attribute("itemprop") == "articleBody" or child.attribute("role") == "main"):
+                off = frame[3] or _off(child, bool(region), self._most(child))
+                if not off and (child.tag in ("article", "main") or child.attribute("itemprop") == "articleBody" or child.attribute("role") == "main" or _is_post(child)):
                     self.regions.append("main" if child.tag == "main" or child.attribute("role") == "main" else "article")
                     region = (*region, len(self.regions) - 1)
                 stack.append(open_(child, off, region))
             else:
-                off = frame[3] or _off(child, bool(frame[4]))
+                off = frame[3] or _off(child, bool(frame[4]), self._most(child))
                 if off != frame[3]:
                     flush(frame[2], frame[3], frame[4])
                 inline.append((frame, iter(child.children), frame[3]))

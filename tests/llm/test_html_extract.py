@@ -1,5 +1,9 @@
 import random
+import time
 
+import pytest
+
+from gristmill.llm import dom
 from gristmill.llm import html_extract as H
 from gristmill.llm.dom import Shape, parse, simple_tree_match
 
@@ -135,3 +139,44 @@ def test_repeated_rows_and_long_pages(spark):
     rows = [(1, "http://l.example.com/", long)] * 3 + [(2, "http://l.example.com/", "<p>one</p>")]
     got = sorted((r["page_id"], len(r["text"])) for r in H.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
     assert len(got) == 4 and got[0] == got[1] == got[2] and got[0][1] > 2_000_000
+
+
+LONG = "Real words of the article, of which there are many more than of anything else on this page. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><form action='x'><div>{LONG}</div><p>more</p></form></body>", [LONG.strip(), "more"]),  # one form around the page
+        (f"<div class='content comments-open'><p>{LONG}</p></div>", [LONG.strip()]),
+        (f"<div class='body-text skip-lines'><p>{LONG}</p></div>", [LONG.strip()]),
+        ("<p>a</p><div class='social-history'>of the town</div>", ["a", "of the town"]),
+        ("<p>a</p><div id='related-work'>of others</div>", ["a", "of others"]),
+        ("<p>a</p><div class='promotion-rules'>of the league</div>", ["a", "of the league"]),
+        ("<div class='post'><p>before</p><article><p>the text</p></article><p>after</p></div><div>else</div>", ["before", "the text", "after"]),
+        ("<article><p>a</p><label>named</label></article>", ["a", "named"]),
+        (f"<aside class='sidebar'>{LONG}</aside>", [LONG.strip()]),  # a frame that is called something else
+        (f"<p>a</p><div class='comment-list'>{LONG}</div>", ["a"]),  # readers say more than the article does
+        ("<p>a</p><div class='site-footer'>f</div><div id='cookieBanner'>c</div><div class='related-links'>r</div><div class='ad-slot-3'>x</div><div class='nav-bar'>n</div>", ["a"]),
+        ("<p>a</p><form><label>Search</label></form>", ["a"]),
+    ],
+)
+def test_names_of_elements(page, want):
+    assert H.Page(page).main().split("\n\n") == want
+
+
+def test_open_elements_of_any_depth_cost_no_more(spark):
+    began = time.perf_counter()
+    deep = "<div>" * 40_000 + "deep" + "<p>x" * 1000
+    assert H.Page(deep).main().startswith("deep\n\nx")
+    assert time.perf_counter() - began < 20
+    assert [c.tag for c in dom.parse("<p>a<div>b</div>").children] == ["p", "div"]
+    assert [c.tag for c in dom.parse("<ul><li><p>a<li>b</ul>").children[0].children] == ["li", "li"]
+
+
+def test_empty_tables_nulls_and_clashing_columns(spark):
+    schema = "page_id bigint, url string, html string, host string, text string, deal int"
+    assert H.extract(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, None, None, "h", "t", 1), (2, "https://a/x", "<p>b</p>", "h", "t", 1), (None, None, "<p>c</p>", None, None, None), (2, "https://a/x", "<p>b</p>", "h", "t", 1)]
+    got = [(r["page_id"], r["url"], r["text"]) for r in H.extract(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(got, key=str) == sorted([(1, None, ""), (2, "https://a/x", "b"), (2, "https://a/x", "b"), (None, None, "c")], key=str)
