@@ -61,7 +61,7 @@ _OFF_UNLESS_ARTICLE = frozenset({"header", "notice", "alert", "banner"})
 _BOX_WORDS = frozenset(
     "area bar block blocks box boxes button buttons card cards col column container content frame group holder icon icons inner item items "
     "label layer left line link links list message outer panel placeholder region right row section sections slot slots text title top bottom "
-    "unit units view wrap wrapper zone".split()
+    "unit units view wrap wrapper zone thread threads posts stories articles pages topics".split()
 )
 #: First words that speak of the layout around an element and not of the element.
 _LAYOUT_WORDS = frozenset("has with no without".split())
