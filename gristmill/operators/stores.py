@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +72,36 @@ def read_appends(spark: SparkSession, path: str, schema: T.StructType | str) ->
     return rows
 
 
+def _closed(kind: str, word: str | None) -> None:
+    if word not in schemas.ENUMS[kind]:
+        raise ValueError(f"no such {kind}: {word!r}")
+
+
+def record(spark: SparkSession, root: str, log: str, entry: dict) -> int:
+    """Appends one entry to a log under the next free number, which it returns; two writers never get the same one."""
+    if not entry.get("signature"):
+        raise ValueError("an entry needs a signature")
+    path, schema = f"{root.rstrip('/')}/{log}", LOG_SCHEMAS[log]
+    seq = (read_appends(spark, path, schema).agg(F.max("seq")).first()[0] or 0) + 1
+    while not append_once(spark.createDataFrame([tuple({**entry, "seq": seq}.get(c) for c in schema.names)], schema), path, f"{seq:020d}"):
+        seq += 1
+    return seq
+
+
+def track(spark: SparkSession, root: str, signature: str, action: str, at: datetime) -> int:
+    """What the user did with a posting; any other action is refused before it reaches the log."""
+    _closed("action", action)
+    return record(spark, root, "tracking", {"signature": signature, "action": action, "tracked_at": at})
+
+
+def label(spark: SparkSession, root: str, signature: str, word: str, at: datetime, reason: str | None = None) -> int:
+    """What the user thinks of a posting's place in the list; the reason stays with bad ones only."""
+    _closed("label", word)
+    if reason is not None:
+        _closed("reason", reason)
+    return record(spark, root, "labels", {"signature": signature, "label": word, "reason": reason if word == "bad" else None, "labeled_at": at})
+
+
 def overwrite_by(rows: DataFrame, path: str, *partitions: str) -> None:
     """Replaces only the partitions that occur in ``rows``."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)

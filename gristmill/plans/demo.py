@@ -10,8 +10,6 @@ from gristmill.operators.rules import RuleSet
 NOW = "2024-06-30 12:00:00"
 TODAY = "2024-06-30"
 ZONE = "America/Mexico_City"
-#: The shared tables hold Latin text only, so normalising them needs no general folding.
-LATIN = False
 
 RULES = RuleSet(
     excluded_companies=("src13", "src7 "),

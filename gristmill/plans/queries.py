@@ -14,7 +14,7 @@ from gristmill.operators import fuzzy, gate, scoring, stores
 from gristmill.operators import rules as R
 from gristmill.plans import pipeline, views
 from gristmill.plans import sql as S
-from gristmill.plans.demo import JOBS_SQL, LATIN, NOW, RULES, TODAY, TRACK_SQL, ZONE, jobs, read, tracking
+from gristmill.plans.demo import JOBS_SQL, NOW, RULES, TODAY, TRACK_SQL, ZONE, jobs, read, tracking
 from gristmill.plans.stage import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,13 +44,13 @@ def _flat(column: str, name: str):
 
 @query(f"SELECT doc_id, sha1({S.normalize('text')}) AS norm_sha1, length({S.normalize('text')})::BIGINT AS norm_chars FROM documents")
 def normalize_text(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", X.normalize(F.col("text"), LATIN).alias("n"))
+    d = read(spark, sf, "documents").select("doc_id", X.normalize(F.col("text")).alias("n"))
     return d.select("doc_id", F.sha1("n").alias("norm_sha1"), F.char_length("n").cast("bigint").alias("norm_chars"))
 
 
 @query(f"WITH {JOBS_SQL} SELECT ord, sha1({S.normalize('company')} || '|' || {S.normalize('title')} || '|' || left({S.normalize('description')}, 400)) AS signature FROM jobs")
 def content_signature(spark, sf):
-    return jobs(spark, sf).select("ord", X.signature(F.col("company"), F.col("title"), F.col("description"), LATIN).alias("signature"))
+    return jobs(spark, sf).select("ord", X.signature(F.col("company"), F.col("title"), F.col("description")).alias("signature"))
 
 
 @query(r"SELECT doc_id, (length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 200) AS thin_description, length(trim(regexp_replace(text, '\s+', ' ', 'g')))::BIGINT AS clean_chars FROM documents")
@@ -124,14 +124,14 @@ def exact_dedup_first(spark, sf):
 
 @query()
 def fuzzy_dedup(spark, sf):
-    return fuzzy.duplicates(jobs(spark, sf), any_script=LATIN)
+    return fuzzy.duplicates(jobs(spark, sf))
 
 
 @query()
 def gate_full(spark, sf):
     t = tracking(spark, sf)
     cache = t.groupBy("signature").agg(F.to_date(F.max("tracked_at")).alias("last_seen"))
-    g = gate.gate(jobs(spark, sf), RULES, today=F.lit(TODAY).cast("date"), cache=cache, dismissed=stores.dismissed(t), any_script=LATIN)
+    g = gate.gate(jobs(spark, sf), RULES, today=F.lit(TODAY).cast("date"), cache=cache, dismissed=stores.dismissed(t))
     return g.select("ord", "signature", F.coalesce("reject_reason", F.lit("")).alias("reject_reason"))
 
 
@@ -562,7 +562,38 @@ def assemble_results(spark, sf):
 
 def flagship(spark, sf):
     """Gate, prefilter, cap and rank of all postings, with the best first."""
-    kept = gate.kept(gate.classify(gate.with_identity(jobs(spark, sf), LATIN), RULES))
+    kept = gate.kept(gate.classify(gate.with_identity(jobs(spark, sf)), RULES))
     p = scoring.prefilter(kept.drop("url"), RULES, stage(spark))
     ranked = scoring.rank(scoring.defer(p.where("disposition = 'selected'")), scoring.defer(p.where("disposition = 'deferred'")))
     return ranked.select("ord", "source", "signature", "final_score", "grade", "fit", (F.col("part") == 0).alias("in_cap"))
+
+
+_SHOWN_SOURCE = "CASE event_type WHEN 'view' THEN 'greenhouse' WHEN 'signup' THEN 'lever' ELSE 'occ' END"
+_BOX = f"box AS (SELECT signature, max(seq) AS seq, arg_max({_SHOWN_SOURCE}, seq) AS source, arg_max({S.grade('floor(value)')}, seq) AS grade FROM track GROUP BY signature)"
+
+
+@query(f"WITH {TRACK_SQL}, {_BOX}, app AS (SELECT signature, arg_max({_STATE}, seq) AS status FROM track WHERE value > 80 GROUP BY signature) SELECT signature, seq, source, grade FROM box WHERE source IN ('greenhouse', 'lever') AND grade <> 'D' AND signature NOT IN (SELECT signature FROM track WHERE event_type = 'purchase' AND value > 200) AND signature NOT IN (SELECT signature FROM app WHERE status <> 'failed')")
+def apply_eligible(spark, sf):
+    """Open entries whose board has a plain form and whose grade is above D, and that nothing was prepared for."""
+    t = tracking(spark, sf)
+    scored = F.struct(F.struct(F.expr(_SHOWN_SOURCE).alias("source")).alias("job"), R.grade(F.floor("value")).alias("grade"))
+    inbox = t.select("seq", "signature", F.col("tracked_at").alias("first_seen_at"), scored.alias("scored"))
+    resolved = t.where("event_type = 'purchase' AND value > 200").select("seq", "signature", "action")
+    applications = t.where("value > 80").select("seq", "signature", F.expr(_STATE).alias("status"))
+    out = stores.apply_candidates(inbox, resolved, applications)
+    return out.select("signature", "seq", F.col("scored.job.source").alias("source"), F.col("scored.grade").alias("grade"))
+
+
+@query(f"WITH {JOBS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source, company ORDER BY ord) AS r FROM jobs) SELECT ord, source, company, md5(title) AS title_md5 FROM r WHERE r = 1")
+def first_per_company(spark, sf):
+    """The first posting of each company on each board, in arrival order."""
+    rows = jobs(spark, sf).select("ord", "source", "company", "title")
+    return gate.first_per_key(rows, ["source", "company"]).select("ord", "source", "company", F.md5("title").alias("title_md5"))
+
+
+@query("WITH r AS (SELECT count(*) FILTER (WHERE quality = 1) AS good, count(*) AS total FROM labels), f AS (SELECT CASE WHEN toxic = 1 THEN 'toxic' ELSE 'unspecified' END AS reason, count(*) AS n FROM labels WHERE quality <> 1 GROUP BY ALL) SELECT 0 AS section, 0::BIGINT AS rank, 'precision: ' || round(100.0 * good / total)::INT || '% (' || good || '/' || total || ')' AS line FROM r UNION ALL SELECT 1, -n::BIGINT, '  ' || reason || ': ' || n FROM f")
+def report_lines(spark, sf):
+    """The precision report of the labels as rows of text."""
+    word, why = F.when(F.col("quality") == 1, "good").otherwise("bad"), F.when((F.col("quality") != 1) & (F.col("toxic") == 1), "toxic")
+    log = read(spark, sf, "labels").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("signature"), word.alias("label"), why.alias("reason"))
+    return views.report_lines(stores.precision_report(log), stores.false_positive_reasons(log))

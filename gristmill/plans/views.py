@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gristmill.functions.dates import UNKNOWN_AGE
 from gristmill.operators import stores as S
+from gristmill.plans.stage import stage
+
+#: Bits of monotonically_increasing_id for the place in a partition; the number of the partition is above them.
+_IN_PARTITION = 33
 
 
 def age_label(days: Column) -> Column:
@@ -36,8 +41,18 @@ def inbox(entries: DataFrame, tracking: DataFrame, now: Column, zone: str) -> Da
 
 
 def with_places(listed: DataFrame, *columns: str) -> DataFrame:
-    """The places of a listing, from 1. For listings that are shown; places run through all of them in one task."""
-    return listed.select(*columns).withColumn("place", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("place")).cast("bigint"))
+    """The places of an ordered listing, from 1, whatever its size.
+
+    The ordering has dealt it by range, so a row's place is its place inside its partition and what the partitions before
+    hold: one number for each of them. It is written once, so that both are of the same partitions.
+    """
+    put = stage(listed.sparkSession, "places")
+    told = put(listed.select(*columns).withColumn("_at", F.monotonically_increasing_id()), "listed")
+    part, inside = F.shiftright("_at", _IN_PARTITION), F.col("_at").bitwiseAND((1 << _IN_PARTITION) - 1)
+    sizes = sorted((r["part"], r["n"]) for r in told.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = list(zip((p for p, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
+    first = F.broadcast(listed.sparkSession.createDataFrame(before, "_part bigint, _first bigint"))  # one row per partition
+    return told.join(first, part == F.col("_part")).select(*columns, (F.col("_first") + inside + 1).alias("place"))
 
 
 def applications(log: DataFrame) -> DataFrame:
@@ -69,12 +84,29 @@ def label_entry(label: Column, reason: Column) -> Column:
     return F.when(label == "bad", reason)
 
 
+def report_lines(report: DataFrame, reasons: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """The precision report as rows (section, rank, line), for a table as for a terminal."""
+    share = lambda c: F.concat(F.round(F.col(c) * 100).cast("int").cast("string"), F.lit("%"))
+    head = report.select(
+        F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("rank"),
+        F.when(F.col("precision").isNull(), "no labels yet").otherwise(F.concat(F.lit("precision: "), share("precision"), F.format_string(" (%d/%d)", "good", "total_labeled"))).alias("line"),
+    )
+    rest = reasons.select(F.lit(1).alias("section"), (-F.col("n")).alias("rank"), F.format_string("  %s: %d", "reason", "n").alias("line"))
+    out = head.unionByName(rest)
+    if baseline is not None:
+        both = report.select("precision").join(F.broadcast(baseline.select(F.col("precision").alias("then"))))  # one row each
+        change = F.round((F.col("precision") - F.col("then")) * 100).cast("int")
+        text = F.concat(F.lit("baseline "), share("then"), F.lit(", change "), F.when(change >= 0, "+").otherwise(""), change.cast("string"), F.lit("%"))
+        out = out.unionByName(both.where("precision IS NOT NULL AND then IS NOT NULL").select(F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("rank"), text.alias("line")))
+    return out
+
+
 def report_text(report: dict, reasons: list[tuple[str, int]], baseline: dict | None = None) -> str:
-    """The precision report as lines, reasons by number."""
-    if report["precision"] is None:
+    """What a terminal shows of a report that is on the driver."""
+    if not report.get("total_labeled") and report["precision"] is None:
         return "no labels yet"
-    lines = [f"precision: {report['precision']:.0%} ({report['good']}/{report['total_labeled']})"]
-    lines += [f"  {reason}: {n}" for reason, n in sorted(reasons, key=lambda r: (-r[1], r[0]))]
-    if baseline and baseline["precision"] is not None:
-        lines.append(f"baseline {baseline['precision']:.0%}, change {report['precision'] - baseline['precision']:+.0%}")
-    return "\n".join(lines)
+    told = [f"precision: {report['precision']:.0%} ({report['good']}/{report['total_labeled']})"]
+    for reason, n in sorted(reasons, key=lambda r: (-r[1], r[0])):
+        told.append(f"  {reason}: {n}")
+    then = (baseline or {}).get("precision")
+    return "\n".join(told if then is None else [*told, f"baseline {then:.0%}, change {report['precision'] - then:+.0%}"])

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gristmill import schemas
@@ -127,3 +128,27 @@ def test_the_first_report_with_labels_is_the_baseline(spark, tmp_path):
     assert S.report_against(labels(1, 1), path).first()["delta"] == -0.5
     reasons = spark.createDataFrame([("bad", "b"), ("bad", "b"), ("bad", "a"), ("bad", None)], "label string, reason string")
     assert [(r["reason"], r["n"]) for r in S.false_positive_reasons(reasons).collect()] == [("b", 2), ("a", 1), ("unspecified", 1)]
+
+
+def test_entries_of_users_are_closed_and_numbered(spark, tmp_path):
+    root, at = str(tmp_path), dt.datetime(2024, 6, 30, 12)
+    assert [S.track(spark, root, "a", "applied", at), S.track(spark, root, "b", "applied", at), S.track(spark, root, "a", "dismissed", at)] == [1, 2, 3]
+    for bad in (("a", "liked"), ("", "applied"), ("a", None)):
+        with pytest.raises(ValueError):
+            S.track(spark, root, *bad, at)
+    with pytest.raises(ValueError):
+        S.label(spark, root, "a", "bad", at, "a reason of my own")
+    log = S.read_appends(spark, f"{root}/tracking", S.LOG_SCHEMAS["tracking"])
+    assert {(r["signature"], r["action"]) for r in S.latest(log).collect()} == {("a", "dismissed"), ("b", "applied")}
+    assert S.label(spark, root, "a", "bad", at, "english") == 1 and S.label(spark, root, "b", "good", at, "english") == 2
+    labels = S.read_appends(spark, f"{root}/labels", S.LOG_SCHEMAS["labels"]).orderBy("seq").collect()
+    assert [(r["label"], r["reason"]) for r in labels] == [("bad", "english"), ("good", None)]
+
+
+def test_two_writers_never_take_one_number(spark, tmp_path, monkeypatch):
+    root, at, real = str(tmp_path), dt.datetime(2024, 6, 30), S.read_appends
+    S.track(spark, root, "a", "applied", at)
+    with monkeypatch.context() as m:  # the other writer has not seen the first entry
+        m.setattr(S, "read_appends", lambda spark, path, schema: real(spark, path + "-none", schema))
+        assert S.track(spark, root, "b", "applied", at) == 2
+    assert S.committed(spark, f"{root}/tracking") == {f"{1:020d}", f"{2:020d}"}
