@@ -30,8 +30,47 @@ from gristmill.llm.common import table
 #: Phrases of the base result, fixed values.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
+#: SPDX identifiers by label, fixed values; each is a template as a file header and, where it has three words, by itself.
+SPDX = {
+    "mit": ("MIT", "MIT-0"), "apache-2.0": ("Apache-2.0",), "bsd": ("BSD-2-Clause", "BSD-3-Clause", "0BSD"), "isc": ("ISC",), "zlib": ("Zlib",), "bsl-1.0": ("BSL-1.0",),
+    "mpl-2.0": ("MPL-2.0",), "unlicense": ("Unlicense",), "cc0": ("CC0-1.0",), "cc-by": ("CC-BY-4.0", "CC-BY-3.0"), "cc-by-sa": ("CC-BY-SA-4.0", "CC-BY-SA-3.0"), "cc-by-nc": ("CC-BY-NC-4.0",),
+    "gpl": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0", "GPL-3.0"), "lgpl": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "agpl": ("AGPL-3.0-only", "AGPL-3.0-or-later"), "epl-2.0": ("EPL-2.0",),
+}
+
+#: Paragraphs of public licence texts, fixed values.
+PARAGRAPHS = (
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("isc", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("bsl-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software'),
+    ("apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("gpl", "either version 2 of the License, or (at your option) any later version. GNU General Public License"),
+    ("lgpl", "See the GNU Lesser General Public License for more details."),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+)
+
 #: (label, notice). Short forms of public licence notices.
-TEMPLATES = (
+NOTICES = (
+    ("mit", "licensed under the terms of the MIT license"),
+    ("mit", "under the MIT license"),
+    ("gpl", "GNU GPL v3"),
+    ("gpl", "GNU GPL v2"),
+    ("gpl", "GNU GPL version 3"),
+    ("gpl", "GNU GPL version 2"),
+    ("lgpl", "GNU LGPL v3"),
+    ("agpl", "GNU AGPL v3"),
     ("reserved", "All rights reserved."),
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -54,6 +93,11 @@ TEMPLATES = (
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+
+def _spdx() -> tuple[tuple[str, str], ...]:
+    named = [(label, name) for label, names in SPDX.items() for name in names]
+    return tuple((label, f"SPDX-License-Identifier: {name}") for label, name in named) + tuple((label, name) for label, name in named if len(words_of(name)) >= LEAST)
+
 #: Shortest match that a chain may use, in tokens.
 LEAST = 3
 #: Tokens between two matches of a chain, at most.
@@ -70,6 +114,9 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(_PLAIN).split()
 
 
+TEMPLATES = NOTICES + PARAGRAPHS + _spdx()
+
+
 @dataclass
 class State:
     length: int

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from gristmill.llm import license_scan as L
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -117,3 +119,23 @@ def test_templates_are_found_with_small_changes(spark):
     assert L.scan_text(scanner, "the license of this work and the copy of that software")[5] == ""
     two = L.scan_text(scanner, "Released under the MIT License. " + "word " * 50 + "Released under the MIT License.")
     assert two[7].count("mit:") == 2
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("// SPDX-License-Identifier: MIT\nint x;", "mit"), ("# SPDX-License-Identifier: GPL-2.0-or-later", "gpl"), ("released as GNU GPL v3, see COPYING", "gpl"), ("License: Apache-2.0.", "apache-2.0"),
+        ("It is licensed under the terms of the MIT license.", "mit"), ("Distributed under the Boost Software License, Version 1.0. (See file)", "bsl-1.0"),
+        ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.', "mit"),
+        ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "bsd"),
+    ],
+)
+def test_notices_headers_and_paragraphs(spark, text, label):
+    (row,) = L.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert label in row["labels"].split(",")
+
+
+def test_words_that_licences_share_are_no_licence(spark):
+    texts = ["The MIT campus is open to any person.", "Apache 2 helicopters flew", "the above copyright office", "software for any purpose you like", "without any warranty that it will rain", "spdx license identifiers are short"]
+    rows = L.scan(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string")).collect()
+    assert {r["labels"] for r in rows} == {""}
