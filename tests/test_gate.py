@@ -130,3 +130,22 @@ def test_greedy_dedup_whatever_the_partitions(spark, parts):
     frame = spark.createDataFrame(rows, "ord bigint, company string, description string").repartition(parts)
     got = [r["ord"] for r in fuzzy.duplicates(frame).collect()]
     assert Counter(got) == Counter(greedy(rows)) and got
+
+
+@pytest.mark.parametrize("at_once", [0, 3, 1000])
+def test_first_wins_by_company_in_one_pass_or_in_rounds(spark, tmp_path, at_once):
+    rng = random.Random(at_once)
+    chain = [("chain", k, k + 1) for k in range(12)]  # every second one stays
+    pairs = sorted({("a" if k % 2 else "b", u, v) for k in range(60) for u, v in [sorted(rng.sample(range(100 * (k % 2), 100 * (k % 2) + 30), 2))]}) + [(b, 1000 + u, 1000 + v) for b, u, v in chain]
+    gone = set()
+    for _, u, v in sorted(pairs, key=lambda p: (p[2], p[1])):
+        if u not in gone:
+            gone.add(v)
+
+    def put(rows, name):
+        place = str(tmp_path / f"{len(list(tmp_path.iterdir()))}-{name}")
+        rows.write.parquet(place)
+        return spark.read.schema(rows.schema).parquet(place)
+
+    frame = spark.createDataFrame(pairs + pairs[:5], "block string, u bigint, v bigint")
+    assert sorted(r["ord"] for r in fuzzy.first_wins(frame, put, at_once).collect()) == sorted(gone)
