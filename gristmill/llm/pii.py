@@ -61,6 +61,10 @@ _LOOSE_SECRET = re.compile(r"(?<![0-9A-Za-z_+/=.-])[0-9A-Za-z_+/=.-]{16,}(?![0-9
 #: What no plain word has: a digit, or a capital behind a small letter.
 _MIXED = re.compile(r"[0-9]|[a-z][A-Z]")
 _ASSIGNED = re.compile(r"(?i)(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|key|auth|bearer)\W{0,3}[=:\s]\W{0,3}$")
+#: What a hash of something public stands behind.
+_PUBLIC = re.compile(r"(?i)(?:\b(?:commit|sha-?\d*|md5|rev|revision|checksum|digest|etag|uuid|blob|tree)\W{0,3}|://|//)[\w./-]*$")
+#: A short value that a name for a secret is given; longer ones are proposed whatever stands before them.
+_NAMED_SECRET = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key)[\"']?[\x20]?[:=][\x20]?[\"']?([^\s\"',;<>()]{6,15})(?![^\s\"',;<>().])")
 _CUES = re.compile(r"(?i)\b(?:token|secret|password|key|mail|e-mail|phone|tel|call|card|visa|ip|address|host)\b")
 
 
@@ -131,6 +135,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         for m in _LOOSE_NUMBER.finditer(text):
             found += [("card", m.start(), m.end()), ("phone", m.start(), m.end())]
     found += [("secret", m.start(), m.end()) for m in _LOOSE_SECRET.finditer(text) if _MIXED.search(m[0])]
+    if ":" in text or "=" in text:
+        found += [("secret", m.start(1), m.end(1)) for m in _NAMED_SECRET.finditer(text) if _DIGITS.search(m[1])]
     return found
 
 
@@ -173,6 +179,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(bool(_ASSIGNED.search(before))),
         float(bool(_CUES.search(before))),
         float(before[-1:] in "\"'=:"),
+        float(bool(_PUBLIC.search(before)) or span.startswith("//")),
+        float(max(map(len, re.findall("[a-z]+", span)), default=0)) / n,
     ]
 
 
@@ -202,6 +210,7 @@ def _made_up(rng: random.Random, kind: str) -> str:
     n = rng.choice((20, 24, 32, 40, 48, 64, 88, 200, 600))
     return rng.choice(
         (
+            "AKIA" + _some(rng, _LOWER.upper() + "0123456789", 16, 16),
             _some(rng, _HEX, n, n),
             _some(rng, _HEX, n, n).upper(),
             _some(rng, _ALL, n, n),
@@ -226,8 +235,11 @@ def _decoy(rng: random.Random, kind: str, words: list[str]) -> str:
                 return rng.choice((digits, "-".join(digits[i : i + 4] for i in range(0, len(digits), 4))))
     if kind == "phone":
         return rng.choice((f"{rng.randint(1950, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", _some(rng, "0123456789", 7, 16), f"{rng.randint(1, 9)}.{_some(rng, '0123456789', 9, 14)}", f"{rng.randint(100, 999)}.{rng.randint(100, 999)}.{rng.randint(100, 999)}", f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}"))
+    n = rng.choice((16, 20, 32, 40, 64))
     return rng.choice(
         (
+            f"http://{word()}.{rng.choice(('com', 'org'))}/{_some(rng, _HEX, n, n)}", f"https://{word()}.{word()}.net/{word()}/{_some(rng, _ALL, 16, 24)}",
+            "".join(word().capitalize() for _ in range(rng.randint(3, 6))), "".join(word()[:9].capitalize() for _ in range(rng.randint(4, 8))), word().lower() + "".join(word().capitalize() for _ in range(rng.randint(2, 5))) + rng.choice(("", "2", "Test")),
             "-".join([word(), word(), word(), str(rng.randint(1, 99))]), "/".join([word(), word(), word(), f"{word()}{rng.randint(1, 9)}.html"]), f"{word()}{word()}{word()}{rng.randint(1, 2030)}",
             _some(rng, "0123456789", 16, 22), "=" * rng.randint(16, 40) + "1", f"www.{word()}.{word()}/{word()}/{rng.randint(1, 9999)}", f"{word()}_{word()}_v{rng.randint(1, 30)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}.{word()}",
         )
@@ -240,14 +252,31 @@ _CUE_WORDS = {
 }
 
 
+#: What stands before a public hash, and before a short secret.
+_PUBLIC_WORDS = ("commit ", "sha256: ", "sha1 ", "md5: ", "rev ", "checksum ", "digest: ")
+_NAMES = ("password: ", "password=", 'secret = "', "pwd=", "token: ", "api_key=")
+
+
+def _planted(rng: random.Random, kind: str, personal: int, words: list[str]) -> tuple[str, str]:
+    """(cue, span) of an example."""
+    if kind == "secret" and personal and rng.random() < 0.3:
+        short = rng.choice((rng.choice(words)[:8].lower() + _some(rng, "0123456789!#", 1, 4), _some(rng, _ALL + "!#%", 7, 15)))
+        return rng.choice(_NAMES), short if _DIGITS.search(short) else short[:-1] + "7"
+    if kind == "secret" and not personal and rng.random() < 0.25:
+        n = rng.choice((16, 20, 32, 40, 64))
+        return rng.choice(_PUBLIC_WORDS), _some(rng, _HEX, n, n)  # only what stands before it tells it from a secret
+    span = _made_up(rng, kind) if personal else _decoy(rng, kind, words)
+    return rng.choice(_CUE_WORDS[kind]) if rng.random() < (0.5 if personal else 0.15) else "", span
+
+
 def examples(text: str) -> Iterator[tuple[list[float], int]]:
-    """(features, whether it is personal data of its kind) of candidates on what is planted: a made-up span and a decoy of each kind."""
+    """(features, whether it is personal data of its kind) of candidates on what is planted: made-up spans and decoys, two
+    of each kind but for addresses of hosts. The words of decoys are those of the whole text."""
     rng = random.Random(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
-    words = [w for w in re.findall(r"[^\W\d_]{3,}", text[:20_000])] or ["word"]
-    for kind in KINDS:
+    words = re.findall(r"[^\W\d_]{3,}", text) or ["word"]
+    for kind in (*KINDS, "email", "card", "phone", "secret"):
         for personal in (1, 0):
-            span = _made_up(rng, kind) if personal else _decoy(rng, kind, words)
-            cue = rng.choice(_CUE_WORDS[kind]) if rng.random() < (0.5 if personal else 0.15) else ""
+            cue, span = _planted(rng, kind, personal, words)
             at = rng.randint(0, len(text))
             at = text.find(" ", at) + 1 or len(text)  # between words
             before = text[max(0, at - BEFORE) : at]
