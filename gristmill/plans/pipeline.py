@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import model_output as M
 from gristmill.operators import gate as G
 from gristmill.operators import routing, scoring, stores
+from gristmill.operators.cache import SignatureCache
 from gristmill.operators.providers import Router
 from gristmill.operators.rules import RuleSet
 from gristmill.sources.payloads import arrival_order
@@ -287,10 +288,10 @@ def _run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str] |
         status(run, "success", dict.fromkeys(COUNTS, 0))
         return {"health": health}
     today = F.lit(run.today).cast("date")
-    cache = current_cache(run)
+    cache = signature_cache(run)
     gated = run.stage(
         "gated",
-        lambda: G.gate(jobs, run.rules, today=today, cache=cache, dismissed=stores.dismissed(run.log("tracking")), max_days_old=run.max_days_old),
+        lambda: G.gate(jobs, run.rules, today=today, cache=cache.last_seen() if cache.exists() else None, dismissed=stores.dismissed(run.log("tracking")), max_days_old=run.max_days_old),
     )
     kept = G.kept(gated)
     split = run.stage("prefiltered", lambda: scoring.prefilter(kept, run.rules, run.put))
@@ -298,27 +299,26 @@ def _run(run: Run, registry: Registry, evaluator: Callable[[list[dict]], str] |
     answers = answered(run, selected, evaluator)
     checked = scoring.validate(scoring.assemble(scoring.with_batches(selected), M.results(answers)), run.rules)
     ranked = run.stage("ranked", lambda: stores.mark_new(scoring.rank(checked, scoring.defer(split.where("disposition = 'deferred'"))), run.log("history")))
-    persist(run, ranked, gated, split, cache, today)
+    persist(run, ranked, gated, split, today)
     run.clear()
     return {"health": health, "gated": gated, "funnel": stores.funnel(gated), "ranked": ranked}
 
 
+def signature_cache(run: Run) -> SignatureCache:
+    return SignatureCache(run.spark, run.path("signatures"))
+
+
 def current_cache(run: Run) -> DataFrame | None:
-    """The snapshot that the pointer names; a snapshot that was being written when a run broke off is none."""
-    if not run.exists("signatures/current"):
-        return None
-    return run.read(run.spark.read.schema("path string").json(run.path("signatures/current")).first()["path"])
+    """What earlier runs have shown; what was being written when a run broke off does not count."""
+    cache = signature_cache(run)
+    return cache.read() if cache.exists() else None
 
 
-def persist(run: Run, ranked: DataFrame, gated: DataFrame, split: DataFrame, cache: DataFrame | None, today) -> None:
+def persist(run: Run, ranked: DataFrame, gated: DataFrame, split: DataFrame, today) -> None:
     """New flags are in ``ranked`` already; then cache, history, inbox, results, in this order, each once."""
     shown = ranked.select("signature", "ord", "final_score", "title", "company", "source")
     if "signatures" not in run.done:
-        empty = run.spark.createDataFrame([], "signature string, first_seen date, last_seen date, final_score int, title string, company string, source string")
-        snapshot = f"signatures/{run.commit}"
-        run.put(stores.merge_cache(cache if cache is not None else empty, shown, today), snapshot)
-        # the old snapshot stays until the pointer names the new one
-        stores.write_document(run.spark.createDataFrame([(snapshot,)], "path string"), run.path("signatures/current"))
+        signature_cache(run).update(shown, today, run.commit)
         run.note("signatures", {})
     now = F.lit(run.run_ts).cast("timestamp")
     for name in ("history", "inbox"):
