@@ -603,3 +603,27 @@ def report_lines(spark, sf):
     word, why = F.when(F.col("quality") == 1, "good").otherwise("bad"), F.when((F.col("quality") != 1) & (F.col("toxic") == 1), "toxic")
     log = read(spark, sf, "labels").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("signature"), word.alias("label"), why.alias("reason"))
     return views.report_lines(stores.precision_report(log), stores.false_positive_reasons(log))
+
+
+@query(f"WITH {TRACK_SQL}, r AS (SELECT signature, max(floor(value))::INT AS final_score, min(seq) AS ord FROM track GROUP BY signature), a AS (SELECT signature, arg_max(action, seq) AS action FROM track WHERE action <> 'seen' GROUP BY signature) SELECT r.signature, final_score, a.action, row_number() OVER (ORDER BY final_score DESC, ord)::BIGINT AS place FROM r LEFT JOIN a ON a.signature = r.signature")
+def results_view(spark, sf):
+    """The last results, best first, with what was decided about each since."""
+    t = tracking(spark, sf)
+    ranked = t.groupBy("signature").agg(F.max(F.floor("value")).cast("int").alias("final_score"), F.min("seq").alias("ord")).withColumn("part", F.lit(0))
+    return views.with_places(views.results(ranked, t.where("action <> 'seen'")), "signature", "final_score", "action")
+
+
+@query(f"WITH {TRACK_SQL} SELECT signature, max(seq) AS seq, arg_max({_STATE}, seq) AS status FROM track WHERE event_type <> 'view' GROUP BY signature")
+def applications_view(spark, sf):
+    """The latest state of each application."""
+    log = tracking(spark, sf).where("event_type <> 'view'").select("signature", "seq", F.expr(_STATE).alias("status"))
+    return views.applications(log)
+
+
+@query(f"WITH {TRACK_SQL}, l AS (SELECT seq, signature, CASE WHEN value < 50 THEN 'bad' ELSE 'good' END AS label, CASE WHEN value < 10 THEN 'english' ELSE 'off_role' END AS reason FROM track) SELECT signature, max(seq) AS seq, arg_max(label, seq) AS label, arg_max(CASE WHEN label = 'bad' THEN reason ELSE '-' END, seq) AS reason FROM l GROUP BY signature")
+def labels_view(spark, sf):
+    """The latest label of each signature; only bad ones have a reason."""
+    word = F.when(F.col("value") < 50, "bad").otherwise("good")
+    log = tracking(spark, sf).select("signature", "seq", word.alias("label"), F.when(F.col("value") < 10, "english").otherwise("off_role").alias("why"))
+    told = log.withColumn("reason", views.label_entry(F.col("label"), F.col("why"))).drop("why")
+    return views.labels(told).select("signature", "seq", "label", F.coalesce("reason", F.lit("-")).alias("reason"))
