@@ -3,12 +3,12 @@
 Every assistant turn is exploded into an example of its own: all turns before it are its context and only its reply is
 trainable. Written out, the contexts of a long conversation grow with the square of its length, so an example row holds
 the marked turns since the last reply, its own reply, and where in them the reply stands; the rest of its context are the
-rows of the conversation before it. Turns behind the last reply make a row without a reply. ``expand`` writes whole
-contexts out for those who want them so.
+rows of the conversation before it. Turns behind the last reply make a row without a reply. ``whole`` puts the context
+into every row, which the query reads back.
 
 Rows are made of up to ``PART_TURNS`` consecutive turn numbers at a time, so a conversation that holds a third of all
-turns is many parts in many tasks. Only its digests meet, as a digest has to: a conversation of more than about 2 GB has
-examples but no digest.
+turns is many parts in many tasks. Whole examples and digests need it in one task: a conversation of more than about 2 GB
+has rows, but neither of these.
 
 The template marks a turn as ``<|role|>text<|end|>``. In texts and roles ``&``, ``<``, ``[`` and ``|`` are written as
 character references, so no control string of this or another template survives in them, and reading back is exact.
@@ -117,44 +117,35 @@ def target(text: Column, start: Column, chars: Column) -> Column:
     return F.substring(text, start.cast("int") + 1, chars.cast("int"))
 
 
-def expand(rows: DataFrame) -> DataFrame:
-    """Every example written out: conv_id, part, k, context, target. Grows with the square of a conversation."""
+def whole(rows: DataFrame) -> DataFrame:
+    """Every row with all turns of its conversation before it. Grows with the square of a conversation."""
     before = Window.partitionBy("conv_id").orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)
-    told = rows.withColumn("before", F.array_join(F.collect_list("text").over(before), "")).where("start IS NOT NULL")
-    context = F.concat("before", F.substring("text", F.lit(1), F.col("start").cast("int")))
+    told = rows.withColumn("before", F.array_join(F.collect_list("text").over(before), ""))
+    start = F.col("start") + F.char_length("before")
+    return told.select("conv_id", "part", "k", F.concat("before", "text").alias("text"), start.alias("start"), "chars")
+
+
+def expand(rows: DataFrame) -> DataFrame:
+    """Every example written out: conv_id, part, k, context, target."""
+    told = whole(rows).where("start IS NOT NULL")
+    context = F.substring("text", F.lit(1), F.col("start").cast("int"))
     return told.select("conv_id", "part", "k", context.alias("context"), target(F.col("text"), F.col("start"), F.col("chars")).alias("target"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """What is read back from the examples, one row per conversation."""
-    said = rows.select(
-        "conv_id",
-        "part",
-        "k",
-        F.char_length("text").cast("bigint").alias("chars"),
-        let(
-            read_turns(F.col("text")),
-            lambda t: F.struct(
-                F.size(t).cast("bigint").alias("n"),
-                F.array_join(F.transform(t, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "").alias("said"),
-            ),
-        ).alias("turns"),
-        F.coalesce(unescape(target(F.col("text"), F.col("start"), F.col("chars"))), F.lit("")).alias("loss"),
-    )
-    whole = said.groupBy("conv_id").agg(
-        F.sum("turns.n").alias("n_turns"),
-        F.sum("chars").alias("formatted_chars"),
-        F.sort_array(F.collect_list(F.struct("part", "k", F.col("turns.said").alias("said"), "loss"))).alias("p"),
-    )
-    turns = F.array_join(F.transform("p", lambda x: x["said"]), "")
-    loss = F.array_join(F.transform("p", lambda x: x["loss"]), "")
-    return whole.select("conv_id", "n_turns", "formatted_chars", turns.alias("turns"), loss.alias("loss")).select(
+    """What is read back from the whole examples, one row per conversation: each reply from its own, the turns from the last."""
+    loss = F.coalesce(unescape(target(F.col("text"), F.col("start"), F.col("chars"))), F.lit(""))
+    read = whole(rows).select("conv_id", F.struct("part", "k").alias("at"), "text", loss.alias("loss"))
+    last = read.groupBy("conv_id").agg(F.max_by("text", "at").alias("text"), F.sort_array(F.collect_list(F.struct("at", "loss"))).alias("p"))
+    told = last.select("conv_id", "text", F.array_join(F.transform("p", lambda x: x["loss"]), "").alias("loss"), read_turns(F.col("text")).alias("t"))
+    turns = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return told.select(
         "conv_id",
-        "n_turns",
-        F.sha2(F.encode("turns", "UTF-8"), 256).alias("turns_sha256"),
+        F.size("t").cast("bigint").alias("n_turns"),
+        F.sha2(F.encode(turns, "UTF-8"), 256).alias("turns_sha256"),
         F.char_length("loss").cast("bigint").alias("loss_chars"),
         F.sha2(F.encode("loss", "UTF-8"), 256).alias("loss_sha256"),
-        "formatted_chars",
+        F.char_length("text").cast("bigint").alias("formatted_chars"),
     )
 
 

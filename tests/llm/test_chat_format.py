@@ -75,3 +75,13 @@ def test_empty_and_native(spark):
     out = C.digests(C.examples(frame(spark, rows()).where("false")))
     assert out.count() == 0
     assert "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_the_query_reads_whole_examples(spark, monkeypatch):
+    data = [(3, t, "assistant" if t % 2 else "user", f"t{t} [é]") for t in range(131)]
+    rows = sorted(C.whole(C.examples(frame(spark, data))).collect(), key=lambda r: (r["part"], r["k"]))
+    assert all(r["text"].startswith("<|user|>t0 &#91;é]<|end|>") for r in rows) and [r["text"].count(C.END) for r in rows][-1] == 131
+    assert [r["text"][r["start"] : r["start"] + r["chars"]] for r in rows if r["start"] is not None] == [f"t{t} &#91;é]" for t in range(1, 131, 2)]
+    read = []
+    monkeypatch.setattr(C, "whole", lambda rows, made=C.whole: read.append(1) or made(rows))
+    assert {r["conv_id"]: tuple(r)[1:5] for r in C.digests(C.examples(frame(spark, data))).collect()} == brute(data) and read
